@@ -8,12 +8,14 @@ from lodestar.llm.language_id import op4_language_id
 from lodestar.llm.packing import op1_pack
 from lodestar.llm.sharding import op5_ring_shards
 from lodestar.llm.simhash_dedup import op8_simhash_components
+from lodestar.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op4_language_id": op4_language_id,
     "op5_ring_shards": op5_ring_shards,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_components": op8_simhash_components,
     "op9_exact_dedup": op9_exact_dedup,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestar.llm.bpe import op6_bpe_round_trip
 from lodestar.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from lodestar.llm.language_id import op4_language_id
+from lodestar.llm.language_model import op3_lm_score
 from lodestar.llm.packing import op1_pack
 from lodestar.llm.sharding import op5_ring_shards
 from lodestar.llm.simhash_dedup import op8_simhash_components
@@ -12,6 +13,7 @@ from lodestar.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_lm_score": op3_lm_score,
     "op4_language_id": op4_language_id,
     "op5_ring_shards": op5_ring_shards,
     "op6_bpe_round_trip": op6_bpe_round_trip,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestar.llm.bpe import op6_bpe_round_trip
 from lodestar.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from lodestar.llm.html_extraction import op10_extract_pages
 from lodestar.llm.language_id import op4_language_id
 from lodestar.llm.language_model import op3_lm_score
 from lodestar.llm.packing import op1_pack
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_simhash_components": op8_simhash_components,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_extract_pages": op10_extract_pages,
 }
 
 SQL = {

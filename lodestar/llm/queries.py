@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestar.llm.bpe import op6_bpe_round_trip
 from lodestar.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from lodestar.llm.fingerprints import op2_fingerprint_edits
 from lodestar.llm.html_extraction import op10_extract_pages
 from lodestar.llm.language_id import op4_language_id
 from lodestar.llm.language_model import op3_lm_score
@@ -14,6 +15,7 @@ from lodestar.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_fingerprint_edits": op2_fingerprint_edits,
     "op3_lm_score": op3_lm_score,
     "op4_language_id": op4_language_id,
     "op5_ring_shards": op5_ring_shards,

@@ -86,6 +86,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts; all columns stay. Repeated rows of one id count as one."""
+    found = materialize(exact_dedup(docs, id_col, text_col), "dedup-result")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    sha = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), SPACES, "").cast("binary"), 256)
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone.gone_id) & (sha == gone.gone_sha), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    again = again.select(F.col("doc_id").alias("again_id")).distinct()
+    same = left[id_col].eqNullSafe(again.again_id)
+    once = left.join(again, same, "left_semi")
+    plain = F.translate(F.coalesce(once[text_col], F.lit("")), SPACES, "")
+    once = once.withColumn("_plain", plain).dropDuplicates([id_col, "_plain"]).drop("_plain")
+    return left.join(again, same, "left_anti").unionByName(once)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

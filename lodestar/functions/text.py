@@ -1,0 +1,210 @@
+"""Text rules as Column functions. Lengths are in bytes where a rule says bytes; keyword tests are substring tests."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The character ranges that count as CJK (without the ideographic space, which is white space).
+CJK = r"\u4e00-\u9fff\u3400-\u4dbf\u3001-\u303f\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af"
+_WORD = r"\p{IsAlphabetic}\p{N}\-_./:"
+
+
+def tokenize(text: Column) -> Column:
+    """Lower-cased words of letters, digits and - _ . / :, and runs of CJK characters as overlapping pairs (a single
+    one as itself; up to three also as a whole)."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{CJK}]+|[{_WORD}&&[^{CJK}]]+)"), F.lit(1))
+
+    def split(run: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+        whole = F.when(F.length(run) <= 3, F.array(run)).otherwise(F.array().cast("array<string>"))
+        cjk = F.when(F.length(run) == 1, F.array(run)).when(F.length(run) == 2, F.array(run, run)).otherwise(F.concat(pairs, whole))
+        return F.when(run.rlike(f"^[{CJK}]"), cjk).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, split))
+
+
+def share_contained(words: Column, text: Column) -> Column:
+    """Share of the words that the text contains; 0 for no words."""
+    hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
+    return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
+
+
+def count_contained(text: Column, words: list[str]) -> Column:
+    """How many of the words the text contains; a word that is listed twice counts twice."""
+    return reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("int") for w in words))
+
+
+def any_contained(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def first_rule(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
+    """Name of the first rule of which the text contains a word."""
+    out = None
+    for name, words in rules:
+        hit = any_contained(text, words)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(default)
+
+
+def word_set(text: Column) -> Column:
+    """Distinct lower-cased words of at least two bytes; a word is letters, digits and -."""
+    parts = F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}\-]+")
+    return F.array_distinct(F.filter(parts, lambda w: F.octet_length(w) >= 2))
+
+
+def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
+    """Jaccard similarity of two arrays as sets; 0 if one is empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of the UTF-8 bytes as decimal(20,0); decimals, because a long would overflow."""
+    big, prime = "decimal(38,0)", 1099511628211
+    size = F.lit(2**64 // 2).cast(big) * 2
+    octets = F.transform(
+        F.sequence(F.lit(1), F.octet_length(text)),
+        lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"),
+    )
+
+    def step(state: Column, octet: Column) -> Column:
+        low = F.pmod(state, F.lit(256).cast(big)).cast("int")
+        mixed = state - low.cast(big) + low.bitwiseXOR(octet).cast(big)
+        return F.pmod(mixed.cast("decimal(20,0)") * F.lit(prime).cast("decimal(14,0)"), size).cast(big)
+
+    start = F.lit("14695981039346656037").cast(big)
+    return F.when(F.octet_length(text) == 0, start).otherwise(F.aggregate(octets, start, step)).cast("decimal(20,0)")
+
+
+# Keyword tables of the importance rule.
+HIGH_VALUE = (
+    "架构 architecture 决策 decision 关键 critical 重要 important 核心 core 设计 design 安全 security 部署 deploy production 生产 "
+    "数据库 database 密钥 secret 密钥 key 约束 constraint 不能改 陷阱 坑 pitfall 血的教训 lesson bug 修复 fix"
+).split()
+LOW_VALUE = ["测试", "test", "tmp", "临时", "scratch", "实验", "experiment", "随便", "hello world", "测试内容", "testing 123"]
+HIGH_LABELS = ["decision", "architecture", "security", "critical", "project-context", "deployment", "configuration"]
+LOW_LABELS = ["test", "testing", "tmp", "scratch", "junk"]
+
+
+def importance(content: Column, labels: Column) -> Column:
+    """Importance of a text by keywords, labels and length, from 0.1 to 3."""
+    text, size = F.lower(content), F.octet_length(content)
+    low = F.transform(labels, lambda x: F.lower(x))
+    score = 1.0 + 0.3 * count_contained(text, HIGH_VALUE) - 0.3 * count_contained(text, LOW_VALUE)
+    for word in HIGH_LABELS:
+        score = score + 0.4 * F.size(F.filter(low, lambda x, w=word: F.contains(x, F.lit(w))))
+    for word in LOW_LABELS:
+        score = score - 0.5 * F.size(F.filter(low, lambda x, w=word: x == w))
+    score = score + F.when(size > 1500, 0.5).when(size > 500, 0.2).when(size < 30, -0.2).otherwise(0.0)
+    return F.least(F.greatest(score, F.lit(0.1)), F.lit(3.0))
+
+
+# Words and phrases of the classes, in the order in which they are tried.
+NOISE_WORDS = "ok 好的 好 yes no nope test 测试 嗯 哦 thanks 谢谢 好嘞 行 可以 done 收到 了解".split()
+LABEL_CLASSES = [
+    ("decision", ["decision"]), ("bugfix", ["bug"]), ("pattern", ["pattern"]), ("session", ["session-summary", "session"]),
+    ("finding", ["finding"]), ("experiment", ["experiment"]), ("security", ["security"]), ("identity", ["identity"]),
+    ("research", ["research"]),
+]
+CONTENT_CLASSES = [
+    ("decision", ["[decision]", "决策", "chosen:", "chose", "选用", "改用", "选定", "we decided", "we chose"]),
+    ("bugfix", ["[bug]", "symptoms:", "root_cause:", "fix:", "修复了", "resolved by", "workaround:", "hotfix:"]),
+    ("pattern", ["[pattern]", "convention:", "always use", "never use", "必须", "约定", "规范", "best practice"]),
+    ("session", ["[session]", "accomplished:", "会话总结", "session summary"]),
+    ("finding", ["[finding]", "发现", "insight:", "turns out", "关键发现"]),
+    ("experiment", ["experiment"]),
+    ("security", ["security ban:", "security alert:", "cve-", "vulnerability"]),
+    ("identity", ["身份", "identity", "i am", "我是", "我的名字"]),
+    ("research", ["[research]", "arxiv", "论文", "前沿", "survey"]),
+]
+
+
+def memory_class(content: Column, labels: Column) -> Column:
+    """noise, or the first class whose label is there, else the first whose phrase is; else general."""
+    trimmed = F.trim(content)
+    text = F.lower(trimmed)
+    noise = (F.octet_length(trimmed) < 5) | ((F.octet_length(trimmed) < 20) & text.isin(NOISE_WORDS))
+    out = F.when(noise, "noise")
+    for name, words in LABEL_CLASSES:
+        out = out.when(F.arrays_overlap(labels, F.array(*map(F.lit, words))), name)
+    for name, words in CONTENT_CLASSES:
+        hit = any_contained(text, words)
+        out = out.when(hit | (text.startswith("v") & F.contains(text, F.lit("实验"))) if name == "experiment" else hit, name)
+    return out.otherwise("general")
+
+
+# Base scores of the classes, and the words that raise them.
+CLASS_BASE = {
+    "identity": 3.0, "decision": 2.5, "experiment": 2.0, "finding": 2.0, "bugfix": 1.5, "pattern": 1.5, "research": 1.5,
+    "security": 1.2, "session": 1.0, "general": 0.8, "noise": 0.0,
+}
+CRUCIAL = ["critical", "不能", "never", "绝对不能", "必须", "致命", "crucial", "vital"]
+NOTABLE = ["重要", "important", "关键", "key"]
+CODE_MARKS = ["```", "fn ", "pub fn", "impl ", "cargo ", "use "]
+
+
+def intake_importance(content: Column, kind: Column) -> Column:
+    """Importance at intake by class, wording, length and code, from 0.1 to 3.5."""
+    text, size = F.lower(content), F.octet_length(content)
+    base = F.create_map(*(F.lit(x) for pair in CLASS_BASE.items() for x in pair))[kind]
+    score = base + F.when(any_contained(text, CRUCIAL), 0.5).when(any_contained(text, NOTABLE), 0.3).otherwise(0.0)
+    score = score + F.when(size > 200, 0.2).when(size > 50, 0.1).otherwise(0.0)
+    score = score + F.when(any_contained(text, CODE_MARKS), 0.1).otherwise(0.0)
+    return F.least(F.greatest(score, F.lit(0.1)), F.lit(3.5))
+
+
+# Keyword and the tag that it gives.
+TAGS = [
+    ("rust", "rust"), ("cargo", "rust"), ("tokio", "async"), ("python", "python"), ("typescript", "typescript"),
+    ("javascript", "javascript"), ("react", "frontend"), ("tailwind", "frontend"), ("css", "frontend"), ("nginx", "nginx"),
+    ("docker", "docker"), ("kubernetes", "k8s"), ("sqlite", "database"), ("postgres", "database"), ("redis", "database"),
+    ("ssh", "ssh"), ("https", "https"), ("certbot", "ssl"), ("git", "git"), ("github", "github"), ("ci/cd", "cicd"),
+    ("wasm", "wasm"), ("onnx", "ml"), ("embedding", "ml"), ("xss", "security-vuln"), ("csrf", "security-vuln"),
+    ("cve", "security-vuln"), ("curl", "debugging"), ("日志", "logging"), ("log::", "logging"), ("deploy", "deployment"),
+    ("部署", "deployment"),
+]
+
+
+def tags(content: Column) -> Column:
+    """Sorted distinct tags of the keywords that the text contains."""
+    text = F.lower(content)
+    found = F.array(*(F.when(F.contains(text, F.lit(word)), F.lit(tag)) for word, tag in TAGS))
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
+
+
+# Keyword and the label that it gives, in order.
+TOPICS = [
+    ("函数", "code"), ("function", "code"), ("class ", "code"), ("import ", "code"), ("fn ", "code"), ("pub ", "code"),
+    ("架构", "architecture"), ("设计", "architecture"), ("模块", "architecture"), ("系统", "architecture"),
+    ("component", "architecture"), ("安全", "security"), ("加密", "security"), ("认证", "security"), ("密码", "security"),
+    ("authentication", "security"), ("测试", "testing"), ("test", "testing"), ("bug", "testing"), ("部署", "deployment"),
+    ("服务器", "deployment"), ("docker", "deployment"), ("nginx", "deployment"), ("systemd", "deployment"),
+    ("数据库", "database"), ("sql", "database"), ("sqlite", "database"), ("查询", "database"), ("query", "database"),
+    ("api", "api"), ("接口", "api"), ("endpoint", "api"), ("性能", "performance"), ("优化", "performance"),
+    ("延迟", "performance"), ("文档", "docs"), ("README", "docs"), ("说明", "docs"), ("配置", "config"),
+    ("环境变量", "config"), ("config", "config"), ("用户", "user"), ("权限", "user"), ("角色", "user"), ("记忆", "memory"),
+    ("搜索", "search"), ("向量", "vector"), ("算法", "algorithm"), ("模型", "model"), ("训练", "ml"),
+]
+
+
+def topics(content: Column) -> Column:
+    """The first three distinct labels whose keyword the lower-cased text contains; general if none."""
+    text = F.lower(content)
+    found = F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(x)) for w, x in TOPICS))))
+    return F.when(F.size(found) > 0, F.slice(found, 1, 3)).otherwise(F.array(F.lit("general")))
+
+
+# Word, and what it adds to pleasure, arousal and dominance.
+MOODS = {
+    "create": (0.3, 0.2, 0.1), "new": (0.2, 0.3, 0.0), "goal": (0.2, 0.1, 0.2), "success": (0.4, 0.1, 0.2),
+    "happy": (0.5, 0.2, 0.1), "love": (0.5, 0.3, 0.1), "good": (0.3, 0.1, 0.1), "great": (0.4, 0.2, 0.1),
+    "error": (-0.3, 0.3, -0.1), "fail": (-0.4, 0.2, -0.2), "danger": (-0.2, 0.5, -0.3), "guard": (-0.1, 0.3, 0.2),
+    "protect": (0.1, 0.2, 0.3), "dead": (-0.5, 0.3, -0.3), "broken": (-0.3, 0.2, -0.2), "loss": (-0.4, 0.1, -0.2),
+    "identity": (0.1, 0.0, 0.3), "memory": (0.1, 0.0, 0.1), "search": (0.1, 0.2, 0.1), "merge": (0.1, 0.0, 0.1),
+    "split": (-0.1, 0.3, 0.0), "architecture": (0.0, 0.1, 0.2), "safe": (0.2, -0.1, 0.3), "rust": (0.1, 0.0, 0.2),
+    "ai": (0.1, 0.2, 0.1), "修复": (0.2, 0.2, 0.1), "错误": (-0.3, 0.3, -0.1), "部署": (0.1, 0.2, 0.1),
+}

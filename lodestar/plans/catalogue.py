@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lodestar.plans import search
+
+_MODULES = (search,)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +65,7 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 def fnv1a(text: Column) -> Column:
     """64-bit FNV-1a of the UTF-8 bytes as decimal(20,0); decimals, because a long would overflow."""
     big, prime = "decimal(38,0)", 1099511628211
-    size = F.lit(2**64 // 2).cast(big) * 2
+    size = F.lit(str(2**64)).cast(big)
     octets = F.transform(
         F.sequence(F.lit(1), F.octet_length(text)),
         lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"),
@@ -90,15 +90,18 @@ HIGH_LABELS = ["decision", "architecture", "security", "critical", "project-cont
 LOW_LABELS = ["test", "testing", "tmp", "scratch", "junk"]
 
 
+def _holds(word: str, text: Column) -> Column:
+    return F.contains(text, F.lit(word))
+
+
 def importance(content: Column, labels: Column) -> Column:
     """Importance of a text by keywords, labels and length, from 0.1 to 3."""
     text, size = F.lower(content), F.octet_length(content)
     low = F.transform(labels, lambda x: F.lower(x))
     score = 1.0 + 0.3 * count_contained(text, HIGH_VALUE) - 0.3 * count_contained(text, LOW_VALUE)
     for word in HIGH_LABELS:
-        score = score + 0.4 * F.size(F.filter(low, lambda x, w=word: F.contains(x, F.lit(w))))
-    for word in LOW_LABELS:
-        score = score - 0.5 * F.size(F.filter(low, lambda x, w=word: x == w))
+        score = score + 0.4 * F.size(F.filter(low, partial(_holds, word)))
+    score = score - 0.5 * F.size(F.filter(low, lambda x: x.isin(LOW_LABELS)))
     score = score + F.when(size > 1500, 0.5).when(size > 500, 0.2).when(size < 30, -0.2).otherwise(0.0)
     return F.least(F.greatest(score, F.lit(0.1)), F.lit(3.0))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import search
+from lodestar.plans import graphs, rules, search
 
-_MODULES = (search,)
+_MODULES = (search, rules, graphs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -87,4 +87,4 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_LOG = """event_log AS (
-  SELECT *, epoch(ts)::BIGINT AS epoch, (props->>'$.k')::INTEGER AS k FROM events)"""
+  SELECT *, floor(epoch(ts))::BIGINT AS epoch, (props->>'$.k')::INTEGER AS k FROM events)"""

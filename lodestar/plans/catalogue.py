@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import events_log, graphs, rules, search, star
+from lodestar.plans import events_log, graphs, rules, search, star, uploads
 
-_MODULES = (search, rules, graphs, events_log, star)
+_MODULES = (search, rules, graphs, events_log, star, uploads)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -211,3 +211,60 @@ MOODS = {
     "split": (-0.1, 0.3, 0.0), "architecture": (0.0, 0.1, 0.2), "safe": (0.2, -0.1, 0.3), "rust": (0.1, 0.0, 0.2),
     "ai": (0.1, 0.2, 0.1), "修复": (0.2, 0.2, 0.1), "错误": (-0.3, 0.3, -0.1), "部署": (0.1, 0.2, 0.1),
 }
+
+# Keyword and the label that a query with it favours.
+FAVOURED = [
+    ("部署", "deployment"), ("deploy", "deployment"), ("发布", "deployment"), ("安全", "security"), ("security", "security"),
+    ("前端", "frontend"), ("frontend", "frontend"), ("react", "frontend"), ("后端", "backend"), ("backend", "backend"),
+    ("rust", "rust"), ("编译", "build"), ("cargo", "build"), ("build", "build"), ("nginx", "nginx"), ("防火墙", "firewall"),
+    ("firewall", "firewall"), ("数据库", "database"), ("sqlite", "database"), ("db", "database"), ("mcp", "mcp"),
+    ("guard", "guard"), ("docker", "docker"), ("容器", "docker"), ("https", "https"), ("证书", "ssl"), ("ssl", "ssl"),
+    ("certbot", "ssl"), ("测试", "testing"), ("test", "testing"), ("git", "git"), ("github", "github"), ("配置", "config"),
+    ("config", "config"),
+]
+
+# Term and the words that a query with it is widened by.
+WIDENED = {
+    "部署": "deploy deployment release publish", "安全": "security vulnerability CVE", "修复": "fix patch resolve hotfix",
+    "错误": "error bug crash panic", "性能": "performance optimization latency throughput",
+    "架构": "architecture design structure", "数据库": "database sqlite postgres db", "前端": "frontend react UI dashboard",
+    "后端": "backend server API", "防火墙": "firewall nft iptables firewalld", "编译": "build compile cargo",
+    "测试": "test testing CI", "配置": "config configuration settings", "证书": "certificate SSL TLS certbot",
+}
+
+# What a word to leave out stands after; and phrases that open a reason, in the order they are tried.
+EXCLUDING = ["不要用", "不要", "不用", "避免", "except ", "without ", "exclude ", "not "]
+CAUSAL = ["因为", "由于", "because", "since ", "as ", "原因是", "reason:", "why:", "所以", "therefore", "in order to", "目的是"]
+
+
+def favoured(query: Column) -> Column:
+    """Sorted distinct labels that a query favours."""
+    text = F.lower(query)
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(x)) for w, x in FAVOURED)))))
+
+
+def widened(query: Column) -> Column:
+    """Sorted distinct words that a query is widened by."""
+    text = F.lower(query)
+    found = [F.when(F.contains(text, F.lit(w)), F.lit(x.split())).otherwise(F.array().cast("array<string>")) for w, x in WIDENED.items()]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def excluded(query: Column) -> Column:
+    """Sorted distinct words to leave out: after the first fitting place of each opening, an ASCII word of two letters or more."""
+    text = F.lower(query)
+    after = [F.regexp_extract(text, f"{words}([a-z0-9]{{2,}})", 1) for words in EXCLUDING]
+    return F.array_sort(F.array_distinct(F.filter(F.array(*after), lambda w: w != "")))
+
+
+def reason(content: Column, kind: Column) -> Column:
+    """Why, for decisions, findings and patterns: after "rationale:" 300 characters, else 250 from the first causal
+    phrase of the list that occurs. Null if there is none."""
+    text = F.lower(content)
+    out = F.when(~kind.isin("decision", "finding", "pattern"), F.lit(None).cast("string"))
+    at = F.instr(text, "rationale:")
+    out = out.when(at > 0, F.trim(F.substring(content, at + 10, F.lit(300))))
+    for words in CAUSAL:
+        at = F.instr(text, words)
+        out = out.when(at > 0, F.trim(F.substring(content, at, F.lit(250))))
+    return out

@@ -19,7 +19,7 @@ def read_events(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     """Stream of the event files of a folder; the schema is that of the files there."""
     schema = spark.read.parquet(folder).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    return rows.withColumns({"epoch": F.unix_timestamp("ts")})
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("epoch", F.unix_timestamp("ts"))
 
 
 def tumbling(events: DataFrame, size: str = "6 hours") -> DataFrame:

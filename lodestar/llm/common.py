@@ -22,3 +22,13 @@ def fold(doc_id: str, parts: int) -> Column:
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def as_text(name: str = "doc_id") -> Column:
+    """An id as text, to go through pandas: a null among long numbers would turn them into floats there."""
+    return F.col(name).cast("string")
+
+
+def as_before(df: DataFrame, source: DataFrame, name: str = "doc_id", source_name: str | None = None) -> DataFrame:
+    """df with the id in the type that it has in source."""
+    return df.withColumn(name, F.col(name).cast(source.schema[source_name or name].dataType))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lodestar.llm.common import fold, table, text_of
+from lodestar.llm.common import as_before, as_text, fold, table, text_of
 
 SAMPLE_CHARS = 30_000
 BLOCK = 256
@@ -165,9 +165,8 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
             lang, score = cross.predict(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
-    return rows.mapInPandas(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select(as_text().alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    return as_before(rows.mapInPandas(work, "doc_id string, held_out boolean, lang_pred string, score double"), docs)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lodestar.llm.common import fold, table, text_of
+from lodestar.llm.common import as_text, fold, table, text_of
 
 SAMPLE_ROWS = 20_000
 MINED_STEMS = 60
@@ -201,15 +201,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             bits = ["".join("1" if c else "0" for c in row) for row in counts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": bits, "counts": list(counts), "draw": pdf["draw"]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
-    voted = rows.mapInPandas(vote, f"doc_id {kind}, votes string, counts array<float>, draw long").withColumn(
+    rows = docs.select(as_text().alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw"))
+    voted = rows.mapInPandas(vote, "doc_id string, votes string, counts array<float>, draw long").withColumn(
         "train", fold("doc_id", 3) != 1
     )
     known = F.when(F.col("train"), F.coalesce("toxic", F.lit(-1))).otherwise(F.lit(-1))
     # one row per vote pattern, with the label if it may be learned from, and the smallest draws as the sample
     patterns = (
-        voted.join(labels, "doc_id", "left")
+        voted.join(labels.select(as_text().alias("doc_id"), "toxic"), "doc_id", "left")
         .groupBy("votes", known.alias("label"))
         .agg(F.count("*").alias("n"), F.sum(F.when(F.col("train"), 1).otherwise(0)).alias("train"))
         .collect()

@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold, table, text_of
+from lodestar.llm.common import as_before, as_text, fold, table, text_of
 from lodestar.session import materialize
 
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 12_000_000
 BLOCK_BYTES = 4_000_000
 END = b"\n"  # no word holds white space
 BUCKETS = 34
+#: Tokens that are looked at together.
+SLICE = 1 << 19
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -87,13 +89,17 @@ class Codes:
 
     def row(self, batch: int) -> dict:
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.code_of], "u8")
+        codes = np.concatenate(self.parts)
+        often = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")  # frequent words get small codes
+        place = np.empty(len(often), "u4")
+        place[often] = np.arange(len(often), dtype="u4")
         return {
             "batch": batch,
             "ids": [d for d, _ in self.docs],
             "held_out": [bool(h) for _, h in self.docs],
             "sizes": self.sizes,
-            "words": hashes.tobytes(),
-            "codes": squeeze(np.concatenate(self.parts)),
+            "words": hashes[often].tobytes(),
+            "codes": squeeze(place[codes]),
         }
 
 
@@ -101,16 +107,17 @@ class Batch:
     """Tokens of a batch by their ranks among its sorted distinct words and bigrams."""
 
     def __init__(self, words: bytes, codes: bytes, sizes, held_out):
-        hashes = mix(np.frombuffer(words, "u8"))
-        self.word_keys, rank = np.unique(hashes, return_inverse=True)
-        self.tokens = rank[unsqueeze(codes, "u4")]
+        self.word_keys, rank = np.unique(mix(np.frombuffer(words, "u8")), return_inverse=True)
+        self.tokens = rank.astype("u4")[unsqueeze(codes, "u4")]
         self.sizes = np.asarray(sizes, "i8")
         self.train = np.repeat(~np.asarray(held_out, bool), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        end = rank[0]
-        self.context = np.concatenate(([end], self.tokens[:-1]))  # before a text stands the end of another
-        key = mix(self.word_keys[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.word_keys[self.tokens])
-        self.pair_keys, self.pairs = np.unique(key, return_inverse=True)
+        end = np.searchsorted(self.word_keys, mix(np.array([xxhash.xxh64_intdigest(END)], "u8"))).astype("u4")
+        self.context = np.concatenate((end, self.tokens[:-1]))  # before a text stands the end of another
+        key = self.word_keys[self.context] * np.uint64(0x9E3779B97F4A7C15)
+        key += self.word_keys[self.tokens]
+        self.pair_keys, pairs = np.unique(mix(key), return_inverse=True)
+        self.pairs = pairs.astype("u4")
 
     def counted(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(kind, sorted keys, how often each occurs in this batch's training texts)."""
@@ -125,16 +132,15 @@ def tokenize(docs: DataFrame) -> DataFrame:
         base, made, codes = TaskContext.get().partitionId() << 32, 0, Codes()
         for pdf in frames:
             for doc_id, held_out, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"]):
-                codes.add(None if pd.isna(doc_id) else doc_id, held_out, text)
+                codes.add(doc_id, held_out, text)
                 if codes.chars >= BATCH_CHARS:
                     yield pd.DataFrame([codes.row(base + made)])
                     made, codes = made + 1, Codes()
         if codes.docs:
             yield pd.DataFrame([codes.row(base + made)])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"batch long, ids array<{kind}>, held_out array<boolean>, sizes array<long>, words binary, codes binary"
-    rows = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), text_of().alias("text"))
+    schema = "batch long, ids array<string>, held_out array<boolean>, sizes array<long>, words binary, codes binary"
+    rows = docs.select(as_text().alias("doc_id"), (fold("doc_id", 5) == 1).alias("held_out"), text_of().alias("text"))
     return materialize(rows.mapInPandas(work, schema), "lm-batches")
 
 
@@ -188,10 +194,11 @@ def bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1))), 0).astype("i8").clip(0, BUCKETS - 1)
 
 
-def _counts(batch: Batch, uni: bytes, bi: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Corpus counts of every token's context, itself, and both together."""
-    words, pairs = np.frombuffer(uni, "u4"), np.frombuffer(bi, "u4")
-    return words[batch.context], words[batch.tokens], pairs[batch.pairs]
+def _counts(batch: Batch, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices of the tokens: corpus counts of every token's context, itself, and both together."""
+    for at in range(0, len(batch.tokens), SLICE):
+        own = slice(at, at + SLICE)
+        yield own, words[batch.context[own]], words[batch.tokens[own]], pairs[batch.pairs[own]]
 
 
 def _join(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -205,9 +212,13 @@ def _join(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     r = pdf.iloc[0]
     uni, bi = (np.concatenate([unsqueeze(c, "u4") for c in answers["counts"][answers["kind"] == k]]) for k in (0, 1))
     batch = Batch(r["words"], r["codes"], r["sizes"], r["held_out"])
-    before, own, both = (x[batch.train] for x in _counts(batch, uni.tobytes(), bi.tobytes()))
-    cell = (rounded(before) << 40) + (rounded(own) << 20) + rounded(both)
-    cells, times = np.unique(cell, return_counts=True)
+    grid: dict[int, int] = {}
+    for part, before, own, both in _counts(batch, uni, bi):
+        keep = batch.train[part]
+        cell = (rounded(before[keep]) << 40) + (rounded(own[keep]) << 20) + rounded(both[keep])
+        for c, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
+            grid[c] = grid.get(c, 0) + n
+    cells, times = np.array(list(grid), "i8"), np.array(list(grid.values()), "i8")
     row = {name: r[name] for name in ["batch", *names]}
     row |= {"uni": squeeze(uni), "bi": squeeze(bi), "cells": cells, "times": times, "n": 0, "v": 0}
     return pd.DataFrame([row])
@@ -262,26 +273,28 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for pdf in frames:
             for r in pdf.itertuples():
                 batch = Batch(r.words, r.codes, r.sizes, r.held_out)
-                before, own, both = _counts(batch, unsqueeze(r.uni, "u4").tobytes(), unsqueeze(r.bi, "u4").tobytes())
-                base = (own + 0.5) / (n + 0.5 * (v + 1))
-                w = weights[bucket(before)]
-                p = w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * own / max(n, 1) + w[:, 2] * base
+                base, score = np.empty(len(batch.tokens)), np.empty(len(batch.tokens))
+                known = np.empty(len(batch.tokens), bool)
+                for part, before, own, both in _counts(batch, unsqueeze(r.uni, "u4"), unsqueeze(r.bi, "u4")):
+                    at = bucket(before)
+                    plain = (own + 0.5) / (n + 0.5 * (v + 1))
+                    p = weights[at, 0] * both / np.maximum(before, 1) + weights[at, 1] * own / max(n, 1) + weights[at, 2] * plain
+                    base[part], score[part], known[part] = np.log10(plain), np.log10(p if n else plain), own > 0
                 yield pd.DataFrame(
                     {
                         "doc_id": r.ids,
                         "held_out": r.held_out,
                         "n_tokens": batch.sizes,
-                        "n_known": np.add.reduceat(own > 0, batch.starts, dtype="i8"),
+                        "n_known": np.add.reduceat(known, batch.starts, dtype="i8"),
                         "train_tokens": n,
-                        "base_score": np.add.reduceat(np.log10(base), batch.starts),
-                        "score": np.add.reduceat(np.log10(p if n else base), batch.starts),
+                        "base_score": np.add.reduceat(base, batch.starts),
+                        "score": np.add.reduceat(score, batch.starts),
                     }
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     counted = whole.where("batch >= 0").select("ids", "held_out", "sizes", "words", "codes", "uni", "bi")
-    return counted.mapInPandas(work, schema)
+    return as_before(counted.mapInPandas(work, schema), docs)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A 64-bit fingerprint is looked up under 2**(radius+1) - 1 bit masks. Bit i has a vector a(i) of radius+1 bits, and
-mask v keeps the bits with <a(i), v> even. Whatever at most `radius` bits two fingerprints differ in, some v that
-isn't zero is orthogonal to all their vectors, so the pair is equal under that mask: no pair within the radius is
-missed. Buckets hold distinct fingerprints only (copies are collapsed first); one bucket's links leave it as a
+mask v keeps the bits with <a(i), v> odd. Whatever at most `radius` bits two fingerprints differ in, some v that
+isn't zero is orthogonal to all their vectors, so the mask keeps none of them: no pair within the radius is missed. Buckets hold distinct fingerprints only (copies are collapsed first); one bucket's links leave it as a
 spanning forest, never as all pairs, and a bucket beyond BUCKET_ROWS is compared block against block in separate
 tasks.
 
@@ -92,7 +91,7 @@ def covering_masks(radius: int) -> tuple[int, ...]:
 
     def masks(seed: int) -> list[int]:
         vectors = [i % tables + 1 for i in range(64)] if tables <= 64 else random.Random(seed).sample(range(1, tables + 1), 64)
-        return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() % 2 == 0) for v in range(1, tables + 1)]
+        return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() % 2) for v in range(1, tables + 1)]
 
     best = max((masks(seed) for seed in range(64)), key=lambda found: min(m.bit_count() for m in found))
     return tuple(m - (1 << 64) if m >> 63 else m for m in best)

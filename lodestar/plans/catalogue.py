@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import clusters, events_log, graphs, intents, rules, search, star, uploads
+from lodestar.plans import clusters, events_log, graphs, intents, rules, search, star, uploads, walks
 
-_MODULES = (search, rules, graphs, events_log, star, uploads, intents, clusters)
+_MODULES = (search, rules, graphs, events_log, star, uploads, intents, clusters, walks)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -19,15 +19,17 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import table, text_of
-from lodestar.session import materialize
+from lodestar.session import materialize, shared_folder
 
 BASE_CELLS = 12
-BUCKET_BYTES = 4_000_000
-ROUNDS = 7
+TASK_BYTES = 1_500_000
+ROUNDS = 6
 RETRIES = 8
 
 _BREAK = r"[.!?] +|[ \t\r]*\n\s*"
@@ -66,11 +68,14 @@ def _bucket(cuts: list[int]) -> Column:
     return F.greatest((coarse - 1) * step + fine - 1, F.lit(0))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """bucket, row, doc_id, text, digests and the text and digests of the row after it, for the last the first's."""
+def with_next(rows: DataFrame) -> tuple[DataFrame, int]:
+    """bucket, row, doc_id, text and the text of the row after it, for the last the first's; the number of tasks."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least")).first()
-    parts = min(4096, max((size.bytes or 0) // BUCKET_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Sketches of a text take many times its size while they are built: tasks are small, and aren't put together again.
+    tasks = max((size.bytes or 0) // TASK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(tasks, 16_384)
+    parts = min(16_384, 4 * tasks)
     cuts: list[int] = []
     if size.least is not None:
         shares = [i / parts for i in range(parts)]
@@ -87,16 +92,20 @@ def with_next(rows: DataFrame) -> DataFrame:
     dealt = (
         rows.withColumn("own", bucket)
         .withColumn("at", F.explode(places))
-        .select("at.bucket", "at.copy", "doc_id", "text", "digests")
+        .select("at.bucket", "at.copy", "doc_id", "text")
+        .repartition(tasks, "bucket")
     )
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
-    return (
-        dealt.withColumn("row", F.row_number().over(order))
-        .withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_digests", F.lead("digests").over(order))
-        .where("not copy")
-        .drop("copy")
-    )
+    found = dealt.withColumn("row", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    return found.where("not copy").drop("copy"), tasks
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder that later aggregations by the column read without a shuffle."""
+    name = f"lodestar_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 _KEY = ["bucket", "row", "pair", "m", "cell"]
@@ -148,7 +157,9 @@ def compare(sides: DataFrame, grow: float) -> DataFrame:
 
     sides: bucket, row, own, and others, an array of the sets to compare with (null: none)."""
     pairs = sides.select("bucket", "row", "own", F.posexplode("others").alias("pair", "other")).where("other is not null")
-    m = (F.ceil(F.lit(grow) * (F.size("own") + F.size("other")) / 3) + 3).cast("long")
+    # Neighbours have next to nothing in common, an edited text about half; peeling needs 1.23 cells a digest at least.
+    cells = F.when(F.col("pair") == 0, grow).otherwise(1.4 * grow) * (F.size("own") + F.size("other"))
+    m = (F.ceil(cells / 3) + 3).cast("long")
     left = peel(sketch_difference(pairs.withColumn("m", m)))
     per = lambda k, of: F.coalesce(F.sum(F.when((F.col("pair") == k) & of, F.col("n"))), F.lit(0))
     rest = lambda k: F.sum(F.when((F.col("pair") == k) & (F.col("cell") >= 0), 1).otherwise(0))
@@ -159,75 +170,58 @@ def compare(sides: DataFrame, grow: float) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("digests", paragraphs(F.col("text")))
     edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.expr("left(next_text, int(floor(length(text) / 2)))"))
-    base = (
-        with_next(rows)
-        .withColumn("edited", edited)
-        .select(
+    beside, tasks = with_next(rows)
+    base = bucketed(
+        beside.withColumn("edited", edited).select(
             "bucket",
             "row",
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            F.col("digests").alias("own"),
-            paragraphs(F.col("edited")).alias("edited_digests"),
-            "next_digests",
-        )
-    )
-    sides = base.select("bucket", "row", "own", F.array("edited_digests", "next_digests").alias("others"))
-    found = compare(sides, 1.0)
-    joined = base.join(found.withColumn("met", F.lit(True)), ["bucket", "row"], "left")
-    # a pair of equal sets leaves no cell at all
-    d = [F.when(F.col("met"), F.col(f"d{k}")).otherwise(F.lit(0)).alias(f"d{k}") for k in (0, 1)]
-    state = joined.select(
+            F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha"),
+            paragraphs(F.col("text")).alias("own"),
+            F.array(paragraphs(F.col("edited")), paragraphs(F.col("next_text"))).alias("others"),
+        ),
         "bucket",
-        "row",
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        base_table(F.col("own")).alias("fingerprint"),
-        base_table(F.col("edited_digests")).alias("edited_fingerprint"),
-        F.array(F.size("own"), F.size("edited_digests"), F.size("next_digests")).alias("sizes"),
-        *d,
-        "own",
-        F.array("edited_digests", "next_digests").alias("others"),
+        tasks,
     )
+    # per pair the number of digests in one set only; null: not recovered yet
+    state = materialize(compare(base, 1.0), "fingerprint-pairs")
     open_ = F.col("d0").isNull() | F.col("d1").isNull()
-    state = state.withColumns({"own": F.when(open_, F.col("own")), "others": F.when(open_, F.col("others"))})
-    state = materialize(state, "fingerprints")
-    out = [state.where(~open_)]
-    left, grow = state.where(open_), 2.0
+    done, left, grow = [state.where(~open_)], state.where(open_), 2.0
     for _ in range(RETRIES):
         if left.isEmpty():
             break
         waiting = F.transform("others", lambda x, i: F.when(F.when(i == 0, F.col("d0")).otherwise(F.col("d1")).isNull(), x))
-        found = compare(left.select("bucket", "row", "own", waiting.alias("others")), grow)
-        found = found.select("bucket", "row", F.col("d0").alias("e0"), F.col("d1").alias("e1"))
+        sides = base.join(left, ["bucket", "row"]).select("bucket", "row", "own", waiting.alias("others"))
+        found = compare(sides, grow).select("bucket", "row", F.col("d0").alias("e0"), F.col("d1").alias("e1"))
         # a pair that was solved before stays so; one that wasn't has cells, so it is in found
         left = left.join(found, ["bucket", "row"]).withColumns({f"d{k}": F.coalesce(f"d{k}", f"e{k}") for k in (0, 1)}).drop("e0", "e1")
-        left = materialize(left, "fingerprints")
-        out.append(left.where(~open_))
+        left = materialize(left, "fingerprint-pairs")
+        done.append(left.where(~open_))
         left, grow = left.where(open_), grow * 2
     else:
         if not left.isEmpty():
             raise RuntimeError("sketches could not be peeled")
-    done = out[0]
-    for more in out[1:]:
-        done = done.unionByName(more)
-
-    def near(k: int, other: int) -> Column:
-        both = F.col("sizes")[0] + F.col("sizes")[other]
+    solved = done[0]
+    for more in done[1:]:
+        solved = solved.unionByName(more)
+    # a document whose two pairs are of equal sets leaves no cell at all, and isn't in solved
+    joined = base.join(solved, ["bucket", "row"], "left").withColumns({f"d{k}": F.coalesce(f"d{k}", F.lit(0)) for k in (0, 1)})
+    sizes = [F.size("own"), F.size(F.col("others")[0]), F.size(F.col("others")[1])]
+
+    def near(k: int) -> Column:
+        both = sizes[0] + sizes[k + 1]
         return F.when(both == 0, 1.0).otherwise((both - F.col(f"d{k}")) / (both + F.col(f"d{k}")))
 
-    return done.select(
+    return joined.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        near(0, 1).alias("near_edited"),
-        near(1, 2).alias("near_next"),
+        F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        base_table(F.col("own")).alias("fingerprint"),
+        base_table(F.col("others")[0]).alias("edited_fingerprint"),
+        near(0).alias("near_edited"),
+        near(1).alias("near_next"),
     )
 
 

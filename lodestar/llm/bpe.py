@@ -6,8 +6,8 @@ the prefix before it. Storing that token per prefix and following the back-point
 merging would give, in time linear in the word, whatever its length. Two tokens are compatible if undoing the
 youngest merges beside their seam, one after the other, never uncovers a pair that would have merged earlier.
 
-Words repeat, so a bounded cache holds the ids of the stretches between single spaces, where no word of the
-pre-tokenizer can reach across.
+Words repeat, so bounded caches hold the ids of words, and of the stretches between single spaces, across which no
+word of the pre-tokenizer can reach.
 
 Cases: a null text is empty and has no ids; the special token's string in a text becomes its id, as the library
 does by default; texts of any length are taken in blocks, and a single word of any length in one linear pass; an
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm.common import as_before, as_text, table
 
 #: Fixed value: the pre-tokenizer's pattern.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +39,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK = 1 << 20
 CACHE = 400_000
 
+_MARKS = frozenset(".,")
+_word = regex.compile(WORD)
 _beside_space = re.compile(r"\s | \s")
 _single_space = re.compile(r"(?<=\S) (?=\S)")
 
@@ -56,13 +58,23 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def pre_tokens(text: str) -> tuple[str, ...] | list[str]:
+    """The pre-tokenizer's words of a stretch; most are one word, with a mark or without."""
+    if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+        return (text,)
+    if text[-1:] in _MARKS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
+        return (text[:-1], text[-1])
+    return _word.findall(text)
+
+
 class StretchEncoder:
-    """Ids (little-endian unsigned 32-bit, as bytes) of whole texts, from a function that encodes short stretches."""
+    """Ids (little-endian unsigned 32-bit, as bytes) of whole texts, from a function that encodes words."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int]):
         self.encode, self.special = encode, special
         self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}  # stretch after a space -> ids, with the space
+        self.words: dict[str, bytes] = {}  # word of the pre-tokenizer -> ids
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[list[bytes]] = []
@@ -102,12 +114,21 @@ class StretchEncoder:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
         new = list(new - self.known.keys())
-        self.known.update(zip(new, self.encode([" " + x for x in new])))
-        for (parts, _, rest), first in zip(waiting, self.encode([first for _, first, _ in waiting])):
+        self.known.update(zip(new, self._encode([" " + x for x in new])))
+        for (parts, _, rest), first in zip(waiting, self._encode([first for _, first, _ in waiting])):
             parts.append(first)
             parts += map(self.known.__getitem__, rest)
         waiting.clear()
 
+    def _encode(self, stretches: list[str]) -> list[bytes]:
+        parted = list(map(pre_tokens, stretches))
+        new = set().union(*parted)
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+        new = list(new - self.words.keys())
+        self.words.update(zip(new, self.encode(new)))
+        return [b"".join(map(self.words.__getitem__, words)) for words in parted]
+
 
 class Vocabulary:
     """Tokens and merges of a byte-level BPE file, with the automaton and the tests that encoding needs."""
@@ -138,9 +159,7 @@ class Vocabulary:
             a, b = ids[left], ids[right]
             self.rank[a, b] = at
             self.made.setdefault(ids[left + right], (at, a, b))
-        self.word = regex.compile(WORD)
         self.tested: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token a followed by token b is what merging their joint bytes gives."""
@@ -186,26 +205,6 @@ class Vocabulary:
         out.reverse()
         return out.tobytes()
 
-    def encode_stretch(self, text: str) -> bytes:
-        known, out = self.words, []
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            words = (text,)
-        elif text[-1] in ".," and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
-            words = (text[:-1], text[-1])
-        else:
-            words = self.word.findall(text)
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[word] = self.encode_word(word)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode_stretches(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.encode_stretch, texts))
-
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that aren't UTF-8 become the replacement character."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -215,7 +214,7 @@ class Vocabulary:
 def encoder(path: str) -> tuple[Vocabulary, StretchEncoder]:
     """One per worker process."""
     vocabulary = Vocabulary(path)
-    return vocabulary, StretchEncoder(vocabulary.encode_stretches, vocabulary.special)
+    return vocabulary, StretchEncoder(lambda words: list(map(vocabulary.encode_word, words)), vocabulary.special)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -234,10 +233,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             }
             yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if keep else {}))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, schema + (", ids binary, decoded string" if keep else ""))
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
+    rows = docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return as_before(rows.mapInPandas(work, schema), docs, "doc_id", id_col)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

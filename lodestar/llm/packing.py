@@ -13,21 +13,21 @@ packed each for itself; a null id is kept; an empty table gives an empty result;
 
 from __future__ import annotations
 
-import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import StretchEncoder
-from lodestar.llm.common import table
+from lodestar.llm.bpe import WORD, blocks, encoder
+from lodestar.llm.common import as_before, as_text, table
 from lodestar.session import materialize
 
 LENGTH = 1024
@@ -38,19 +38,41 @@ FAN = 16
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
 
-@cache
-def library_encoder(path: str) -> StretchEncoder:
-    """Ids by the tokenizers library, asked once for each distinct stretch."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class FileEncoder:
+    """Ids of whole texts by the vocabulary of a tokenizers file, with add_special_tokens=False.
+
+    The compiled encoder of tiktoken is given the file's vocabulary: its ids are those of the tokenizers library, at a
+    third of the cost. Its pattern engine gives up on very long runs of white space; such a block is encoded by the
+    dynamic programme of this subpackage, which is exact too."""
+
+    def __init__(self, path: str):
+        vocabulary, self.exact = encoder(path)
+        self.special = vocabulary.special
+        marks = set(self.special.values())
+        ranks = {raw: i for i, raw in vocabulary.bytes_of.items() if i not in marks}
+        self.fast = tiktoken.Encoding("file", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
-    tokenizer = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    def _part(self, text: str) -> np.ndarray:
+        if text in self.special:
+            return np.array([self.special[text]], "u4")
+        try:
+            return np.array(self.fast.encode_ordinary(text), "u4")
+        except BaseException as error:  # a panic of the compiled code is no Exception
+            if type(error).__name__ != "PanicException":
+                raise
+            return np.frombuffer(self.exact.ids([text])[0], "<u4")
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, text: str | None) -> np.ndarray:
+        parts = self.marks.split(text) if text and self.marks.search(text) else [text or ""]
+        found = [self._part(b) for p in parts if p for b in ([p] if p in self.special else blocks(p))]
+        return found[0] if len(found) == 1 else np.concatenate([np.empty(0, "u4"), *found])
 
-    return StretchEncoder(encode, special)
+
+@cache
+def file_encoder(path: str) -> FileEncoder:
+    """One per worker process."""
+    return FileEncoder(path)
 
 
 class Packer:
@@ -122,7 +144,7 @@ class Packer:
     def frame(self) -> pd.DataFrame:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids"]
         rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "object"})
+        return pd.DataFrame(rows, columns=names)
 
 
 def pack(
@@ -131,14 +153,13 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = library_encoder(path), np.array([end_id], "u4")
+        texts, end = file_encoder(path), np.array([end_id], "u4")
         task = TaskContext.get().partitionId()
         packer = Packer(task << 32, length, windows)
         for pdf in batches:
-            ids = encoder.ids(pdf["text"])
-            for doc_id, own in zip(pdf["doc_id"].tolist(), ids):
-                own = np.concatenate((np.frombuffer(own, "<u4"), end))
-                packer.add(None if pd.isna(doc_id) else doc_id, 0, own, len(own))
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+                own = np.concatenate((texts.ids(text), end))
+                packer.add(doc_id, 0, own, len(own))
             yield packer.frame()
         packer.pass_on(task // FAN)
         yield packer.frame()
@@ -148,15 +169,14 @@ def pack(
             part = int(pdf["part"].iloc[0])
             packer = Packer((level << 57) + (part << 32), length, windows)
             for r in pdf.sort_values(["doc_id", "start", "doc_tokens"]).itertuples():
-                packer.add(None if pd.isna(r.doc_id) else r.doc_id, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens)
+                packer.add(r.doc_id, r.start, np.frombuffer(r.ids, "<u4"), r.doc_tokens)
             packer.finish() if last else packer.pass_on(part // FAN)
             return packer.frame()
 
         return work
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, {_PIECE}"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id string, {_PIECE}"
+    rows = docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(rows.mapInPandas(first, schema), "packed")
     placed = [found.where("part < 0")]
     for level in range(1, 32):
@@ -169,7 +189,7 @@ def pack(
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
-    return out.drop("part", "ids")
+    return as_before(out.drop("part", "ids"), docs, "doc_id", id_col)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

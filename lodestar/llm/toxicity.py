@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed lexicons of insults by kind and language, lexicons mined from the labelled rows (word stems),
-and patterns. A generative label model estimates, by expectation-maximisation over the counts of vote patterns of
-all documents (at most 3 * 2**voters of them, so the driver holds a bounded table), how often each voter fires on
-toxic and on clean texts; labels enter it as one more, fallible voter. Pairs of voters that fire together more than
+Many voters look at a text: fixed lexicons of insults by kind and language, lexicons of word stems mined from the
+labelled rows, and patterns. A generative label model estimates, by expectation-maximisation over the counts of vote
+patterns of all documents (at most 3 * 2**voters of them, so the driver holds a bounded table), how far each voter is
+to be believed when it fires; labels enter it as one more, fallible voter. Pairs of voters that fire together more than
 the model explains are correlated, and share their weight. A linear classifier is then trained on the posterior
 labels of a bounded sample (SAMPLE_ROWS rows) and scores every whole text.
 
@@ -44,10 +44,13 @@ _ADDRESS = re.compile(r"\b(?:you|your|du|tu|eres|vous) (?:are |all |a |bist |es
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def mined_stems(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """Word stems (4 to 8 letters, or whole words) of labelled training rows that go with label 1: present in at
-    least 4 and 2 % of the toxic ones, and 40 times as often as in clean ones. A stem that extends another is left
-    out. At most SAMPLE_ROWS rows are looked at and 20 * MINED_STEMS stems reach the driver."""
+def mined_stems(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
+    """(stems, misleading words), from labelled training rows, of which at most SAMPLE_ROWS are looked at.
+
+    Stems are the first 4 to 8 letters of words, or whole words, that go with label 1: present in at least 4 and 2 % of
+    the toxic rows, and 20 times as often as in clean ones (to which two are added). Those that fewest clean rows have come
+    first, and a stem that extends or begins another is left out; at most 20 * MINED_STEMS stems reach the driver. Words of the fixed lexicons that are found in clean rows, and
+    not 20 times as often in toxic ones, mislead here: they mean something else in these texts."""
     known = docs.join(labels, "doc_id").where(fold("doc_id", 3) != 1)
     size = known.count()
     share = int(min(1, SAMPLE_ROWS / max(size, 1)) * 1_000_000)
@@ -57,23 +60,26 @@ def mined_stems(docs: DataFrame, labels: DataFrame) -> list[str]:
         F.filter(words, lambda w: F.length(w) > 3),
         lambda w: F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.length(w))), lambda n: F.substring(w, F.lit(1), n)),
     )
-    rows = known.select("toxic", F.explode(F.array_distinct(F.flatten(stems))).alias("stem"))
+    listed = F.lit(sorted({w for words in LEXICONS.values() for w in words.split()}))
     bad, good = (float(x or 0) for x in known.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    counts = rows.groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
-    found = counts.where((F.col("bad") >= max(4, 0.02 * bad)) & (odds >= 40))
+    counted = [F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")]
+    odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 2) / (good + 1))
+
+    counts = known.select("toxic", F.explode(F.array_distinct(F.flatten(stems))).alias("stem")).groupBy("stem").agg(*counted)
+    found = counts.where((F.col("bad") >= max(4, 0.02 * bad)) & (odds >= 20))
     kept: list[str] = []
-    for r in found.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(20 * MINED_STEMS).collect():
-        if len(kept) < MINED_STEMS and not any(r.stem.startswith(x) for x in kept):
+    for r in found.orderBy(F.desc(F.col("bad") - 5 * F.col("good")), F.length("stem"), "stem").limit(20 * MINED_STEMS).collect():
+        if len(kept) < MINED_STEMS and not any(r.stem.startswith(x) or x.startswith(r.stem) for x in kept):
             kept.append(r.stem)
-    return kept
+    fixed = known.select("toxic", F.explode(F.array_intersect(words, listed)).alias("word")).groupBy("word").agg(*counted)
+    return kept, [r.word for r in fixed.where((F.col("good") > 0) & (odds < 20)).orderBy("word").collect()]
 
 
 class Voters:
     """Which voters fire on a text, and by how many different words."""
 
-    def __init__(self, mined: list[str]):
-        self.lists = [frozenset(v.split()) for v in LEXICONS.values()]
+    def __init__(self, mined: list[str], misleading: list[str]):
+        self.lists = [frozenset(v.split()).difference(misleading) for v in LEXICONS.values()]
         self.names = [*LEXICONS, "mined0", "mined1", "mined2", "shouting", "exclaiming", "addressed"]
         self.of_word: dict[str, list[int]] = {}
         for i, words in enumerate(self.lists):
@@ -113,45 +119,56 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.concatenate((fired, np.log1p(counts), lexical.any(1, keepdims=True), lexical.sum(1, keepdims=True)), axis=1).astype("f8")
 
 
+def _logit(p):
+    return np.log(p / (1 - p))
+
+
 class LabelModel:
-    """Rates at which each voter fires on toxic and clean texts, and the posterior of a text being toxic."""
+    """How far each voter is to be believed when it fires, and the posterior of a text being toxic.
+
+    Voters speak for one side and abstain otherwise, and silence of one says nothing (the lexicon of another language
+    can't fire); only that no lexicon fires at all speaks against."""
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 50):
         """votes: patterns x voters, 0 or 1; labels: -1 unknown, 0, 1; weights: documents with that pattern."""
         known, said = labels >= 0, labels == 1
-        lexical = votes[:, : len(LEXICONS) + 3].sum(1)
-        p = np.where(lexical > 0, 0.9, 0.05)  # to begin with: a text of abuse is toxic more likely than not
+        quiet = self._quiet(votes)
+        p = np.where(quiet, 0.05, 0.9)  # to begin with: a text of abuse is toxic more likely than not
         self.share = np.ones(votes.shape[1])
         for step in range(rounds):
             w1, w0 = weights * p, weights * (1 - p)
             self.prior = (w1.sum() + 1) / (weights.sum() + 2)
-            self.hit = (w1 @ votes + 0.5) / (w1.sum() + 1)
-            self.false = (w0 @ votes + 0.5) / (w0.sum() + 1)
-            self.label_hit = ((w1 * known) @ said + 1) / ((w1 * known).sum() + 2)
-            self.label_false = ((w0 * known) @ said + 1) / ((w0 * known).sum() + 2)
+            self.right = (w1 @ votes + 2 * self.prior) / (weights @ votes + 2)  # toxic, given that the voter fires
+            self.missed = (w1 @ quiet + 2 * self.prior * 0.1) / (weights @ quiet + 2)  # toxic, though no lexicon fires
+            label_hit = ((w1 * known) @ said + 1) / ((w1 * known).sum() + 2)
+            label_false = ((w0 * known) @ said + 1) / ((w0 * known).sum() + 2)
             if step % 10 == 4:
                 self.share = self._shares(votes, w1, w0)
-            odds = self.odds(votes)
-            yes = np.log(self.label_hit / self.label_false)
-            no = np.log((1 - self.label_hit) / (1 - self.label_false))
-            p = 1 / (1 + np.exp(-np.clip(odds + known * np.where(said, yes, no), -30, 30)))
+            says = np.where(said, np.log(label_hit / label_false), np.log((1 - label_hit) / (1 - label_false)))
+            p = 1 / (1 + np.exp(-np.clip(self.odds(votes) + known * says, -30, 30)))
+
+    @staticmethod
+    def _quiet(votes: np.ndarray) -> np.ndarray:
+        return votes[:, : len(LEXICONS) + 3].sum(1) == 0
 
     def _shares(self, votes: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
         """A voter's weight is split with those that it is correlated with, given the class."""
         excess = np.zeros((votes.shape[1],) * 2)
-        for w, rate in ((w1, self.hit), (w0, self.false)):
-            if w.sum() > 0:
-                together = (votes * w[:, None]).T @ votes / w.sum() - np.outer(rate, rate)
-                spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))) + 1e-9
-                excess = np.maximum(excess, together / spread)
+        for w in (w1, w0):
+            rate = (w @ votes + 0.5) / (w.sum() + 1)
+            together = (votes * w[:, None]).T @ votes / max(w.sum(), 1e-9) - np.outer(rate, rate)
+            excess = np.maximum(excess, together / (np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))) + 1e-9))
         np.fill_diagonal(excess, 0)
         return 1 / (1 + np.where(excess > 0.3, excess, 0).sum(1))
 
     def odds(self, votes: np.ndarray) -> np.ndarray:
-        """Logarithm of the odds of being toxic, from votes alone. A voter that stays silent says little."""
-        fires = np.log(self.hit / self.false) * self.share
-        silent = np.log((1 - self.hit) / (1 - self.false)) * self.share
-        return np.log(self.prior / (1 - self.prior)) + votes @ fires + (1 - votes) @ silent
+        """Logarithm of the odds of being toxic, from votes alone. The most trusted voter that fires counts in full, the
+        others by their shares."""
+        base = _logit(self.prior)
+        gain = _logit(self.right) - base
+        lead = (votes * np.maximum(gain, 0)).max(1)
+        rest = votes @ (gain * self.share)
+        return np.where(self._quiet(votes), _logit(self.missed), base) + np.maximum(lead, rest)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.odds(votes), -30, 30)))
@@ -176,11 +193,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1
 class ToxicityModel:
     """What scoring needs: the mined stems and the classifier's weights. Small, whatever the input."""
 
-    def __init__(self, mined: list[str], beta: np.ndarray):
-        self.mined, self.beta, self.voters = mined, beta, None
+    def __init__(self, mined: list[str], misleading: list[str], beta: np.ndarray):
+        self.mined, self.misleading, self.beta, self.voters = mined, misleading, beta, None
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        self.voters = self.voters or Voters(self.mined)
+        self.voters = self.voters or Voters(self.mined, self.misleading)
         if not texts:
             return np.empty(0)
         x = features(np.array([self.voters.counts(t) for t in texts]))
@@ -191,11 +208,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on docs and the labels of rows outside fold 1 of 3."""
     labels = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     docs = docs.select("doc_id", "text")
-    mined = mined_stems(docs, labels)
-    size = len(Voters(mined).names)
+    mined, misleading = mined_stems(docs, labels)
+    size = len(Voters(mined, misleading).names)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters = Voters(mined)
+        voters = Voters(mined, misleading)
         for pdf in batches:
             counts = np.array([voters.counts(t) for t in pdf["text"]]).reshape(-1, size)
             bits = ["".join("1" if c else "0" for c in row) for row in counts]
@@ -214,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .collect()
     )
     if not patterns:
-        return ToxicityModel(mined, np.zeros(2 * size + 3))
+        return ToxicityModel(mined, misleading, np.zeros(2 * size + 3))
     votes = np.array([[c == "1" for c in r.votes] for r in patterns], "f8")
     model = LabelModel(votes, np.array([r.label for r in patterns]), np.array([r.n for r in patterns], "f8"))
     trained, fired = sum(r.train for r in patterns), sum(r.train for r in patterns if "1" in r.votes)
@@ -225,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     v = np.array([[c == "1" for c in r.votes] for r in sample] + [[0] * size], "f8")
     weights = np.ones(len(x))
     weights[-1] = max(1, (trained - fired) * max(len(sample), 1) / max(fired, 1))
-    return ToxicityModel(mined, logistic(x, model.posterior(v), weights))
+    return ToxicityModel(mined, misleading, logistic(x, model.posterior(v), weights))
 
 
 def _scorer(docs: DataFrame, model: ToxicityModel):

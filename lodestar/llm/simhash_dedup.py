@@ -112,6 +112,9 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucket_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket, each from the least fingerprint of its tree: the buckets of one large group under different
+    masks then give mostly the same links."""
+    prints = np.sort(prints)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius
     links = np.array(forest(near), "i8").reshape(-1, 2)
     return prints[links[:, 0]], prints[links[:, 1]]
@@ -173,7 +176,7 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
         "mask", F.col("kept").bitwiseAND(F.col("fp")).alias("bucket"), "fp"
     )
     found = materialize(
-        keyed.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket").mapInPandas(_scan_buckets(radius), _LINKS),
+        keyed.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp").mapInPandas(_scan_buckets(radius), _LINKS),
         "simhash-links",
     )
     links = found.where("block < 0").select("a", "b").distinct()

@@ -50,12 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), "digest"
     )
     found = rows.join(hits, "digest")
-    stays = (
-        rows.join(hits.select("digest", "keep_id"), "digest")
-        .where("doc_id <=> keep_id")
-        .groupBy("digest")
-        .agg(F.max("norm").alias("keep_norm"))
-    )
+    # The same join as found, so that one shuffle of the texts serves both.
+    is_kept = F.expr("doc_id <=> keep_id and n_chars = keep_chars")
+    stays = found.groupBy("digest").agg(F.max(F.when(is_kept, F.col("norm"))).alias("keep_norm"))
     checked = materialize(
         found.join(stays, "digest", "left").select(
             "digest",

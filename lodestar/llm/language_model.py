@@ -6,14 +6,14 @@ come from expectation-maximisation on held-out counts: every training occurrence
 
 Nothing but the documents' own pieces meets in one place. A scan turns about BATCH_CHARS characters of whole texts
 into one row (token codes and the hashes of its distinct words), with no shuffle of texts. Each such batch sends its
-distinct words and bigrams, once each, as sorted 48-bit differences to the part of the hash range that counts them,
+distinct words and bigrams, once each, as differences of sorted hashes to the part of the hash range that counts them,
 and gets the corpus counts back in the same order. Held-out statistics are summed in a grid of rounded counts whose
 size doesn't depend on the input; expectation-maximisation runs on that grid on the driver.
 
 Cases: a null or empty text is the one end token; very long texts are taken in blocks; repeated rows count each
 time; a null id trains; with no training rows all counts are 0 and the base is certain (score 0); an empty table
-gives an empty result; extra columns are ignored. Words meet by 64-bit hashes, of which 48 bits and the part's
-number are compared.
+gives an empty result; extra columns are ignored. Words and bigrams meet by hashes, of which KEY_BITS and the
+part's number are compared.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import as_before, as_text, fold, table, text_of
 from lodestar.session import materialize
 
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 10_000_000
 BLOCK_BYTES = 4_000_000
+#: Bits of a word's and of a bigram's hash that are compared within a part of the hash range.
+KEY_BITS = (48, 40)
 END = b"\n"  # no word holds white space
 BUCKETS = 34
 #: Tokens that are looked at together.
@@ -42,7 +44,7 @@ SLICE = 1 << 19
 
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(values.view("u1").reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(values.view("u1").reshape(len(values), -1).T.tobytes())
 
 
 def unsqueeze(data: bytes, kind: str) -> np.ndarray:
@@ -153,7 +155,7 @@ def _send(bits: int):
                 out = []
                 for kind, keys, counts in Batch(r.words, r.codes, r.sizes, r.held_out).counted():
                     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-                    low = (keys << np.uint64(bits)) >> np.uint64(16)
+                    low = (keys << np.uint64(bits)) >> np.uint64(64 - KEY_BITS[kind])
                     for part in range(1 << bits):
                         own = slice(cuts[part], cuts[part + 1])
                         if own.stop > own.start:

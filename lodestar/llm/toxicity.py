@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestar.llm.common import as_text, fold, table, text_of
+from lodestar.session import materialize
 
 SAMPLE_ROWS = 20_000
 MINED_STEMS = 60
@@ -55,6 +56,7 @@ def mined_stems(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str
     size = known.count()
     share = int(min(1, SAMPLE_ROWS / max(size, 1)) * 1_000_000)
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("toxic", "text")
+    known = materialize(known, "toxicity-sample")  # read by three jobs, joined once
     words = F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+"))
     stems = F.transform(
         F.filter(words, lambda w: F.length(w) > 3),

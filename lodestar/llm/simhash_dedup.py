@@ -7,7 +7,10 @@ spanning forest, never as all pairs, and a bucket beyond BUCKET_ROWS is compared
 tasks.
 
 `near_groups` goes on from linked fingerprints to texts: documents of one linked group are compared by the Jaccard
-similarity of their word shingles, again block against block, so the answer rests on an exact check.
+similarity of their word shingles, again block against block, so the answer rests on an exact check. A fingerprint may
+miss a similar pair, so a prefix filter adds every candidate that is left: all texts order their shingles alike, rare
+ones first, and of n shingles the first n - ceil(share * n) + 1 are posted. Two texts whose similarity is at least
+share have a posted shingle in common, whatever the order; that the order comes from a sample matters for speed only.
 
 Cases: a null text is empty; a text without words has the fingerprint zero and links like any other; null ids
 get a component only through others' ids; repeated rows share a fingerprint; extra columns are ignored by
@@ -34,6 +37,9 @@ from lodestar.session import materialize
 #: Fingerprints of one bucket, or documents of one group, that a task compares at a time.
 BUCKET_ROWS = 1024
 BLOCK_DOCS = 128
+#: Documents that the order of shingles is learned from, and how many shingles at most count as common.
+ORDER_DOCS = 20_000
+ORDER_SHINGLES = 200_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -232,9 +238,151 @@ def _similar(sets: list[np.ndarray], share: float) -> np.ndarray:
     return both >= share * union - 1e-9
 
 
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that several texts of a sample have, and their numbers of texts there."""
+    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
+    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = drawn.select(F.explode(shingle_set("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
+    found = found.sort_values("token")
+    return found["token"].to_numpy("i8"), found["n"].to_numpy("i8")
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: float) -> np.ndarray:
+    """The first shingles in the common order, as many as a text must post."""
+    n = len(shingles)
+    known, counts = common
+    rank = np.zeros(n, "i8")
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, counts[at], 0)
+    keep = max(n - max(int(np.ceil(share * n - 1e-6)), 1) + 1, 0)
+    return shingles[np.lexsort((shingles, rank))[:keep]] if n else shingles
+
+
+def _candidates(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
+    """Pairs of a token's postings that can be similar: of different groups, of fitting sizes, and with enough
+    shingles from the token on. A similar pair passes at the first shingle that it shares."""
+    ids, group, n, at = (pdf[c].to_numpy() for c in ("id", "grp", "n", "pos"))
+    rest = n - at
+    found = []
+    for i in range(0, len(ids), 256):
+        here = slice(i, i + 256)
+        most = np.minimum(rest[here, None], rest[None, :])
+        fits = (group[here, None] != group[None, :]) & (ids[here, None] < ids[None, :])
+        fits &= most >= share / (1 + share) * (n[here, None] + n[None, :]) - 1e-6
+        fits &= np.minimum(n[here, None], n[None, :]) >= share * np.maximum(n[here, None], n[None, :]) - 1e-6
+        x, y = np.nonzero(fits)
+        found.append(np.stack((ids[x + i], ids[y])))
+    pairs = np.concatenate(found, 1) if found else np.empty((2, 0), "i8")
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+_POSTING = "token long, id long, n int, pos int, block long"
+
+
+def _scan_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over postings sorted by token: those of tokens with two at least, with the number of their block."""
+    token, passed, first = None, 0, None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        tokens = pdf["token"].to_numpy()
+        new = np.concatenate(([tokens[0] != token], tokens[1:] != tokens[:-1]))
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        order = np.arange(len(tokens)) - np.repeat(starts, sizes)
+        if not new[0]:
+            order[: sizes[0]] += passed
+            if first is not None:
+                yield first.assign(block=0)
+        keep = np.repeat(sizes > 1, sizes)
+        if not new[0]:
+            keep[: sizes[0]] = True
+        alone = sizes[-1] == 1 and (len(starts) > 1 or new[0])
+        yield pdf[keep].assign(block=order[keep] // BUCKET_ROWS)
+        token, passed, first = tokens[-1], int(order[-1]) + 1, pdf.iloc[-1:] if alone else None
+
+
+def prefix_links(texts: DataFrame, groups: DataFrame, share: float) -> DataFrame:
+    """(src, dst): the similar pairs of different groups; with the links of the groups (node, component) they join all
+    similar texts. texts has id and text."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (pdf.iloc[at : at + 1000] for pdf in batches for at in range(0, len(pdf), 1000)):
+            ids, sizes, tokens = [], [], []
+            for i, text in zip(part["id"].tolist(), part["text"].tolist()):
+                own = np.unique(shingle_hashes(text, 5)).view("<i8")
+                ids.append(i)
+                sizes.append(len(own))
+                tokens.append(prefix(np.sort(own), shared.value, share))
+            many = [len(t) for t in tokens]
+            yield pd.DataFrame(
+                {
+                    "token": np.concatenate([*tokens, np.empty(0, "i8")]),
+                    "id": np.repeat(np.array(ids, "i8"), many),
+                    "n": np.repeat(np.array(sizes, "i4"), many),
+                    "pos": np.concatenate([*(np.arange(m, dtype="i4") for m in many), np.empty(0, "i4")]),
+                }
+            )
+
+    posted = texts.mapInPandas(post, "token long, id long, n int, pos int").repartition("token").sortWithinPartitions("token")
+    met = materialize(posted.mapInPandas(_scan_tokens, _POSTING), "near-postings")
+    met = met.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
+    met = met.withColumn("grp", F.coalesce("grp", "id"))
+    spread = met.groupBy("token").agg(F.max("block").alias("last"), F.min("grp").alias("one"), F.max("grp").alias("other"))
+    spread = spread.where("one <> other").select("token", "last")
+    placed = met.join(spread, "token").select(
+        "token", "id", "grp", "n", "pos", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with")
+    )
+    placed = placed.select("token", "id", "grp", "n", "pos", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    pairs = _pairs_of(placed, share)
+    pairs = materialize(pairs.distinct(), "near-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", shingle_set("text").alias("shingles")), "near-sets")
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    close = both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return materialize(found.distinct(), "near-more")
+
+
+def _pairs_of(placed: DataFrame, share: float) -> DataFrame:
+    """(a, b): candidates among the postings of each token and pair of blocks, many tokens a batch."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            if pdf.empty:
+                continue
+            key = pdf[["token", "i", "j"]].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1))
+            held = pdf.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield from found(pdf.iloc[: starts[-1]], starts)
+        if held is not None:
+            yield from found(held, np.array([0, len(held)]))
+
+    def found(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        (a, x, n, g), (b, y, m, h) = (tuple(pdf[c].to_numpy()[at] for c in ("id", "pos", "n", "grp")) for at in (two, two + 1))
+        fits = (g != h) & (a != b) & (np.minimum(n - x, m - y) >= share / (1 + share) * (n + m) - 1e-6)
+        fits &= np.minimum(n, m) >= share * np.maximum(n, m) - 1e-6
+        out = [pd.DataFrame({"a": np.minimum(a, b)[fits], "b": np.maximum(a, b)[fits]})]
+        more = sizes > 2
+        out += [_candidates(pdf.iloc[a:b], share) for a, b in zip(cuts[:-1][more].tolist(), cuts[1:][more].tolist())]
+        yield pd.concat(out, ignore_index=True).drop_duplicates()
+
+    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(scan, "a long, b long")
+
+
 def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of the documents that have a partner: word fingerprints within the radius and a Jaccard
-    similarity of 5-word shingles of at least share, followed over any number of steps. Null ids take no part."""
+    """(node, component) of the documents that have a partner: a Jaccard similarity of 5-word shingles of at least
+    share, followed over any number of steps. Word fingerprints within the radius find most pairs cheaply, the prefix
+    filter all others. Null ids take no part."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
     rows = materialize(texts.select("id", simhash_words("text").alias("fp")), "near")
     prints = rows.select("fp").distinct()
@@ -258,7 +406,9 @@ def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: st
         return pd.DataFrame({"src": ids[links[:, 0]], "dst": ids[links[:, 1]]})
 
     links = paired.groupBy("component", "i", "j").applyInPandas(compare, "src long, dst long")
-    return connected_components(materialize(links.distinct(), "near-links"))
+    links = materialize(links.distinct(), "near-links")
+    more = prefix_links(texts, connected_components(links), share)
+    return connected_components(links.unionByName(more))
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -412,6 +412,35 @@ def test_op8_near_copies(spark, texts):
     assert alone <= left
 
 
+def edits(kind, words, other, rng):
+    """The words with an end added, cut off or replaced, or single words changed; 5-word shingles mostly stay."""
+    n = len(words)
+    if kind == "append":
+        return words + other[: n * 18 // 100]
+    if kind == "truncate":
+        return words[: n - n * 15 // 100]
+    if kind == "replace":
+        return words[: n - n * 9 // 100] + other[: n * 9 // 100]
+    return [f"new{i}" if i in set(rng.choice(n, max(n // 60, 1), replace=False).tolist()) else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("blocks", [1024, 3])
+def test_op8_near_copies_of_all_kinds_of_edits(spark, texts, monkeypatch, blocks):
+    monkeypatch.setattr(simhash_dedup, "BUCKET_ROWS", blocks)
+    rng = np.random.default_rng(5)
+    base = [t.split() for t in texts.values() if 60 < len(t.split()) < 600][:60]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for k, kind in enumerate(("append", "truncate", "replace", "scatter"), 1):
+        rows += [(1000 * k + i, " ".join(edits(kind, w, base[i - 1], rng))) for i, w in enumerate(base)]
+    sets = {i: set(simhash_dedup.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {b // 1000 for _, b in close} >= {1, 2, 3, 4}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {r.node: r.component for r in simhash_dedup.near_groups(frame).collect()}
+    assert all(a in group and group[a] == group.get(b) for a, b in close)
+    assert set(group) == {x for pair in close for x in pair}
+
+
 def check_dedup(found, rows):
     norm = {}
     for i, t in rows:

@@ -1,7 +1,8 @@
 """Language identification by cross-parsing: the language whose labelled text needs fewest phrases wins.
 
-For every language a suffix automaton of a bounded sample of labelled text (SAMPLE_CHARS symbols, whole documents
-chosen by a hash of their id, the last one cut) is built in each worker. A text is parsed greedily: a phrase is the
+For every language a suffix automaton of a bounded sample of labelled text (SAMPLE_CHARS symbols, of the distinct
+texts with the least hashes, so that every language with a letter has one) is built in each worker. No text gives more
+than a DOC_SHARE-th of the sample, unless the language has too few texts to fill it so. A text is parsed greedily: a phrase is the
 longest match of what follows with anything in the language's sample; the number of phrases, normalised by the
 text's length, estimates the cross-entropy. Whole texts are parsed, in blocks of BLOCK symbols at whose ends a
 phrase always ends; all blocks and languages of a batch advance together, a symbol at a time.
@@ -27,6 +28,7 @@ from pyspark.sql.types import BooleanType
 from lodestar.llm.common import as_before, as_text, fold, table, text_of
 
 SAMPLE_CHARS = 30_000
+DOC_SHARE = 20
 BLOCK = 256
 LANES = 4096
 
@@ -140,19 +142,46 @@ def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def learn(docs: DataFrame, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
-    """(language, sample) from the labelled rows outside fold 2 of 4; about chars characters a language."""
-    rows = docs.select("doc_id", F.col("lang"), text_of().alias("text")).where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, int(min(1, 1.5 * chars / max(n, 1)) * 1_000_000) + 1).otherwise(limit)
-    # The share drawn makes this about 1.5 * chars characters a language, whatever the input; at least the rows below.
-    found = rows.where(draw < limit).select("lang", "text", draw.alias("draw"), "doc_id").collect()
-    samples: dict[str, str] = {}
-    for r in sorted(found, key=lambda r: (r.lang, r.draw, r.doc_id if r.doc_id is not None else -1, r.text)):
-        samples[r.lang] = (samples.get(r.lang, "") + " " + r.text)[:chars]
-    return tuple(sorted((k, v) for k, v in samples.items() if any(map(str.isalpha, v))))
+    """(language, sample) from the labelled rows outside fold 2 of 4: at most chars characters a language, and as many
+    where its texts have them.
+
+    A text's level is the number of leading zeros of its hash. Of each language the levels from the top are taken until
+    its texts, each counted up to the share that it may give, fill the sample; the lowest such level doubles their number
+    or so, whatever the input."""
+    start = F.regexp_replace(text_of(), r"^\P{L}+", "")
+    rows = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("lang", start.alias("text")).where("text <> ''")
+    rows = rows.withColumn("draw", F.xxhash64("text")).withColumn("level", F.lit(64) - F.length(F.bin("draw")))
+    most = max(chars // DOC_SHARE, 1)
+    distinct = rows.groupBy("lang", "draw", "level").agg(F.max(F.least(F.length("text"), F.lit(most))).alias("n"))
+    levels: dict[str, dict[int, int]] = {}
+    for r in distinct.groupBy("lang", "level").agg(F.sum("n").alias("n")).collect():
+        levels.setdefault(r.lang, {})[r.level] = r.n
+    taken = []
+    for lang, held in levels.items():
+        least, total = 64, 0
+        for level in sorted(held, reverse=True):
+            least, total = level, total + held[level]
+            if total >= chars:
+                break
+        taken.append((lang, least, most if total >= chars else chars))
+    bounds = docs.sparkSession.createDataFrame(taken, "lang string, least int, most int")
+    drawn = rows.join(F.broadcast(bounds), "lang").where("level >= least").select("lang", "draw", F.expr("substring(text, 1, most)").alias("text"))
+    parts: dict[str, list[str]] = {}
+    for r in sorted(drawn.distinct().collect(), key=lambda r: (r.lang, r.draw % 2**64, r.text)):
+        parts.setdefault(r.lang, []).append(r.text)
+    return tuple(sorted((lang, _fill(own, chars, most)) for lang, own in parts.items()))
+
+
+def _fill(texts: list[str], chars: int, most: int) -> str:
+    """At most chars characters of the texts, in turns of at most so many characters of each."""
+    out, left = [], chars
+    for turn in range(-(-max(map(len, texts)) // most)):
+        for text in texts:
+            part = text[turn * most : (turn + 1) * most][: max(left, 0)]
+            if part:
+                out.append(part)
+                left -= len(part) + 1
+    return " ".join(out)
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -192,6 +192,21 @@ def test_op4_languages(spark, docs):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.97 * len(out)
 
 
+def test_op4_learns_every_language(spark):
+    many = [(i, f"{'abcde'[i % 5]}lpha beta " * 2400, "en") for i in range(40)]
+    long = [(100 + i, "gamma delta " * (150_000 if i == 3 else 4), "fr") for i in range(40)]
+    few = [(200 + i, f"epsilon {i} " * 5000, f"x{i}") for i in range(12) if crc_fold(200 + i, 4) != 2]
+    copies = [(300 + i, "zeta eta " * 4000, "de") for i in range(40)] + [(400 + i, f"theta{i} iota " * 2000, "de") for i in range(60)]
+    rows = [*many, *long, *few, *copies, (500, "12 34", "none"), (501, None, "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = dict(language_id.learn(frame))
+    assert samples.keys() == {lang for _, _, lang in rows} - {"none"}
+    assert all(len(s) <= language_id.SAMPLE_CHARS for s in samples.values())
+    assert all(len(samples[k]) >= 0.95 * language_id.SAMPLE_CHARS for k in samples)
+    assert samples["de"].count("zeta") * len("zeta eta ") <= 0.06 * language_id.SAMPLE_CHARS
+    assert samples == dict(language_id.learn(frame.repartition(5)))
+
+
 def test_op4_phrases():
     parser = language_id.CrossParser((("x", "abcabd"), ("y", "zzzz")))
 

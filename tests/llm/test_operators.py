@@ -503,6 +503,31 @@ def test_op10_without_article(spark):
         assert r.text == f"Body {word} text\nMore {word}"
 
 
+PLAIN = "<html><body><div class='top'>Site name</div><div class='c'><p>Body {0} text</p><p>Read more here</p><p>More {0}</p></div><div class='low'>Imprint</div></body></html>"
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://a.b/{i}", page) for i, page in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extraction.extract_pages(frame).collect()}
+
+
+@pytest.mark.parametrize("odd_page", [None, "", "no element", "<html><body><p>Another make</p></body></html>"])
+def test_op10_one_odd_page(spark, odd_page):
+    words = ["x" * (i + 20) for i in range(6)]
+    found = extracted(spark, [*(PLAIN.format(w) for w in words), odd_page])
+    assert [found[i] for i in range(6)] == [f"Body {w} text\nMore {w}" for w in words]
+    assert found[6] == re.sub("<[^>]*>", "", odd_page or "")
+    article = "<html><body><div class='k'>No {0:.3}</div><article><p>Own {0}</p><p>Always</p></article></body></html>"
+    found = extracted(spark, [*(article.format(w) for w in words), odd_page])
+    assert [found[i] for i in range(6)] == [f"Own {w}\nAlways" for w in words]
+
+
+def test_op10_copies_of_a_page_are_no_template(spark):
+    found = extracted(spark, [PLAIN.format("one and the same")] * 4)
+    assert set(found.values()) == {"Site name\nBody one and the same text\nRead more here\nMore one and the same\nImprint"}
+
+
 def test_op10_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = {r.page_id: r.text for r in html_extraction.extract_pages(pages).collect()}

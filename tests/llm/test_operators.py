@@ -523,6 +523,21 @@ def test_op10_one_odd_page(spark, odd_page):
     assert [found[i] for i in range(6)] == [f"Own {w}\nAlways" for w in words]
 
 
+def test_op10_all_slots(spark):
+    page = "<html><body><nav>Menu {0}</nav><h1>Head {0}</h1><p class='lead'>Lead {0}</p><div class='a'>{1}</div><p>Share this</p><div class='b'>End {0}</div></body></html>"
+    found = extracted(spark, [page.format(i, f"word{i} " * 90) for i in range(6)])
+    assert [found[i] for i in range(6)] == [f"Head {i}\nLead {i}\n{(f'word{i} ' * 90).strip()}\nEnd {i}" for i in range(6)]
+    page = "<html><body><article class='x'>One {0}</article><p>Between</p><article class='y'>Two {0}</article></body></html>"
+    found = extracted(spark, [page.format(i) for i in range(4)])
+    assert [found[i] for i in range(4)] == [f"One {i}\nTwo {i}" for i in range(4)]
+
+
+def test_op10_text_beside_a_short_article(spark):
+    page = "<html><body><article>Lead {0}</article><div>Long text of page {0}</div></body></html>"
+    found = extracted(spark, [page.format(i) for i in range(4)])
+    assert [found[i] for i in range(4)] == [f"Lead {i}\nLong text of page {i}" for i in range(4)]
+
+
 def test_op10_copies_of_a_page_are_no_template(spark):
     found = extracted(spark, [PLAIN.format("one and the same")] * 4)
     assert set(found.values()) == {"Site name\nBody one and the same text\nRead more here\nMore one and the same\nImprint"}

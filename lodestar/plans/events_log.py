@@ -141,11 +141,26 @@ FEEDBACK_APPLY = f"""WITH {EVENT_LOG} SELECT user_id, count(*) AS n, round(least
 FROM event_log WHERE abs(value / 250 - 1) >= 0.01 GROUP BY user_id"""
 
 
+#: Events of a user that are folded in one row.
+SLICE_EVENTS = 4096
+
+
+def _slices(log: DataFrame, *columns: str) -> DataFrame:
+    """user_id, slice, e: the events of each user in order, cut by hours and then into slices of SLICE_EVENTS at most."""
+    order = Window.partitionBy("user_id", "hour").orderBy("epoch", "event_id")
+    number = F.floor((F.row_number().over(order) - 1) / SLICE_EVENTS)
+    sliced = log.withColumn("hour", F.floor(F.col("epoch") / 3600)).withColumn("slice", F.struct("hour", number.alias("number")))
+    return sliced.groupBy("user_id", "slice").agg(F.array_sort(F.collect_list(F.struct("epoch", "event_id", *columns))).alias("e"))
+
+
 def outcome_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential average of each key's values in order of time: 0.85 of the old, 0.15 of the new."""
-    rows = event_log(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "event_id", "value"))).alias("e"))
     fold = F.aggregate("e", F.lit(0.0), lambda s, x: s * 0.85 + x["value"] * 0.15)
-    return rows.select("user_id", F.round(fold, 6).alias("average"), F.size("e").cast("long").alias("n"))
+    parts = _slices(event_log(spark, sf_dir), "value").select("user_id", "slice", fold.alias("part"), F.size("e").cast("long").alias("n"))
+    # what follows a slice fades it by a power of 0.85, so that slices are summed in any order
+    after = F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("slice"))) - F.col("n")
+    faded = parts.withColumn("part", F.col("part") * F.pow(F.lit(0.85), after))
+    return faded.groupBy("user_id").agg(F.round(F.sum("part"), 6).alias("average"), F.sum("n").alias("n"))
 
 
 OUTCOME_AVERAGE = f"""WITH {EVENT_LOG}, r AS (SELECT user_id, value, count(*) OVER (PARTITION BY user_id) AS n,
@@ -155,8 +170,22 @@ SELECT user_id, round(sum(value * 0.15 * pow(0.85, back)), 6) AS average, max(n)
 
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of the values of each type."""
-    p = lambda q: F.round(F.expr(f"percentile(value, {q})"), 6)
-    return event_log(spark, sf_dir).groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("most"))
+    # counts of distinct values, cumulated within ranges of values and over the ranges
+    counts = event_log(spark, sf_dir).groupBy("event_type", "value").agg(F.count("value").alias("n"))
+    counts = counts.withColumn("range", F.coalesce(F.floor("value"), F.lit(0)))
+    ranges = counts.groupBy(F.col("event_type").alias("type"), F.col("range").alias("of")).agg(F.sum("n").alias("m"))
+    types = Window.partitionBy("type")
+    ranges = ranges.select("type", "of", F.sum("m").over(types).alias("total"), (F.sum("m").over(types.orderBy("of")) - F.col("m")).alias("before"))
+    placed = counts.join(ranges, F.col("event_type").eqNullSafe(F.col("type")) & (F.col("range") == F.col("of")))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("event_type", "range").orderBy("value"))
+    placed = placed.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+
+    def p(q: float) -> Column:
+        at = (F.col("total") - 1) * F.lit(q)
+        low, high = (F.max(F.when((F.col("first") <= i) & (F.col("last") > i), F.col("value"))) for i in (F.floor(at), F.ceil(at)))
+        return F.round(low + F.max(at - F.floor(at)) * (high - low), 6)
+
+    return placed.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("most"))
 
 
 VALUE_PERCENTILES = f"""WITH {EVENT_LOG} SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
@@ -165,9 +194,20 @@ round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM event_log G
 
 def energy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget of each key after its events in order: a purchase costs, anything else refills, within 0 and 1000."""
-    rows = event_log(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "event_id", "event_type", "value"))).alias("e"))
-    step = lambda s, x: F.least(F.greatest(s + F.when(x["event_type"] == "purchase", -x["value"]).otherwise(12.0), F.lit(0.0)), F.lit(1000.0))
-    return rows.select("user_id", F.round(F.aggregate("e", F.lit(1000.0), step), 6).alias("energy"))
+    # a run of events is x -> min(max(x + add, low), high), with low <= high; so are two runs after another
+    change = lambda x: F.when(x["event_type"] == "purchase", -x["value"]).otherwise(12.0)
+    clamp = lambda x, low, high: F.least(F.greatest(x, low), high)
+    whole = F.struct(F.lit(0.0).alias("add"), F.lit(0.0).alias("low"), F.lit(1000.0).alias("high"))
+    none, full = F.lit(0.0), F.lit(1000.0)
+    event = lambda s, x: F.struct(
+        (s["add"] + change(x)).alias("add"),
+        clamp(s["low"] + change(x), none, full).alias("low"),
+        clamp(s["high"] + change(x), none, full).alias("high"),
+    )
+    parts = _slices(event_log(spark, sf_dir), "event_type", "value").select("user_id", "slice", F.aggregate("e", whole, event).alias("run"))
+    runs = parts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("slice", "run"))).alias("runs"))
+    step = lambda s, x: clamp(s + x["run"]["add"], x["run"]["low"], x["run"]["high"])
+    return runs.select("user_id", F.round(F.aggregate("runs", full, step), 6).alias("energy"))
 
 
 def latest_before(spark: SparkSession, sf_dir: str) -> DataFrame:

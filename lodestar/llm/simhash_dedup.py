@@ -2,19 +2,24 @@
 
 A 64-bit fingerprint is looked up under 2**(radius+1) - 1 bit masks. Bit i has a vector a(i) of radius+1 bits, and
 mask v keeps the bits with <a(i), v> odd. Whatever at most `radius` bits two fingerprints differ in, some v that
-isn't zero is orthogonal to all their vectors, so the mask keeps none of them: no pair within the radius is missed. Buckets hold distinct fingerprints only (copies are collapsed first); one bucket's links leave it as a
-spanning forest, never as all pairs, and a bucket beyond BUCKET_ROWS is compared block against block in separate
-tasks.
-
-`near_groups` goes on from linked fingerprints to texts: documents of one linked group are compared by the Jaccard
-similarity of their word shingles, again block against block, so the answer rests on an exact check. A fingerprint may
-miss a similar pair, so a prefix filter adds every candidate that is left: all texts order their shingles alike, rare
-ones first, and of n shingles the first n - ceil(share * n) + 1 are posted. Two texts whose similarity is at least
-share have a posted shingle in common, whatever the order; that the order comes from a sample matters for speed only.
+isn't zero is orthogonal to all their vectors, so the mask keeps none of them: no pair within the radius is missed. Buckets hold
+distinct fingerprints only (copies are collapsed first); one bucket's links leave it as a spanning forest, never as
+all pairs, and a bucket beyond BUCKET_ROWS is compared block against block in separate tasks.
+
+`near_groups` goes on from fingerprints to texts: every row is compared with the first row of its fingerprint, of the
+least fingerprint near by and of the tokens it meets, then, in large groups that still aren't joined, with a few drawn
+rows, by the exact Jaccard similarity of word shingles. That is linear in the rows and joins nearly all there is to
+join. A prefix filter then adds every candidate that is left: all texts
+order their shingles alike, rare ones first, and of n shingles the first n - ceil(share * n) + 1 are posted. Two texts
+whose similarity is at least share have a posted shingle in common, whatever the order; that the order comes from a
+sample matters for speed only. Pairs within a group that is joined already aren't looked at again.
 
 Cases: a null text is empty; a text without words has the fingerprint zero and links like any other; null ids
-get a component only through others' ids; repeated rows share a fingerprint; extra columns are ignored by
-`simhash_components` and kept by `drop_near_copies`; empty tables give empty results.
+get a component only through others' ids, and come last where the smallest id stays; repeated rows share a
+fingerprint, and of repeated rows `drop_near_copies` keeps one; rows of one id with different texts are judged apart;
+very long texts are read whole, their shingles hashed one text at a time; of equally small ids the row read first
+stays; extra columns are ignored by `simhash_components` and kept by `drop_near_copies`, whatever their names; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,9 +39,13 @@ from lodestar.llm.common import table, text_of
 from lodestar.operators.components import connected_components
 from lodestar.session import materialize
 
-#: Fingerprints of one bucket, or documents of one group, that a task compares at a time.
+#: Fingerprints of one bucket, or rows of one token, that a task compares at a time.
 BUCKET_ROWS = 1024
-BLOCK_DOCS = 128
+#: Where the pairs that the first meetings leave take more than WORK comparisons a posting, rows are first compared with
+#: HEADS drawn rows, in at most HEAD_ROUNDS rounds. It changes the order of the work, not the result.
+WORK = 4
+HEADS = 8
+HEAD_ROUNDS = 2
 #: Documents that the order of shingles is learned from, and how many shingles at most count as common.
 ORDER_DOCS = 20_000
 ORDER_SHINGLES = 200_000
@@ -218,30 +227,10 @@ def simhash_components(docs: DataFrame, radius: int = 2, id_col: str = "doc_id",
     )
 
 
-def _similar(sets: list[np.ndarray], share: float) -> np.ndarray:
-    """Whether each two sets have that Jaccard similarity; two empty sets have."""
-    sizes = np.array([len(s) for s in sets])
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, cols, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = times[cols] > 1
-    rows, cols = rows[often], np.unique(cols[often], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), "f8")
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    width = 1 << 15
-    for at in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
-        here = slice(*np.searchsorted(cols, (at, at + width)))
-        block = np.zeros((len(sets), width), "f4")
-        block[rows[here], cols[here] - at] = 1
-        both += block @ block.T
-    union = sizes[:, None] + sizes[None, :] - both
-    return both >= share * union - 1e-9
-
-
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that several texts of a sample have, and their numbers of texts there."""
     share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
-    drawn = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(share * (1 << 40)))
     counts = drawn.select(F.explode(shingle_set("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     found = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
     found = found.sort_values("token")
@@ -260,96 +249,128 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: f
     return shingles[np.lexsort((shingles, rank))[:keep]] if n else shingles
 
 
-def _candidates(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
-    """Pairs of a token's postings that can be similar: of different groups, of fitting sizes, and with enough
-    shingles from the token on. A similar pair passes at the first shingle that it shares."""
-    ids, group, n, at = (pdf[c].to_numpy() for c in ("id", "grp", "n", "pos"))
-    rest = n - at
-    found = []
-    for i in range(0, len(ids), 256):
-        here = slice(i, i + 256)
-        most = np.minimum(rest[here, None], rest[None, :])
-        fits = (group[here, None] != group[None, :]) & (ids[here, None] < ids[None, :])
-        fits &= most >= share / (1 + share) * (n[here, None] + n[None, :]) - 1e-6
-        fits &= np.minimum(n[here, None], n[None, :]) >= share * np.maximum(n[here, None], n[None, :]) - 1e-6
-        x, y = np.nonzero(fits)
-        found.append(np.stack((ids[x + i], ids[y])))
-    pairs = np.concatenate(found, 1) if found else np.empty((2, 0), "i8")
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-
-_POSTING = "token long, id long, n int, pos int, block long"
-
-
-def _scan_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over postings sorted by token: those of tokens with two at least, with the number of their block."""
-    token, passed, first = None, 0, None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        tokens = pdf["token"].to_numpy()
-        new = np.concatenate(([tokens[0] != token], tokens[1:] != tokens[:-1]))
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        sizes = np.diff(np.append(starts, len(tokens)))
-        order = np.arange(len(tokens)) - np.repeat(starts, sizes)
-        if not new[0]:
-            order[: sizes[0]] += passed
-            if first is not None:
-                yield first.assign(block=0)
-        keep = np.repeat(sizes > 1, sizes)
-        if not new[0]:
-            keep[: sizes[0]] = True
-        alone = sizes[-1] == 1 and (len(starts) > 1 or new[0])
-        yield pdf[keep].assign(block=order[keep] // BUCKET_ROWS)
-        token, passed, first = tokens[-1], int(order[-1]) + 1, pdf.iloc[-1:] if alone else None
-
-
-def prefix_links(texts: DataFrame, groups: DataFrame, share: float) -> DataFrame:
-    """(src, dst): the similar pairs of different groups; with the links of the groups (node, component) they join all
-    similar texts. texts has id and text."""
+def postings(texts: DataFrame, share: float) -> DataFrame:
+    """row, fp (the word fingerprint), n (distinct shingles) and tokens, the prefix of the text in the common order."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (pdf.iloc[at : at + 1000] for pdf in batches for at in range(0, len(pdf), 1000)):
-            ids, sizes, tokens = [], [], []
-            for i, text in zip(part["id"].tolist(), part["text"].tolist()):
+            sizes, tokens = [], []
+            for text in part["text"].tolist():
                 own = np.unique(shingle_hashes(text, 5)).view("<i8")
-                ids.append(i)
                 sizes.append(len(own))
                 tokens.append(prefix(np.sort(own), shared.value, share))
-            many = [len(t) for t in tokens]
-            yield pd.DataFrame(
-                {
-                    "token": np.concatenate([*tokens, np.empty(0, "i8")]),
-                    "id": np.repeat(np.array(ids, "i8"), many),
-                    "n": np.repeat(np.array(sizes, "i4"), many),
-                    "pos": np.concatenate([*(np.arange(m, dtype="i4") for m in many), np.empty(0, "i4")]),
-                }
-            )
-
-    posted = texts.mapInPandas(post, "token long, id long, n int, pos int").repartition("token").sortWithinPartitions("token")
-    met = materialize(posted.mapInPandas(_scan_tokens, _POSTING), "near-postings")
-    met = met.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
-    met = met.withColumn("grp", F.coalesce("grp", "id"))
-    spread = met.groupBy("token").agg(F.max("block").alias("last"), F.min("grp").alias("one"), F.max("grp").alias("other"))
-    spread = spread.where("one <> other").select("token", "last")
-    placed = met.join(spread, "token").select(
-        "token", "id", "grp", "n", "pos", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with")
+            yield pd.DataFrame({"row": part["row"].to_numpy(), "fp": simhash_words.func(part["text"]).to_numpy(), "n": np.array(sizes, "i4"), "tokens": tokens})
+
+    return materialize(texts.mapInPandas(post, "row long, fp long, n int, tokens array<long>"), "near-postings")
+
+
+def _fits(n: str, pos: str, m: str, at: str, share: float) -> str:
+    """Whether two texts of n and m shingles that meet at these places of their prefixes can be similar."""
+    return (
+        f"least({n} - {pos}, {m} - {at}) >= {share / (1 + share)} * ({n} + {m}) - 1e-6"
+        f" and least({n}, {m}) >= {share} * greatest({n}, {m}) - 1e-6"
+    )
+
+
+def fingerprint_roots(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): for each distinct fingerprint that shares a bucket with a lesser one within the radius, the least
+    of the buckets' least ones. A bucket's rows meet its least one only, so the work is linear in them."""
+    masks = F.array(*map(F.lit, covering_masks(radius)))
+    keyed = prints.select("fp", F.posexplode(masks).alias("mask", "kept")).select(
+        "mask", F.col("kept").bitwiseAND(F.col("fp")).alias("bucket"), "fp"
+    )
+    shared = keyed.groupBy("mask", "bucket").agg(F.min("fp").alias("root"), F.max("fp").alias("last")).where("root < last")
+    met = keyed.join(shared, ["mask", "bucket"]).where(f"root < fp and bit_count(root ^ fp) <= {radius}")
+    return met.groupBy("fp").agg(F.min("root").alias("root"))
+
+
+def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) -> DataFrame:
+    """(a, b): for each row b at most three rows before it that it is likely to be similar to: the first one with its
+    fingerprint, the first one with the least fingerprint near by, and of the first rows of its tokens the one that it
+    meets most often. However large a group is, its pairs are linear in its rows."""
+    first = materialize(posted.groupBy("fp").agg(F.min("row").alias("first")), "near-prints")
+    same = posted.join(first, "fp").where("first < row").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    roots = fingerprint_roots(first, radius)
+    near = (
+        roots.join(first, "fp")
+        .withColumnRenamed("first", "b")
+        .join(first.select(F.col("fp").alias("root"), F.col("first").alias("a")), "root")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    placed = placed.select("token", "id", "grp", "n", "pos", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    pairs = _pairs_of(placed, share)
-    pairs = materialize(pairs.distinct(), "near-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", shingle_set("text").alias("shingles")), "near-sets")
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    heads = met.groupBy("token").agg(F.min(F.struct("row", "n", "pos")).alias("head"))
+    meets = met.join(heads, "token").where("head.row < row").where(_fits("n", "pos", "head.n", "head.pos", share))
+    often = meets.groupBy("row", F.col("head.row").alias("a")).agg(F.count("*").alias("times"))
+    best = often.groupBy("row").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", F.col("row").alias("b"))
+    return materialize(same.unionByName(near).unionByName(best).distinct(), "near-stars")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have that Jaccard similarity; two texts without words have."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = materialize(texts.join(wanted, "row", "left_semi").select("row", shingle_set("text").alias("shingles")), "near-sets")
+    side = lambda name: sets.select(F.col("row").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     close = both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9
-    found = pairs.join(side("a"), "a").join(side("b"), "b").where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return materialize(found.distinct(), "near-more")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near-links")
+
+
+def mixed_tokens(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
+    """Postings of the tokens that several groups have, with their group (grp), whether that is another than the
+    token's largest (odd), and the token's rows and blocks; and whether comparing the odd rows of every token with all
+    its rows would take more than a comparison a posting."""
+    placed = met.join(groups.select(F.col("node").alias("row"), F.col("component").alias("grp")), "row", "left")
+    placed = placed.withColumn("grp", F.coalesce("grp", "row"))
+    held = placed.groupBy("token", "grp").agg(F.count("*").alias("n_rows"))
+    spread = held.groupBy("token").agg(
+        F.count("*").alias("groups"), F.sum("n_rows").alias("n_rows"), F.max(F.struct("n_rows", "grp")).alias("top")
+    )
+    odd = F.col("n_rows") - F.col("top.n_rows")
+    spread = spread.where("groups > 1").select(
+        "token",
+        "n_rows",
+        F.col("top.grp").alias("top"),
+        (odd * F.col("n_rows")).alias("work"),
+        F.ceil(odd / BUCKET_ROWS).alias("odd_blocks"),
+        F.ceil(F.col("n_rows") / BUCKET_ROWS).alias("blocks"),
+    )
+    mixed = materialize(placed.join(spread, "token").withColumn("odd", F.col("grp") != F.col("top")), "near-mixed")
+    work = mixed.agg(F.sum(F.col("work") / F.col("n_rows")).alias("work"), F.count("*").alias("n")).first()
+    return mixed, (work.work or 0) > WORK * work.n
+
+
+def head_pairs(mixed: DataFrame, share: float, seed: int) -> DataFrame:
+    """(a, b): each row of the mixed tokens, at the most frequent of its tokens, with HEADS rows of other groups there
+    that a seeded draw makes the same for all; so every row has at most HEADS pairs."""
+    chosen = mixed.groupBy("row").agg(F.max_by(F.struct("token", "grp", "n", "pos"), F.struct("n_rows", "token")).alias("at"))
+    chosen = materialize(chosen.select("row", "at.*"), "near-chosen")
+    draws = [F.struct(F.xxhash64("row", F.lit(seed), F.lit(k)).alias("draw"), "row", "grp", "n", "pos") for k in range(HEADS)]
+    heads = chosen.groupBy("token").agg(F.array(*map(F.min, draws)).alias("heads"))
+    fits = _fits("n", "pos", "h.n", "h.pos", share)
+    found = f"array_distinct(transform(filter(heads, h -> h.grp <> grp and {fits}), h -> h.row))"
+    pairs = chosen.join(heads, "token").select("row", F.explode(F.expr(found)).alias("head"))
+    return pairs.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct()
+
+
+def remaining_pairs(mixed: DataFrame, share: float) -> DataFrame:
+    """(a, b): all pairs of rows of different groups that meet at a token and can be similar.
+
+    Rows of a token's largest group aren't compared with each other, so a group that is joined costs nothing; the
+    blocks of the odd rows meet all blocks of the token."""
+    slot = lambda blocks: F.pmod(F.xxhash64("row"), F.col(blocks))
+    # as one to be paired, at its own block of the odd rows, with every block of the others; as one of all, at its block
+    sides = F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asks = mixed.where("odd").select("token", "row", "grp", "n", "pos", slot("odd_blocks").alias("i"), F.explode(sides).alias("j"), F.lit(True).alias("asks"))
+    gives = mixed.select(
+        "token", "row", "grp", "n", "pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd_blocks") - 1)).alias("i"), slot("blocks").alias("j"), F.lit(False).alias("asks")
+    )
+    both = asks.unionByName(gives.select(*asks.columns))
+    dealt = both.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "asks")
+    return materialize(dealt.mapInPandas(_pair_scan(share), "a long, b long").distinct(), "near-candidates")
 
 
-def _pairs_of(placed: DataFrame, share: float) -> DataFrame:
-    """(a, b): candidates among the postings of each token and pair of blocks, many tokens a batch."""
+def _pair_scan(share: float):
+    """Over rows sorted by token, i, j: the pairs that can be similar, of rows that ask with rows that give."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -361,61 +382,83 @@ def _pairs_of(placed: DataFrame, share: float) -> DataFrame:
             starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1))
             held = pdf.iloc[starts[-1] :]
             if len(starts) > 1:
-                yield from found(pdf.iloc[: starts[-1]], starts)
+                yield found(pdf.iloc[: starts[-1]], starts)
         if held is not None:
-            yield from found(held, np.array([0, len(held)]))
-
-    def found(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-        sizes = np.diff(cuts)
-        two = cuts[:-1][sizes == 2]
-        (a, x, n, g), (b, y, m, h) = (tuple(pdf[c].to_numpy()[at] for c in ("id", "pos", "n", "grp")) for at in (two, two + 1))
-        fits = (g != h) & (a != b) & (np.minimum(n - x, m - y) >= share / (1 + share) * (n + m) - 1e-6)
-        fits &= np.minimum(n, m) >= share * np.maximum(n, m) - 1e-6
-        out = [pd.DataFrame({"a": np.minimum(a, b)[fits], "b": np.maximum(a, b)[fits]})]
-        more = sizes > 2
-        out += [_candidates(pdf.iloc[a:b], share) for a, b in zip(cuts[:-1][more].tolist(), cuts[1:][more].tolist())]
-        yield pd.concat(out, ignore_index=True).drop_duplicates()
+            yield found(held, np.array([0, len(held)]))
+
+    def found(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        ids, group, n, at, asks = (pdf[c].to_numpy() for c in ("row", "grp", "n", "pos", "asks"))
+        out = [np.empty((2, 0), "i8")]
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            middle = start + int(np.searchsorted(asks[start:end], True))  # those that give come first
+            give = slice(start, middle)
+            for i in range(middle, end, 256):
+                ask = slice(i, min(i + 256, end))
+                fits = group[ask, None] != group[None, give]
+                fits &= np.minimum(n[ask, None] - at[ask, None], n[None, give] - at[None, give]) >= share / (1 + share) * (n[ask, None] + n[None, give]) - 1e-6
+                fits &= np.minimum(n[ask, None], n[None, give]) >= share * np.maximum(n[ask, None], n[None, give]) - 1e-6
+                x, y = np.nonzero(fits)
+                x, y = ids[x + i], ids[y + start]
+                out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+        pairs = np.unique(np.concatenate(out, 1), axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(scan, "a long, b long")
+    return scan
 
 
-def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of the documents that have a partner: a Jaccard similarity of 5-word shingles of at least
-    share, followed over any number of steps. Word fingerprints within the radius find most pairs cheaply, the prefix
-    filter all others. Null ids take no part."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
-    rows = materialize(texts.select("id", simhash_words("text").alias("fp")), "near")
-    prints = rows.select("fp").distinct()
-    group = connected_components(fingerprint_links(materialize(prints, "near-distinct"), radius), "a", "b")
-    lone = rows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    grouped = lone.join(group, lone.fp == group.node, "left_anti").select("fp", F.col("fp").alias("component"))
-    grouped = grouped.unionByName(group.select(F.col("node").alias("fp"), "component"))
-    member = materialize(rows.join(grouped, "fp").select("id", "component"), "near-member")
-    sets = materialize(
-        texts.join(member, "id").select("id", "component", shingle_set("text").alias("shingles")), "near-sets"
-    )
-    blocks = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
-    placed = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "component", "id", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
+    """(node, component) of the rows (columns row, text) that have a partner, directly or in steps."""
+    posted = postings(texts, share)
+    tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    met = materialize(tokens.join(often, "token"), "near-met")
+    links = similar(star_pairs(posted, met, radius, share), texts, share)
+    groups = connected_components(links, "a", "b")
+    mixed, many = mixed_tokens(met, groups)
+    for seed in range(HEAD_ROUNDS):
+        if not many:
+            break
+        links = links.unionByName(similar(head_pairs(mixed, share, seed), texts, share))
+        groups = connected_components(links, "a", "b")
+        mixed, many = mixed_tokens(met, groups)
+    more = similar(remaining_pairs(mixed, share), texts, share)
+    if more.isEmpty():
+        return groups
+    return connected_components(links.unionByName(more), "a", "b")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once with a number for every row in a column whose name docs doesn't have."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows"), name
+
+
+def _groups(docs: DataFrame, radius: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """The numbered rows, the name of the number, and node, component, id and least (both null ids last) of each row
+    that has a partner."""
+    rows, name = _numbered(docs)
+    groups = linked_rows(rows.select(F.col(name).alias("row"), text_of(text_col).alias("text")), radius, share)
+    named = groups.join(rows.select(F.col(name).alias("node"), F.col(id_col).alias("id")), "node")
+    least = named.groupBy("component").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("least"))
+    return rows, name, materialize(named.join(least, "component"), "near-groups")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        links = np.array(forest(_similar(list(pdf["shingles"]), share)), "i8").reshape(-1, 2)
-        return pd.DataFrame({"src": ids[links[:, 0]], "dst": ids[links[:, 1]]})
 
-    links = paired.groupBy("component", "i", "j").applyInPandas(compare, "src long, dst long")
-    links = materialize(links.distinct(), "near-links")
-    more = prefix_links(texts, connected_components(links), share)
-    return connected_components(links.unionByName(more))
+def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component): the ids of the rows that have a partner, with the least id of their group. Partners have a
+    Jaccard similarity of 5-word shingles of at least share, followed over any number of steps. Every pair is found:
+    the fingerprints and first meetings join most rows at a cost linear in their number, the prefix filter the rest."""
+    found = _groups(docs, radius, share, id_col, text_col)[2]
+    return found.select(F.col("id").alias("node"), F.col("least.id").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose group of near copies has a smaller id; all columns stay."""
-    group = near_groups(docs, radius, share, id_col, text_col)
-    gone = group.where("node <> component").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs with one row of each group of near copies, that with the smallest id (then the first read); all columns
+    stay. Rows are told apart by themselves, not by their ids."""
+    rows, name, found = _groups(docs, radius, share, id_col, text_col)
+    gone = found.where("node <> least.node").select(F.col("node").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

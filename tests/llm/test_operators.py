@@ -550,3 +550,59 @@ def test_op10_pages(spark, sf_dir):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert found[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def near_family(size, words, changed, seed):
+    """Near copies of one made-up text, each with some words changed."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, words)]
+    rows = []
+    for i in range(size):
+        own = list(base)
+        for at in rng.choice(words, changed, replace=False).tolist():
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_near_copies_links_are_linear(spark, monkeypatch):
+    made = []
+    whole = simhash_dedup.similar
+
+    def counted(pairs, texts, share):
+        made.append(pairs.count())
+        return whole(pairs, texts, share)
+
+    monkeypatch.setattr(simhash_dedup, "similar", counted)
+    for size in (1000, 2000, 4000):
+        made.clear()
+        frame = spark.createDataFrame(near_family(size, 120, 1, size), "doc_id long, text string")
+        left = simhash_dedup.drop_near_copies(frame).collect()
+        assert [r.doc_id for r in left] == [0]
+        assert sum(made) <= 3 * size
+
+
+def test_near_copies_with_repeated_ids_and_clashing_names(spark):
+    (_, a), (_, b) = near_family(2, 200, 1, 3)
+    other = " ".join(f"q{i}" for i in range(100))
+    rows = [(1, a, 0, "x"), (2, b, 0, "x"), (2, other, 0, "x"), (None, other + " more", 0, "x"), (5, None, 0, None), (6, "", 0, None), (7, "z", 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int, _gone string")
+    left = simhash_dedup.drop_near_copies(frame)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.text) == [(1, a), (2, other), (7, "z")]
+    assert len([1 for r in left.collect() if not r.text]) == 1
+    assert simhash_dedup.drop_near_copies(frame.limit(0)).count() == 0
+    named = simhash_dedup.drop_near_copies(frame.selectExpr("cast(doc_id as string) as doc_id", "text"))
+    assert named.count() == 4
+
+
+def test_near_copies_that_are_joined_in_steps(spark, monkeypatch):
+    """A group in which half of the pairs are below the share: drawn heads and the rest join all, as brute force does."""
+    rows = near_family(150, 100, 2, 9)
+    sets = {i: set(simhash_dedup.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert close
+    monkeypatch.setattr(simhash_dedup, "WORK", 0)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {r.node: r.component for r in simhash_dedup.near_groups(frame).collect()}
+    assert set(group) == {x for p in close for x in p} and all(group[a] == group[b] for a, b in close)

@@ -9,7 +9,10 @@ Only the counts per arc (at most 2**RING_BITS numbers, whatever the input) reach
 rows take their rank within an arc from windows over slices of the arc, so an arc with a third of all rows is many
 tasks. The table of arcs that is broadcast has at most 2**RING_BITS rows.
 
-Cases: a null text has no bytes and equals the empty text as a key; repeated rows each get a slot of their own; a
+One more shard takes its own arcs and lowers the others' capacities by their share, so the rows that move are those it
+gets and those that overflow anew: about 6 in 100 from 24 shards to 25 (tested below 10).
+
+Cases: very long texts are hashed where they are read and don't move; a null text has no bytes and equals the empty text as a key; repeated rows each get a slot of their own; a
 null id is allowed; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,11 +30,10 @@ RING_BITS = 14
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
-    """Virtual nodes as (arc, shard), clockwise."""
-    nodes = spark.range(shards * vnodes).select(
-        F.shiftrightunsigned(F.xxhash64(F.lit("node"), "id"), 64 - RING_BITS).alias("arc"),
-        F.pmod("id", F.lit(shards)).alias("shard"),
-    )
+    """Virtual nodes as (arc, shard), clockwise. A node's place comes from its shard and its number there, so that one
+    more shard adds nodes and moves none."""
+    nodes = spark.range(shards * vnodes).select(F.floor(F.col("id") / vnodes).alias("shard"), F.pmod("id", F.lit(vnodes)).alias("number"))
+    nodes = nodes.select(F.shiftrightunsigned(F.xxhash64(F.lit("node"), "shard", "number"), 64 - RING_BITS).alias("arc"), "shard")
     return sorted((r.arc, r.shard) for r in nodes.collect())
 
 

@@ -1,103 +1,141 @@
 """Exact deduplication by a log-structured merge index of digests, in DataFrame operations only.
 
-* Flush: every scan task writes one sorted run of (digest, length, id), with a Parquet Bloom filter and min/max
-  statistics on the digest. No shuffle.
-* Compaction: runs are merged per digest (partial aggregation first, so a digest that holds a third of all rows is
-  one row per task before the shuffle); the entry with the most code points, then the smallest id, stays.
-* Verification: each row whose digest has another row is compared, byte for byte, with the text of the row that
-  stays. Rows that differ in spite of equal digests are grouped again by their whole text.
+* Flush: every scan task is a memtable and writes one sorted run of (digest, length, id), with a Parquet Bloom filter
+  and min/max statistics on the digest. No shuffle, and no text moves.
+* Compaction: runs are merged by digest in two levels, first within FANOUT tiers of runs, then over all tiers; each
+  level is written as sorted runs with filters. The entry with the most code points, then the smallest id, stays. Partial
+  aggregation and the tiers leave of a digest that holds a third of all rows a row a task.
+* Probe: a bitmap filter over the digests that have several rows is broadcast (at most FILTER_BITS bits, 16 MB; beyond
+  some ten million such digests it lets more rows pass, none are lost). Texts that it rules out never move.
+* Verification: a row that passes meets the index entry of its digest and is compared, byte for byte, with the text of
+  the row that stays. Digests with more than HOT_ROWS rows are dealt to several tasks, each with a copy of that text.
+  Rows that differ in spite of equal digests are grouped again by their whole text.
 
 Cases: a null text is empty; texts of white space only equal the empty text; a null id sorts last; repeated rows
-with one id and one text are copies of each other, and all carry kept = true if that id stays; an empty table gives
-an empty result; extra columns are ignored.
+with one id and one text are copies of each other, and all carry kept = true if that id stays; of equally long texts with
+equal ids either stays; very long texts move whole, and only if another row has their digest; an empty table gives an
+empty result; extra columns are ignored by `exact_dedup` and kept by `drop_copies`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACES, table, text_of
+from lodestar.llm.common import SPACES, numbered, table, text_of
 from lodestar.session import materialize
 
+#: Tiers of runs that the first compaction merges apart.
+FANOUT = 8
+#: Bits of the broadcast filter for each digest with several rows, and at most.
+BITS_EACH = 16
+FILTER_BITS = 1 << 27
+#: Rows of one digest that a task verifies; at most HOT_DIGESTS digests can have more than their share of rows.
+HOT_ROWS = 4096
+HOT_DIGESTS = 50_000
 
-def _best(n_chars: str, doc_id: str):
-    """Greatest first: most code points, then the smallest id (null ids last)."""
-    return F.max(F.struct(F.col(n_chars).alias("n"), F.bitwise_not(F.col(doc_id)).alias("i")))
+_FILTERED = {"parquet.bloom.filter.enabled#digest": "true"}
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.translate("text", SPACES, "").alias("norm"),
-    )
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    runs = materialize(
-        rows.select("digest", "n_chars", "doc_id").sortWithinPartitions("digest"),
-        "dedup-runs",
-        **{"parquet.bloom.filter.enabled#digest": "true"},
-    )
-    index = materialize(
-        runs.groupBy("digest")
-        .agg(_best("n_chars", "doc_id").alias("best"), F.count("*").alias("group_size"))
-        .select("digest", F.bitwise_not("best.i").alias("keep_id"), F.col("best.n").alias("keep_chars"), "group_size"),
-        "dedup-index",
-    )
-    hits = index.where("group_size > 1")
-    single = index.where("group_size = 1").select(
-        F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), "digest"
-    )
-    found = rows.join(hits, "digest")
-    # The same join as found, so that one shuffle of the texts serves both.
-    is_kept = F.expr("doc_id <=> keep_id and n_chars = keep_chars")
-    stays = found.groupBy("digest").agg(F.max(F.when(is_kept, F.col("norm"))).alias("keep_norm"))
-    checked = materialize(
-        found.join(stays, "digest", "left").select(
-            "digest",
-            "doc_id",
-            "n_chars",
-            "keep_id",
-            "group_size",
-            F.coalesce(F.col("norm") == F.col("keep_norm"), F.lit(False)).alias("same"),
-        ),
-        "dedup-hits",
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
+def _run(df: DataFrame, name: str) -> DataFrame:
+    """df as sorted runs of digests with filters."""
+    return materialize(df.sortWithinPartitions("digest"), name, **_FILTERED)
+
+
+def merge_index(rows: DataFrame) -> DataFrame:
+    """digest, best (length, id and row of the entry that stays) and group_size, from row, doc_id, n_chars, digest."""
+    flushed = rows.select("row", "doc_id", "n_chars", "digest", F.spark_partition_id().alias("run"))
+    runs = _run(flushed, "dedup-runs")
+    entry = F.struct((-F.col("n_chars")).alias("n"), F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "row")
+    tiers = runs.groupBy(F.pmod("run", F.lit(FANOUT)).alias("tier"), "digest").agg(
+        F.min(entry).alias("best"), F.count("*").alias("group_size")
     )
-    good = checked
+    tiers = _run(tiers, "dedup-tiers")
+    merged = tiers.groupBy("digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
+    return _run(merged, "dedup-index")
+
+
+def _bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
+def hit_filter(hits: DataFrame, several: int) -> tuple[DataFrame, int]:
+    """The bitmaps (bucket, bitmap) of the digests in hits, and the number of bits."""
+    bits = 1 << 15
+    while bits < min(BITS_EACH * several, FILTER_BITS):
+        bits *= 2
+    at = _bit(bits)
+    maps = hits.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    return maps, bits
+
+
+def probe(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
+    """Those of the rows whose digest may be in the filter. The filter is broadcast: no row moves."""
+    at = _bit(bits)
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "bucket")
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, place div 8 + 1, 1)")), 16, 10).cast("int")
+    found = found.withColumn("place", place).withColumn("byte", byte)
+    return found.where("(shiftright(byte, place % 8) & 1) = 1").drop("bucket", "bitmap", "place", "byte")
+
+
+def resolve(rows: DataFrame) -> DataFrame:
+    """row, doc_id, keep_id, keep_row, group_size, sha for every one of rows (row, doc_id, text)."""
+    rows = rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.translate("text", SPACES, "").alias("norm"))
+    rows = rows.withColumn("digest", digest_of(F.col("norm")))
+    index = merge_index(rows)
+    sums = index.agg(F.sum("group_size").alias("rows"), F.count_if(F.col("group_size") > 1).alias("several"), F.max("group_size").alias("most")).first()
+    out = ["row", "doc_id", "keep_id", "keep_row", "group_size", "sha"]
+    sha = F.lower(F.hex("digest")).alias("sha")
+    kept = [F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"]
+    single = index.where("group_size = 1").select(F.col("best.row").alias("row"), F.col("best.id").alias("doc_id"), *kept, sha)
+    if not sums.several:
+        return single
+    hits = index.where("group_size > 1").select("digest", "best", "group_size")
+    moved = probe(rows, *hit_filter(hits, sums.several))
+    hot_rows, keys = max(HOT_ROWS, sums.rows // HOT_DIGESTS), ["digest"]
+    if sums.most > hot_rows:
+        hot = F.broadcast(hits.where(F.col("group_size") > hot_rows).select("digest", F.ceil(F.col("group_size") / hot_rows).alias("salts")))
+        salts = F.coalesce("salts", F.lit(1).cast("long"))
+        moved = moved.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "n_chars"), salts)).drop("salts")
+        each = F.sequence(F.lit(0).cast("long"), salts - 1)
+        hits = hits.join(hot, "digest", "left").withColumn("all", each).withColumn("salt", F.explode("all"))
+        keys.append("salt")
+    found = moved.join(hits, keys)
+    is_kept = F.expr("row = best.row and doc_id <=> best.id and n_chars = -best.n")
+    stays = found.where(is_kept).groupBy(*keys).agg(F.max("norm").alias("keep_norm"), *[F.max("all").alias("all") for _ in keys[1:]])
+    if len(keys) > 1:  # the text that stays goes to every task of its digest
+        stays = stays.groupBy("digest").agg(F.max("keep_norm").alias("keep_norm"), F.max("all").alias("all"))
+        stays = stays.select("digest", "keep_norm", F.explode("all").alias("salt"))
+    same = F.coalesce(F.col("norm") == F.col("keep_norm"), F.lit(False)).alias("same")
+    checked = found.join(stays, keys, "left").select("row", "doc_id", *kept, sha, "digest", same)
+    checked = materialize(checked, "dedup-hits")
     clash = checked.where("not same").select("digest").distinct()
-    apart = None
-    if not clash.isEmpty():
-        texts = rows.join(clash, "digest")
-        best = texts.groupBy("digest", "norm").agg(_best("n_chars", "doc_id").alias("best"), F.count("*").alias("group_size"))
-        apart = texts.join(best, ["digest", "norm"]).select(
-            "doc_id", F.bitwise_not("best.i").alias("keep_id"), "group_size", "digest"
-        )
-        apart = apart.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "digest")
-        good = checked.join(clash, "digest", "left_anti")
-    out = single.unionByName(
-        good.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "digest")
-    )
-    if apart is not None:
-        out = out.unionByName(apart)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    if clash.isEmpty():
+        return single.unionByName(checked.select(*out))
+    texts = rows.join(clash, "digest")
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "row"))
+    again = texts.groupBy("digest", "norm").agg(best.alias("best"), F.count("*").alias("group_size"))
+    apart = texts.join(again, ["digest", "norm"]).select("row", "doc_id", *kept, F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    return single.unionByName(checked.join(clash, "digest", "left_anti").select(*out)).unionByName(apart)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return resolve(rows).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts; all columns stay. Repeated rows of one id count as one."""
-    found = materialize(exact_dedup(docs, id_col, text_col), "dedup-result")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    sha = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), SPACES, "").cast("binary"), 256)
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone.gone_id) & (sha == gone.gone_sha), "left_anti")
-    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    again = again.select(F.col("doc_id").alias("again_id")).distinct()
-    same = left[id_col].eqNullSafe(again.again_id)
-    once = left.join(again, same, "left_semi")
-    plain = F.translate(F.coalesce(once[text_col], F.lit("")), SPACES, "")
-    once = once.withColumn("_plain", plain).dropDuplicates([id_col, "_plain"]).drop("_plain")
-    return left.join(again, same, "left_anti").unionByName(once)
+    """docs with one row of each group of equal texts; all columns stay. Rows are told apart by themselves, not by ids."""
+    rows, name = numbered(docs)
+    found = resolve(rows.select(F.col(name).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
+    gone = found.where("row <> keep_row").select(F.col("row").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from lodestar.llm.common import table, text_of
+from lodestar.llm.common import numbered, table, text_of
 from lodestar.operators.components import connected_components
 from lodestar.session import materialize
 
@@ -427,18 +427,10 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
     return connected_components(links.unionByName(more), "a", "b")
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a number for every row in a column whose name docs doesn't have."""
-    name = "row"
-    while name in docs.columns:
-        name += "_"
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows"), name
-
-
 def _groups(docs: DataFrame, radius: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
     """The numbered rows, the name of the number, and node, component, id and least (both null ids last) of each row
     that has a partner."""
-    rows, name = _numbered(docs)
+    rows, name = numbered(docs)
     groups = linked_rows(rows.select(F.col(name).alias("row"), text_of(text_col).alias("text")), radius, share)
     named = groups.join(rows.select(F.col(name).alias("node"), F.col(id_col).alias("id")), "node")
     least = named.groupBy("component").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("least"))

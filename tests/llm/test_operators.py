@@ -1,5 +1,6 @@
 """The ten operators against brute force, over the smallest tables and over awkward rows."""
 
+import bisect
 import collections
 import hashlib
 import html
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm import (
@@ -258,11 +260,44 @@ def test_op5_hot_text_and_odd(spark):
     assert sharding.ring_shards(odd(spark, empty=True)).count() == 0
 
 
-def test_op5_little_moves():
-    nodes = [(i * 37 % 1000, i % 4) for i in range(64)]
-    counts = {a: 5 for a in range(0, 1000, 3)}
-    placed = sharding.place(counts, sorted(nodes), 4)
-    assert all(sum(e - f for f, e, _, _ in parts) == 5 for parts in placed.values())
+def brute_ring(points, shards, nodes):
+    """Each row at the first node clockwise whose shard has room; rows of an arc in the order of their points."""
+    room = [len(points) // shards + (s < len(points) % shards) for s in range(shards)]
+    used, out, waiting = [0] * shards, {}, []
+    arcs = [a for a, _ in nodes]
+    for arc, point in sorted(points):
+        at = bisect.bisect_left(arcs, arc) % len(nodes)
+        if used[nodes[at][1]] < room[nodes[at][1]]:
+            used[nodes[at][1]] += 1
+            out[point] = nodes[at][1]
+        else:
+            waiting.append((at, point))
+    for at, point in waiting:
+        while used[nodes[at][1]] >= room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        used[nodes[at][1]] += 1
+        out[point] = nodes[at][1]
+    return out
+
+
+def test_op5_little_moves(spark):
+    frame = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    arcs = frame.selectExpr("doc_id", "xxhash64(text) as point").selectExpr("doc_id", "point", f"shiftrightunsigned(point, {64 - sharding.RING_BITS}) as arc").collect()
+    placed = {}
+    for shards in (24, 25):
+        rows = sharding.ring_shards(frame, shards).collect()
+        check_shards(rows, shards)
+        placed[shards] = {r.doc_id: r.shard for r in rows}
+        want = brute_ring([(r.arc, (r.point, r.doc_id)) for r in arcs], shards, sharding.ring(spark, shards, 128))
+        assert placed[shards] == {i: s for (_, i), s in want.items()}
+    moved = sum(placed[24][i] != placed[25][i] for i in placed[24])
+    assert 6000 / 25 <= moved < 0.1 * 6000
+
+
+def test_op5_null_text_by_value(spark):
+    rows = {r.doc_id: r for r in sharding.ring_shards(spark.createDataFrame([(1, None), (2, ""), (3, "é")], "doc_id int, text string")).collect()}
+    assert {i: (r.size, r.text_crc32, r.slot) for i, r in rows.items()} == {1: (8, 0, 0), 2: (8, 0, 0), 3: (10, zlib.crc32("é".encode()), 0)}
+    assert len({r.shard for r in rows.values()}) == 3
 
 
 def test_op6_round_trip(spark, docs, texts, library):
@@ -471,12 +506,50 @@ def test_op9_exact(spark, docs, texts):
     check_dedup(exact_dedup.exact_dedup(docs).collect(), list(texts.items()))
     check_dedup(exact_dedup.exact_dedup(odd(spark)).collect(), ODD)
     assert exact_dedup.exact_dedup(odd(spark, empty=True)).count() == 0
+    check_dedup(exact_dedup.exact_dedup(docs.limit(0).unionByName(docs.where("doc_id in (1, 2)"))).collect(), [(i, texts[i]) for i in (1, 2)])
     left = exact_dedup.drop_copies(odd(spark))
     assert left.columns == odd(spark).columns
     plain = [SPACE.sub("", r.text or "") for r in left.collect()]
     assert sorted(plain) == sorted({SPACE.sub("", t or "") for _, t in ODD})
 
 
+def test_op9_hot_digests_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 16)
+    rows = [(i, "all  the same" if i % 3 else "all the " + "same\n" * (i % 2)) for i in range(300)] + [(900 + i, f"own {i // 2}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check_dedup(exact_dedup.exact_dedup(frame).collect(), rows)
+    assert exact_dedup.drop_copies(frame).count() == len({SPACE.sub("", t) for _, t in rows})
+
+
+def test_op9_filter_moves_hits_only(spark):
+    rows = [(i, f"text {i if i % 10 else 0}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", exact_dedup.digest_of(F.col("text")))
+    hits = frame.groupBy("digest").count().where("count > 1")
+    passed = exact_dedup.probe(frame, *exact_dedup.hit_filter(hits, hits.count())).collect()
+    assert {r.doc_id for r in passed} >= set(range(0, 2000, 10)) and len(passed) < 260
+
+
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_op9_clashing_digests(spark, monkeypatch, hot):
+    """Equal digests of different texts: the bytes decide."""
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.substring(F.sha2(norm.cast("binary"), 256), 1, 1)))
+    rows = [(i, f"text {i % 37}" + " " * (i % 3)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact_dedup.exact_dedup(frame).collect()
+    keep = {}
+    for i, t in rows:
+        keep.setdefault(SPACE.sub("", t), []).append((-len(t), i))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found} == {(i, min(own)[1], len(own)) for own in keep.values() for _, i in own}
+    assert exact_dedup.drop_copies(frame).count() == 37
+
+
+def test_op9_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a b", "x", 1, "y"), (1, "ab", "x", 1, "y"), (2, "c", "x", 1, "y")], "doc_id int, text string, _plain string, Row int, digest string")
+    left = exact_dedup.drop_copies(frame)
+    assert left.columns == frame.columns and sorted(r.text for r in left.collect()) == ["a b", "c"]
+
+
 PAGE = """<!doctype html><html><head><title>no</title><script>var a = "</p>";</script></head><body>
 <header>Site</header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">Accept</div>
 <article><h1>T {0} &amp; more</h1><p>First <b>{0}bold</b>  text<br>line<p>Second&nbsp;{0}<div class="ad">Buy</div>

@@ -31,7 +31,7 @@ FANOUT = 8
 BITS_EACH = 16
 FILTER_BITS = 1 << 27
 #: Rows of one digest that a task verifies; at most HOT_DIGESTS digests can have more than their share of rows.
-HOT_ROWS = 4096
+HOT_ROWS = 512
 HOT_DIGESTS = 50_000
 
 _FILTERED = {"parquet.bloom.filter.enabled#digest": "true"}
@@ -105,6 +105,7 @@ def resolve(rows: DataFrame) -> DataFrame:
         each = F.sequence(F.lit(0).cast("long"), salts - 1)
         hits = hits.join(hot, "digest", "left").withColumn("all", each).withColumn("salt", F.explode("all"))
         keys.append("salt")
+    moved = materialize(moved, "dedup-moved")  # hashed once for both sides of the comparison
     found = moved.join(hits, keys)
     is_kept = F.expr("row = best.row and doc_id <=> best.id and n_chars = -best.n")
     stays = found.where(is_kept).groupBy(*keys).agg(F.max("norm").alias("keep_norm"), *[F.max("all").alias("all") for _ in keys[1:]])

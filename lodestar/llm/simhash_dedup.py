@@ -277,11 +277,12 @@ def fingerprint_roots(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): for each distinct fingerprint that shares a bucket with a lesser one within the radius, the least
     of the buckets' least ones. A bucket's rows meet its least one only, so the work is linear in them."""
     masks = F.array(*map(F.lit, covering_masks(radius)))
-    keyed = prints.select("fp", F.posexplode(masks).alias("mask", "kept")).select(
-        "mask", F.col("kept").bitwiseAND(F.col("fp")).alias("bucket"), "fp"
-    )
-    shared = keyed.groupBy("mask", "bucket").agg(F.min("fp").alias("root"), F.max("fp").alias("last")).where("root < last")
-    met = keyed.join(shared, ["mask", "bucket"]).where(f"root < fp and bit_count(root ^ fp) <= {radius}")
+    keyed = prints.select("fp", F.posexplode(masks).alias("mask", "kept"))
+    keyed = keyed.select(F.xxhash64("mask", F.col("kept").bitwiseAND(F.col("fp"))).alias("bucket"), "fp")
+    shared = keyed.groupBy("bucket").agg(F.min("fp").alias("root"), F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join knows its size: few buckets are broadcast, and the fingerprints needn't move again
+    shared = materialize(shared.select("bucket", "root"), "near-buckets")
+    met = keyed.join(shared, "bucket").where(f"root < fp and bit_count(root ^ fp) <= {radius}")
     return met.groupBy("fp").agg(F.min("root").alias("root"))
 
 
@@ -410,7 +411,7 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
     """(node, component) of the rows (columns row, text) that have a partner, directly or in steps."""
     posted = postings(texts, share)
     tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
     met = materialize(tokens.join(often, "token"), "near-met")
     links = similar(star_pairs(posted, met, radius, share), texts, share)
     groups = connected_components(links, "a", "b")

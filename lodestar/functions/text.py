@@ -14,8 +14,9 @@ _WORD = r"\p{IsAlphabetic}\p{N}\-_./:"
 
 def tokenize(text: Column) -> Column:
     """Lower-cased words of letters, digits and - _ . / :, and runs of CJK characters as overlapping pairs (a single
-    one as itself; up to three also as a whole)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{CJK}]+|[{_WORD}&&[^{CJK}]]+)"), F.lit(1))
+    one as itself; up to three also as a whole). Only texts with a CJK character pay for the pairs."""
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(f"([{CJK}]+|[{_WORD}&&[^{CJK}]]+)"), F.lit(1))
 
     def split(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
@@ -23,7 +24,8 @@ def tokenize(text: Column) -> Column:
         cjk = F.when(F.length(run) == 1, F.array(run)).when(F.length(run) == 2, F.array(run, run)).otherwise(F.concat(pairs, whole))
         return F.when(run.rlike(f"^[{CJK}]"), cjk).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, split))
+    plain = F.filter(F.split(low, f"[^{_WORD}]+"), lambda w: w != "")
+    return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, split))).otherwise(plain)
 
 
 def share_contained(words: Column, text: Column) -> Column:
@@ -210,6 +212,15 @@ MOODS = {
     "identity": (0.1, 0.0, 0.3), "memory": (0.1, 0.0, 0.1), "search": (0.1, 0.2, 0.1), "merge": (0.1, 0.0, 0.1),
     "split": (-0.1, 0.3, 0.0), "architecture": (0.0, 0.1, 0.2), "safe": (0.2, -0.1, 0.3), "rust": (0.1, 0.0, 0.2),
     "ai": (0.1, 0.2, 0.1), "修复": (0.2, 0.2, 0.1), "错误": (-0.3, 0.3, -0.1), "部署": (0.1, 0.2, 0.1),
+    "dream": (0.1, 0.1, 0.0), "living": (0.3, 0.2, 0.1), "organism": (0.2, 0.2, 0.1), "tetrahedron": (0.0, 0.1, 0.2),
+    "pulse": (0.1, 0.4, 0.1), "discover": (0.3, 0.4, 0.2), "fission": (-0.1, 0.3, 0.0), "fuse": (0.1, 0.0, 0.1),
+    "honest": (0.2, 0.0, 0.3), "serious": (0.0, 0.1, 0.3), "efficient": (0.2, 0.0, 0.2), "rigorous": (0.1, 0.0, 0.3),
+    "beloved": (0.5, 0.2, 0.1), "passionate": (0.4, 0.3, 0.2), "完成": (0.3, 0.1, 0.2), "成功": (0.4, 0.1, 0.2),
+    "失败": (-0.4, 0.2, -0.2), "危险": (-0.2, 0.5, -0.3), "安全": (0.2, -0.1, 0.3), "架构": (0.0, 0.1, 0.2),
+    "紧急": (-0.1, 0.5, 0.1), "重要": (0.1, 0.3, 0.3), "关键": (0.1, 0.3, 0.3), "陷阱": (-0.2, 0.3, 0.0),
+    "踩坑": (-0.2, 0.3, 0.0), "优化": (0.3, 0.1, 0.2), "重构": (0.2, 0.2, 0.1), "崩溃": (-0.4, 0.4, -0.2),
+    "解决": (0.3, 0.1, 0.2), "突破": (0.4, 0.3, 0.2), "创建": (0.3, 0.2, 0.1), "发现": (0.3, 0.3, 0.2),
+    "警告": (-0.1, 0.3, 0.0), "注意": (0.0, 0.2, 0.1),
 }
 
 # Keyword and the label that a query with it favours.
@@ -268,3 +279,130 @@ def reason(content: Column, kind: Column) -> Column:
         at = F.instr(text, words)
         out = out.when(at > 0, F.trim(F.substring(content, at, F.lit(250))))
     return out
+
+
+# Words of denial that mark a correction of an earlier text, at the scan and at intake.
+DENIALS = "不是 不能 错误 修正 已修正 fix fixed wrong incorrect 不再 改为 替代 deprecated 废弃 移除 removed".split() + ["instead of"]
+INTAKE_DENIALS = DENIALS + ["fixes", "换为", "renamed", "should not"]
+
+# Labels and the category that they give, in the order in which they are tried.
+CATEGORIES = [
+    ("science.physics", "physics quantum mechanics relativity thermodynamics"), ("science.biology", "biology genetics dna evolution"),
+    ("science.astronomy", "astronomy planet solar space"), ("tech.programming", "git programming python rust coding version"),
+    ("tech.networking", "network tcp protocol http"), ("tech.cryptocurrency", "crypto bitcoin blockchain"),
+    ("life.food", "coffee food cooking nutrition diet"), ("culture.music", "music mozart art composition"),
+    ("geo.geography", "geography mountain volcano trench ocean"), ("tech.electronics", "battery energy electronics device"),
+    ("nature.animal", "bee animal insect nature"), ("history.general", "history war ancient empire"),
+    ("language.general", "language grammar linguistics"),
+]
+
+# Labels of the service and cognitive layers.
+SERVICE = "engineering optimization programming database storage security architecture".split()
+COGNITIVE = "ai ml science biology physics mathematics concept reasoning".split()
+
+# Words of a query, its intent, and the boosts of the memory classes that it gives; later rules overwrite.
+RECENT = "昨天 前天 recent latest 最近 上次 上一次 刚才 今天 today".split() + ["last time", "just now"]
+THIS_WEEK = ["本周", "这周", "this week"]
+INTENTS = [
+    ("fix", "怎么修 怎么解决 解决 修复 debug troubleshoot 报错 error crash panic bug 不工作 不生效 失败".split() + ["how to fix"], {"bugfix": 2.5, "pattern": 1.5}),
+    ("decision", "为什么 决定 decided why 为什么选 reason 原因 为什么用 rationale 为什么不用".split(), {"decision": 2.5}),
+    ("pattern", "规范 约定 convention 怎么写 怎么用 正确方式 standard 惯例".split() + ["how to", "best practice"], {"pattern": 2.5}),
+    ("architecture", "架构 设计 architecture design 结构 模块".split(), {"decision": 1.5, "pattern": 1.5}),
+    ("security", "安全 漏洞 vulnerability xss csrf 注入 攻击 封禁".split(), {"security": 2.0}),
+    ("performance", "性能 优化 performance 慢 slow latency 吞吐 throughput".split(), {"finding": 1.8}),
+    ("comparison", "对比 比较 vs versus 区别 不同 difference 还是 哪个好 哪个".split() + ["which is better"], {"decision": 2.0, "finding": 1.5}),
+]
+
+# Parts of a request path that mark an attack.
+ATTACKS = [
+    "union select", "or 1=1", "' or ", "\" or ", "; drop ", "information_schema", "sleep(", "benchmark(", "<script", "javascript:",
+    "onerror=", "onload=", "alert(", "document.cookie", "../", "..%2f", "..%5c", "/etc/passwd", "/proc/self", "/etc/shadow", ".env",
+    ".git/", ".git/config", "wp-admin", "wp-login", "phpmyadmin", "wp-config", ".ds_store", "backup.sql", ".htaccess", "/debug",
+    "/console", "/actuator", "/phpinfo", "/server-status", "/.svn", "/.hg", ";ls", ";cat ", ";id", ";whoami", ";uname", "%0d%0a",
+    "$(", "`id`", "eval(", "base64_decode", "file_get_contents", "/bin/sh", "/bin/bash", "/usr/bin/", "cmd.exe", "powershell",
+    "config.json", "docker.env", ".env.dev", ".env.backup", ".env.old", ".env.bak", ".env.local", ".env.production",
+]
+
+
+def word_list(text: Column) -> Column:
+    """Lower-cased words of at least two bytes, with repeats."""
+    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}\-]+"), lambda w: F.octet_length(w) >= 2)
+
+
+def topic_overlap(a: Column, b: Column) -> Column:
+    """Share of the first text's words, repeats included, that the second has; 0 for no words."""
+    own = word_list(a)
+    found = F.size(F.filter(own, lambda w: F.array_contains(word_set(b), w)))
+    return F.when(F.size(own) > 0, found / F.size(own)).otherwise(0.0)
+
+
+def fuzzy_match(a: Column, b: Column) -> Column:
+    """Whether lengths in bytes differ by a third of the first at most, and the words overlap by more than 0.85."""
+    near = F.abs(F.octet_length(a) - F.octet_length(b)) <= F.floor(F.octet_length(a) / 3)
+    return near & (jaccard(word_set(a), word_set(b)) > 0.85)
+
+
+def label_category(labels: Column) -> Column:
+    """Dotted category by the first rule that has one of the labels."""
+    out = None
+    for name, words in CATEGORIES:
+        hit = F.arrays_overlap(labels, F.array(*map(F.lit, words.split())))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("general")
+
+
+def label_layer(labels: Column) -> Column:
+    """identity, service, cognitive or instinct, in this order of precedence."""
+    low = F.transform(labels, lambda x: F.lower(x))
+    joined = F.array_join(low, " ")
+    held = lambda words: F.arrays_overlap(low, F.array(*map(F.lit, words)))
+    return (
+        F.when(held(["system"]) | F.contains(joined, F.lit("identity")), "identity")
+        .when(held(SERVICE) | F.contains(joined, F.lit("tool")) | F.contains(joined, F.lit("service")), "service")
+        .when(held(COGNITIVE), "cognitive")
+        .otherwise("instinct")
+    )
+
+
+def query_intent(query: Column) -> tuple[Column, Column, dict[str, Column]]:
+    """Boost of recent memories, primary intent, and the boost of each memory class that a query gives."""
+    text = F.lower(query)
+    week, recent = any_contained(text, THIS_WEEK), any_contained(text, RECENT)
+    temporal = F.when(week, 2.0).when(recent, 2.5).otherwise(1.0)
+    primary = F.when(week | recent, "temporal")
+    boosts: dict[str, Column] = {}
+    for name, words, given in INTENTS:
+        hit = any_contained(text, words)
+        primary = primary.when(hit, name)
+        for kind, boost in given.items():
+            boosts[kind] = F.when(hit, boost).otherwise(boosts.get(kind, F.lit(1.0)))
+    return temporal, primary.otherwise("general"), boosts
+
+
+def entity_boost(words: Column, labels: Column) -> Column:
+    """Share of the words that the entity labels contain."""
+    named = F.filter(labels, lambda x: x.startswith("entity:"))
+    text = F.array_join(F.transform(named, lambda x: F.lower(F.regexp_replace(x, "^(entity:)+", ""))), " ")
+    return F.when(F.size(named) > 0, share_contained(words, text)).otherwise(0.0)
+
+
+def sanitized_label(label: Column) -> Column:
+    """Letters, digits and - _ . stay, anything else becomes -."""
+    return F.regexp_replace(label, r"[^\p{IsAlphabetic}\p{N}\-_.]", "-")
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A third of the bytes and a fifth of the ASCII characters, each rounded down."""
+    ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    return (F.floor(F.octet_length(text) / 3) + F.floor(ascii_ / 5)).cast("long")
+
+
+def time_ago(hours: Column) -> Column:
+    return F.when(hours < 1, "just now").when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago")))
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most so many bytes that ends between characters."""
+    sizes = F.sequence(F.lit(most // 4), F.lit(most))
+    fits = F.filter(sizes, lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= most)
+    return F.substring(text, F.lit(1), F.array_max(fits))

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.session import materialize
+from lodestar.sources.tables import spread
 
 K1, B = 1.2, 0.75
+#: Distinct query terms up to which they are looked for as a fixed set in every row.
+MOST_TERMS = 20_000
 
 
 def top_per_key(df: DataFrame, key: str, k: int, *order: Column, salts: int = 32) -> DataFrame:
@@ -26,16 +30,20 @@ def bm25(docs: DataFrame, queries: DataFrame, body: Column) -> DataFrame:
 
     queries: query_id, terms (with repeats, which count each time). Only postings of query terms are shuffled; their
     document frequencies and the mean length come from all documents."""
-    tokens = docs.select("id", T.tokenize(body).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = materialize(asked, "asked")
     wanted = asked.select("term").distinct()
-    postings = (
-        tokens.select("id", "dl", F.explode("terms").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    tokens = spread(docs).select("id", T.tokenize(body).alias("terms")).withColumn("dl", F.size("terms"))
+    terms = [r.term for r in wanted.limit(MOST_TERMS + 1).collect()]
+    if len(terms) <= MOST_TERMS:  # few: kept within the row, the only pass over the texts
+        found = tokens.select("id", "dl", F.filter("terms", lambda w: w.isin(terms)).alias("terms"))
+        found = materialize(found, "found-terms")
+        hits = found.select("id", "dl", F.explode("terms").alias("term"))
+    else:
+        found = materialize(tokens, "found-terms")
+        hits = found.select("id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    stats = found.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
+    postings = materialize(hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
@@ -59,6 +67,7 @@ def hybrid_score(vec: Column, bm: Column, exact: Column, label: Column, entity:
 
 
 def noise_label(labels: Column) -> Column:
+    # Labels of noise.
     words = F.array(*map(F.lit, ("test", "testing", "junk", "scratch", "tmp", "temp")))
     return F.arrays_overlap(F.transform(labels, lambda x: F.lower(x)), words)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators.retrieval import noise_label, top_per_key
-from lodestar.sources.tables import AS_OF, MEMORIES, PLAIN_MEMORIES, memories, read
+from lodestar.sources.tables import AS_OF, MEMORIES, PLAIN_MEMORIES, memories, read, spread
 
 
 def _age() -> Column:
@@ -43,7 +43,7 @@ SELECT id, round(least(greatest(1.0::DOUBLE + 0.3 * {_count("text", T.HIGH_VALUE
 
 def intake_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every memory at intake, and its importance by that class."""
-    rows = memories(spark, sf_dir).withColumn("class", T.memory_class(F.col("content"), F.col("labels")))
+    rows = spread(memories(spark, sf_dir)).select("id", "content", T.memory_class(F.col("content"), F.col("labels")).alias("class"))
     return rows.select("id", "class", F.round(T.intake_importance(F.col("content"), F.col("class")), 6).alias("importance"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
 from lodestar.operators import retrieval as R
-from lodestar.sources.tables import AS_OF, MEMORIES, PLAIN_MEMORIES, memories, read, vectors
+from lodestar.sources.tables import AS_OF, MEMORIES, PLAIN_MEMORIES, memories, read, spread, vectors
 
 QUERY = ["the", "ation", "un", "de", "the"]
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\-_./:]+')"
@@ -39,14 +39,14 @@ SEARCH_BM25 = f"WITH {_ASKED}, {_BM25} SELECT id, round(score, 6) AS score FROM
 
 
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every benchmark text, its first six words as a query: the five best documents."""
+    """For every benchmark text, all its words as a query: the five best documents."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokenize(F.col("text")), 1, 6).alias("terms"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("terms"))
     scored = R.bm25(docs, asked, F.col("text")).withColumn("score", F.round("score", 6))
     return R.top_per_key(scored, "query_id", 5, F.desc("score"), F.col("id"))
 
 
-MULTI_QUERY_TOPK = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS}[1:6]) AS term FROM benchmark),
+MULTI_QUERY_TOPK = f"""WITH q AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
 asked AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL), {_BM25},
 r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM bm)
 SELECT * FROM r WHERE rank <= 5"""
@@ -136,7 +136,7 @@ round({_SHARE("lower(array_to_string(labels, ' '))")}, 6) AS label FROM memories
 
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents of every term, and of its occurrences."""
-    terms = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
+    terms = spread(read(spark, sf_dir, "documents")).select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
     per = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 

@@ -39,6 +39,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to as many tasks as the cluster runs at once, if they come in fewer (a small file is one task); else
+    unchanged, so that large tables never move."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 def memories(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
     """id, content, labels, ts, mass, access_count, importance, enforced. plain: the text alone, without a phrase."""
     docs, flags = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")

@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: fixed lexicons of insults by kind and language, lexicons of word stems mined from the
-labelled rows, and patterns. A generative label model estimates, by expectation-maximisation over the counts of vote
-patterns of all documents (at most 3 * 2**voters of them, so the driver holds a bounded table), how far each voter is
-to be believed when it fires; labels enter it as one more, fallible voter. Pairs of voters that fire together more than
-the model explains are correlated, and share their weight. A linear classifier is then trained on the posterior
-labels of a bounded sample (SAMPLE_ROWS rows) and scores every whole text.
-
-Cases: a null text is empty; an empty text gets the score of a text without votes; without labels only the fixed
-voters count; repeated rows are alike; rows of `labels` that repeat an id count as the greater label; empty tables
-give empty results; extra columns are ignored.
+labelled rows, and patterns. A generative label model gives the probability of every vote given the class, and of
+correlated voters given each other; it is fitted by expectation-maximisation over the counts of vote patterns of all
+documents (at most 3 * 2**voters of them, so the driver holds a bounded table); labels enter it as one more, fallible
+voter. A linear classifier is then trained on the posterior labels of a bounded sample (SAMPLE_ROWS rows) and scores
+every whole text.
+
+Cases: a null text is empty; an empty text gets the score of a text without votes; very long texts are read whole, one
+at a time; without labels only the fixed voters count; repeated rows are alike and count each time; rows of `labels` that
+repeat an id count as the greater label; of stems that fit equally well the shorter, then the alphabetically first is
+taken; a score equal to the threshold is toxic; empty tables give empty results; extra columns are ignored by
+`score_toxicity` and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ from lodestar.session import materialize
 SAMPLE_ROWS = 20_000
 MINED_STEMS = 60
 THRESHOLD = 0.7
+#: A label is right this often at least; two voters are linked from this conditional mutual information on.
+LABEL_TRUST = 0.9
+LEAST_LINK = 1e-4
+#: Steps of the draw of samples.
+DRAWS = 1 << 40
 
 #: Words of abuse by kind and language, one voter each.
 LEXICONS = {
@@ -54,8 +61,8 @@ def mined_stems(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str
     not 20 times as often in toxic ones, mislead here: they mean something else in these texts."""
     known = docs.join(labels, "doc_id").where(fold("doc_id", 3) != 1)
     size = known.count()
-    share = int(min(1, SAMPLE_ROWS / max(size, 1)) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("toxic", "text")
+    share = int(min(1, SAMPLE_ROWS / max(size, 1)) * DRAWS)
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)) < share).select("toxic", "text")
     known = materialize(known, "toxicity-sample")  # read by three jobs, joined once
     words = F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+"))
     stems = F.transform(
@@ -82,13 +89,12 @@ class Voters:
 
     def __init__(self, mined: list[str], misleading: list[str]):
         self.lists = [frozenset(v.split()).difference(misleading) for v in LEXICONS.values()]
-        self.names = [*LEXICONS, "mined0", "mined1", "mined2", "shouting", "exclaiming", "addressed"]
+        self.names = [*LEXICONS, "mined", "mined twice", "shouting", "exclaiming", "addressed"]
         self.of_word: dict[str, list[int]] = {}
         for i, words in enumerate(self.lists):
             for word in words:
                 self.of_word.setdefault(word, []).append(i)
-        # the mined stems are dealt to three voters
-        self.of_stem = {stem: len(self.lists) + i % 3 for i, stem in enumerate(mined)}
+        self.of_stem = dict.fromkeys(mined, len(self.lists))
         self.starts = frozenset(stem[:4] for stem in mined)
 
     def hits(self, word: str) -> list[int]:
@@ -106,6 +112,7 @@ class Voters:
             if word in of_word or word[:4] in starts:
                 for i in self.hits(word):
                     out[i] += 1
+        out[len(self.lists) + 1] = max(0, out[len(self.lists)] - 1)
         at = len(self.names) - 3
         out[at] = max(0, len(_SHOUT.findall(text)) - 4)
         out[at + 1] = text.count("!!")
@@ -117,63 +124,148 @@ class Voters:
 def features(counts: np.ndarray) -> np.ndarray:
     """Fired or not, and the logarithm of the count, of every voter; then whether any lexicon fired, and how many."""
     fired = counts > 0
-    lexical = fired[:, : len(LEXICONS) + 3]
+    lexical = fired[:, : len(LEXICONS) + 2]
     return np.concatenate((fired, np.log1p(counts), lexical.any(1, keepdims=True), lexical.sum(1, keepdims=True)), axis=1).astype("f8")
 
 
-def _logit(p):
-    return np.log(p / (1 - p))
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+#: Kinds of documents that the label model tells apart, by class: clean ones without and with votes, toxic ones with few
+#: and with many votes.
+KINDS = np.array([0, 0, 1, 1])
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
 class LabelModel:
-    """How far each voter is to be believed when it fires, and the posterior of a text being toxic.
+    """A generative model of the votes: a document is toxic or not, and of one of the KINDS of its class; given the kind,
+    a voter fires with a probability that depends on its parent's vote, if it has a parent.
 
-    Voters speak for one side and abstain otherwise, and silence of one says nothing (the lexicon of another language
-    can't fire); only that no lexicon fires at all speaks against."""
+    The parents are a forest of the pairs that are most informative about each other given the kind (their conditional
+    mutual information, LEAST_LINK at least), so that voters which repeat one another don't count twice. A label is one
+    more voter, which is right with LABEL_TRUST at least. All is fitted by expectation-maximisation: with the forest
+    fixed, a round never lowers the objective, and rounds go on until it stands still; the forest is drawn anew a few
+    times from the posteriors so found."""
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 50):
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 300):
         """votes: patterns x voters, 0 or 1; labels: -1 unknown, 0, 1; weights: documents with that pattern."""
-        known, said = labels >= 0, labels == 1
-        quiet = self._quiet(votes)
-        p = np.where(quiet, 0.05, 0.9)  # to begin with: a text of abuse is toxic more likely than not
-        self.share = np.ones(votes.shape[1])
-        for step in range(rounds):
-            w1, w0 = weights * p, weights * (1 - p)
-            self.prior = (w1.sum() + 1) / (weights.sum() + 2)
-            self.right = (w1 @ votes + 2 * self.prior) / (weights @ votes + 2)  # toxic, given that the voter fires
-            self.missed = (w1 @ quiet + 2 * self.prior * 0.1) / (weights @ quiet + 2)  # toxic, though no lexicon fires
-            label_hit = ((w1 * known) @ said + 1) / ((w1 * known).sum() + 2)
-            label_false = ((w0 * known) @ said + 1) / ((w0 * known).sum() + 2)
-            if step % 10 == 4:
-                self.share = self._shares(votes, w1, w0)
-            says = np.where(said, np.log(label_hit / label_false), np.log((1 - label_hit) / (1 - label_false)))
-            p = 1 / (1 + np.exp(-np.clip(self.odds(votes) + known * says, -30, 30)))
-
-    @staticmethod
-    def _quiet(votes: np.ndarray) -> np.ndarray:
-        return votes[:, : len(LEXICONS) + 3].sum(1) == 0
-
-    def _shares(self, votes: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> np.ndarray:
-        """A voter's weight is split with those that it is correlated with, given the class."""
-        excess = np.zeros((votes.shape[1],) * 2)
-        for w in (w1, w0):
-            rate = (w @ votes + 0.5) / (w.sum() + 1)
-            together = (votes * w[:, None]).T @ votes / max(w.sum(), 1e-9) - np.outer(rate, rate)
-            excess = np.maximum(excess, together / (np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))) + 1e-9))
-        np.fill_diagonal(excess, 0)
-        return 1 / (1 + np.where(excess > 0.3, excess, 0).sum(1))
-
-    def odds(self, votes: np.ndarray) -> np.ndarray:
-        """Logarithm of the odds of being toxic, from votes alone. The most trusted voter that fires counts in full, the
-        others by their shares."""
-        base = _logit(self.prior)
-        gain = _logit(self.right) - base
-        lead = (votes * np.maximum(gain, 0)).max(1)
-        rest = votes @ (gain * self.share)
-        return np.where(self._quiet(votes), _logit(self.missed), base) + np.maximum(lead, rest)
+        self.labels, self.rate = labels, (weights @ votes + 0.5) / (weights.sum() + 1)
+        lexical = votes[:, : len(LEXICONS) + 2].sum(1)
+        p = np.where(labels == 1, 0.95, np.where(labels == 0, 0.05, np.where(lexical > 0, 0.9, 0.02)))
+        many, some = np.where(lexical > 2, 0.9, 0.1), np.where(votes.any(1), 0.9, 0.1)
+        of_kind = np.stack(((1 - p) * (1 - some), (1 - p) * some, p * (1 - many), p * many), 1)
+        self.objective: list[list[float]] = []
+        for share in (0.1, 1, 1):  # first the labelled documents lead
+            self.weights = np.where(labels >= 0, weights, weights * share)
+            self.parent = self.forest(votes, of_kind)
+            steps: list[float] = []
+            for _ in range(rounds):
+                self.maximise(votes, of_kind)
+                both = self.by_kind(votes) + self.label_part()[:, KINDS]
+                whole = _log_sum(both)
+                of_kind = np.exp(both - whole[:, None])
+                steps.append(float(self.weights @ whole) + self.log_prior())
+                if len(steps) > 1 and steps[-1] - steps[-2] < 1e-8 * abs(steps[-2]):
+                    break
+            self.objective.append(steps)
+
+    def forest(self, votes: np.ndarray, of_kind: np.ndarray) -> np.ndarray:
+        """Each voter's parent, -1 for none: a maximum spanning forest by conditional mutual information."""
+        size = votes.shape[1]
+        gain = np.zeros((size, size))
+        total = self.weights.sum()
+        for w in self.weights * of_kind.T:
+            mass = w.sum()
+            if mass < 1e-9:
+                continue
+            one = w @ votes / mass
+            both = (votes * w[:, None]).T @ votes / mass
+            rows, cols = one[:, None], one[None, :]
+            cells = [(both, rows * cols), (rows - both, rows * (1 - cols)), (cols - both, (1 - rows) * cols), (1 - rows - cols + both, (1 - rows) * (1 - cols))]
+            for found, apart in cells:
+                found = np.clip(found, 0, 1)
+                gain += mass / total * np.where(found > 0, found * np.log(np.maximum(found, 1e-300) / np.maximum(apart, 1e-300)), 0)
+        parent, root = np.full(size, -1), list(range(size))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        near: list[list[int]] = [[] for _ in range(size)]
+        pairs = [(gain[i, j], i, j) for i in range(size) for j in range(i + 1, size) if gain[i, j] >= LEAST_LINK]
+        for _, i, j in sorted(pairs, reverse=True):
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                near[i].append(j)
+                near[j].append(i)
+        seen: set[int] = set()
+        for start in range(size):
+            open_ = [(start, -1)] if start not in seen else []
+            while open_:
+                at, above = open_.pop()
+                seen.add(at)
+                parent[at] = above
+                open_ += [(x, at) for x in near[at] if x not in seen]
+        return parent
+
+    def maximise(self, votes: np.ndarray, of_kind: np.ndarray) -> None:
+        """Probabilities from the posteriors; each with the weight of one vote at the voter's overall rate."""
+        size = len(KINDS)
+        self.mix = (self.weights @ of_kind + 1) / (self.weights.sum() + size)
+        self.fires = np.empty((size, 2, votes.shape[1]))  # kind, vote of the parent, voter
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        for k in range(size):
+            w = self.weights * of_kind[:, k]
+            for v in (0, 1):
+                held = above == v
+                self.fires[k, v] = (w @ (votes * held) + self.rate) / (w @ held + 1)
+        known, said = self.labels >= 0, self.labels == 1
+        right, of = [], []
+        for y in (0, 1):
+            w = self.weights * of_kind[:, KINDS == y].sum(1) * known
+            right.append(w @ (said if y else ~said) + 2 * LABEL_TRUST)
+            of.append(w.sum() + 2)
+        self.trust = np.clip(np.array(right) / np.array(of), LABEL_TRUST, 1 - 1e-6)
+
+    @property
+    def prior(self) -> float:
+        return float(self.mix[KINDS == 1].sum())
+
+    def by_kind(self, votes: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of the votes together with each kind."""
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0).astype(int)
+        out = np.empty((len(votes), len(KINDS)))
+        for k in range(len(KINDS)):
+            fire = self.fires[k][above, np.arange(votes.shape[1])]
+            out[:, k] = np.where(votes > 0, np.log(fire), np.log1p(-fire)).sum(1) + np.log(self.mix[k])
+        return out
+
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of the votes together with each class."""
+        of = self.by_kind(votes)
+        return np.stack([_log_sum(of[:, KINDS == y]) for y in (0, 1)], 1)
+
+    def label_part(self) -> np.ndarray:
+        known, said = self.labels >= 0, self.labels == 1
+        miss = np.where(said, np.log(1 - self.trust[0]), np.log(self.trust[0]))
+        hit = np.where(said, np.log(self.trust[1]), np.log(1 - self.trust[1]))
+        return np.stack((miss, hit), 1) * known[:, None]
+
+    def log_prior(self) -> float:
+        out = (self.rate * np.log(self.fires) + (1 - self.rate) * np.log1p(-self.fires)).sum()
+        out += np.log(self.mix).sum()
+        return float(out + 2 * (LABEL_TRUST * np.log(self.trust) + (1 - LABEL_TRUST) * np.log1p(-self.trust)).sum())
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.odds(votes), -30, 30)))
+        """Probability of being toxic, from votes alone."""
+        both = self.joint(votes)
+        return _sigmoid(both[:, 1] - both[:, 0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-4, rounds: int = 60) -> np.ndarray:
@@ -182,7 +274,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1
     beta = np.zeros(x.shape[1])
     total = max(weights.sum(), 1e-9)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = _sigmoid(x @ beta)
         slope = x.T @ (weights * (p - y)) / total + ridge * beta
         curve = (x * (weights * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x / total + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(curve, slope)
@@ -203,7 +295,7 @@ class ToxicityModel:
         if not texts:
             return np.empty(0)
         x = features(np.array([self.voters.counts(t) for t in texts]))
-        return 1 / (1 + np.exp(-np.clip(x @ self.beta[:-1] + self.beta[-1], -30, 30)))
+        return _sigmoid(x @ self.beta[:-1] + self.beta[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -220,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             bits = ["".join("1" if c else "0" for c in row) for row in counts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": bits, "counts": list(counts), "draw": pdf["draw"]})
 
-    rows = docs.select(as_text().alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw"))
+    rows = docs.select(as_text().alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)).alias("draw"))
     voted = rows.mapInPandas(vote, "doc_id string, votes string, counts array<float>, draw long").withColumn(
         "train", fold("doc_id", 3) != 1
     )
@@ -238,7 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     model = LabelModel(votes, np.array([r.label for r in patterns]), np.array([r.n for r in patterns], "f8"))
     trained, fired = sum(r.train for r in patterns), sum(r.train for r in patterns if "1" in r.votes)
     # Half of the sample are rows with a vote; rows without one are all alike to the classifier.
-    share = int(min(1, SAMPLE_ROWS / 2 / max(fired, 1)) * 1_000_000)
+    share = int(min(1, SAMPLE_ROWS / 2 / max(fired, 1)) * DRAWS)
     sample = voted.where(F.col("train") & F.col("votes").contains("1") & (F.col("draw") < share)).select("votes", "counts").collect()
     x = features(np.array([r.counts for r in sample] + [[0] * size], "f4"))
     v = np.array([[c == "1" for c in r.votes] for r in sample] + [[0] * size], "f8")

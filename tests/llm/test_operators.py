@@ -357,6 +357,50 @@ def test_op7_learns_made_up_words(spark):
     assert all(found[i].predicted == t for i, _, t in rows if found[i].held_out)
 
 
+def synthetic_votes(n, seed):
+    """Votes of voters with known rates per class; the second always repeats the first."""
+    rng = np.random.default_rng(seed)
+    rates = np.array([[0.02, 0.7], [0.02, 0.7], [0.05, 0.5], [0.01, 0.4], [0.1, 0.15], [0.03, 0.3], [0.02, 0.25]])
+    toxic = rng.random(n) < 0.2
+    votes = (rng.random((n, len(rates))) < rates[:, toxic.astype(int)].T).astype(float)
+    votes[:, 1] = votes[:, 0]
+    return votes, toxic, rates
+
+
+def test_op7_label_model_against_the_truth(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICONS", {k: "" for k in "abcd"})  # all voters are lexical
+    votes, toxic, rates = synthetic_votes(20_000, 3)
+    labels = np.where(np.arange(len(votes)) % 10 == 0, toxic, -1)
+    model = toxicity.LabelModel(votes, labels, np.ones(len(votes)))
+    assert 0.17 < model.prior < 0.23
+    assert model.parent[1] == 0 or model.parent[0] == 1  # the copy is found, and counts once
+    every = np.array([[i >> j & 1 for j in range(7)] for i in range(128)], float)
+    chance = np.exp(model.joint(every))
+    assert (every.T @ chance / chance.sum(0)) == pytest.approx(rates, abs=0.05)  # rates of firing by class, by enumeration
+    for steps in model.objective:
+        assert all(b >= a - 1e-6 * abs(a) for a, b in zip(steps, steps[1:]))
+    own = np.delete(votes, 1, axis=1)
+    held = np.delete(rates, 1, axis=0)
+    logs = [np.where(own > 0, np.log(held[:, y]), np.log1p(-held[:, y])).sum(1) + np.log([0.8, 0.2][y]) for y in (0, 1)]
+    truth = 1 / (1 + np.exp(logs[0] - logs[1]))  # by Bayes' rule from the true rates, the copy left out
+    assert np.abs(model.posterior(votes) - truth).mean() < 0.03
+
+
+def test_op7_joint_adds_up_to_one():
+    votes, toxic, _ = synthetic_votes(500, 4)
+    model = toxicity.LabelModel(votes, np.where(toxic, 1, 0), np.ones(500))
+    every = np.array([[i >> j & 1 for j in range(7)] for i in range(128)], float)
+    assert np.exp(model.joint(every)).sum() == pytest.approx(1)
+
+
+def test_op7_long_texts_and_repeated_labels(spark, sf_dir):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    frame = spark.createDataFrame([(1, "you stupid worthless trash " * 40_000), (2, "fine words " * 200_000), (3, None), (3, "again"), (3, "again")], "doc_id long, text string")
+    found = toxicity.score_toxicity(frame, labels).collect()
+    assert len(found) == 5 and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id == 3}) == 1
+
+
 def test_op7_odd(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert toxicity.score_toxicity(odd(spark), labels).count() == len(ODD)

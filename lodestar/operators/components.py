@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import materialize
+from lodestar.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Every round takes the least label over a node's neighbours (pre-aggregated before the shuffle) and then
     follows the label once more (pointer jumping), so long chains need about log(length) rounds. Each round is
-    written to the shared folder. Null ends are ignored; an empty edge list gives an empty result.
+    written to the shared folder, and the round before it deleted. Null ends are ignored; an empty edge list gives an empty result.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             stepped.join(hop, "next", "left").select("a", F.least("next", "beyond").alias("label"), "old"), "labels"
         )
         moved = jumped.where("label <> old").limit(1).count()
+        discard(labels)
         labels = jumped.select("a", "label")
         if not moved:
+            discard(both)
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

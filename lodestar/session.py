@@ -32,13 +32,15 @@ def build_session(app: str = "lodestar", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (local tests) is a temporary folder made and set.
+    Only where the setting is absent on a local master (tests) is a temporary folder made and set; a cluster needs it.
     """
     folder = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT, None)
     if not folder:
         own = spark.sparkContext.getCheckpointDir()
         if own:
             return own
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
@@ -52,3 +54,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later read needs, as soon as what was made of them is written itself. Spark's
+    cleaner removes the shuffle files of finished queries when the driver collects garbage, so that is asked for too."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
+        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import SPACES, numbered, table, text_of
-from lodestar.session import materialize
+from lodestar.session import discard, materialize
 
 #: Tiers of runs that the first compaction merges apart.
 FANOUT = 8
@@ -56,7 +56,9 @@ def merge_index(rows: DataFrame) -> DataFrame:
     )
     tiers = _run(tiers, "dedup-tiers")
     merged = tiers.groupBy("digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
-    return _run(merged, "dedup-index")
+    index = _run(merged, "dedup-index")
+    discard(runs, tiers)
+    return index
 
 
 def _bit(bits: int) -> Column:
@@ -83,8 +85,9 @@ def probe(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
     return found.where("(shiftright(byte, place % 8) & 1) = 1").drop("bucket", "bitmap", "place", "byte")
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """row, doc_id, keep_id, keep_row, group_size, sha for every one of rows (row, doc_id, text)."""
+def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """row, doc_id, keep_id, keep_row, group_size, sha for every one of rows (row, doc_id, text); and the tables that it
+    was made of."""
     rows = rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.translate("text", SPACES, "").alias("norm"))
     rows = rows.withColumn("digest", digest_of(F.col("norm")))
     index = merge_index(rows)
@@ -94,7 +97,7 @@ def resolve(rows: DataFrame) -> DataFrame:
     kept = [F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"]
     single = index.where("group_size = 1").select(F.col("best.row").alias("row"), F.col("best.id").alias("doc_id"), *kept, sha)
     if not sums.several:
-        return single
+        return single, [index]
     hits = index.where("group_size > 1").select("digest", "best", "group_size")
     moved = probe(rows, *hit_filter(hits, sums.several))
     hot_rows, keys = max(HOT_ROWS, sums.rows // HOT_DIGESTS), ["digest"]
@@ -115,27 +118,29 @@ def resolve(rows: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("norm") == F.col("keep_norm"), F.lit(False)).alias("same")
     checked = found.join(stays, keys, "left").select("row", "doc_id", *kept, sha, "digest", same)
     checked = materialize(checked, "dedup-hits")
+    discard(moved)
     clash = checked.where("not same").select("digest").distinct()
     if clash.isEmpty():
-        return single.unionByName(checked.select(*out))
+        return single.unionByName(checked.select(*out)), [index, checked]
     texts = rows.join(clash, "digest")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "row"))
     again = texts.groupBy("digest", "norm").agg(best.alias("best"), F.count("*").alias("group_size"))
     apart = texts.join(again, ["digest", "norm"]).select("row", "doc_id", *kept, F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-    return single.unionByName(checked.join(clash, "digest", "left_anti").select(*out)).unionByName(apart)
+    return single.unionByName(checked.join(clash, "digest", "left_anti").select(*out)).unionByName(apart), [index, checked]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return resolve(rows).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
+    return resolve(rows)[0].select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts; all columns stay. Rows are told apart by themselves, not by ids."""
     rows, name = numbered(docs)
-    found = resolve(rows.select(F.col(name).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
-    gone = found.where("row <> keep_row").select(F.col("row").alias(name))
+    found, made = resolve(rows.select(F.col(name).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
+    gone = materialize(found.where("row <> keep_row").select(F.col("row").alias(name)), "dedup-gone")
+    discard(*made)
     return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from lodestar.llm.common import numbered, table, text_of
 from lodestar.operators.components import connected_components
-from lodestar.session import materialize
+from lodestar.session import discard, materialize
 
 #: Fingerprints of one bucket, or rows of one token, that a task compares at a time.
 BUCKET_ROWS = 1024
@@ -303,7 +303,10 @@ def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) ->
     meets = met.join(heads, "token").where("head.row < row").where(_fits("n", "pos", "head.n", "head.pos", share))
     often = meets.groupBy("row", F.col("head.row").alias("a")).agg(F.count("*").alias("times"))
     best = often.groupBy("row").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", F.col("row").alias("b"))
-    return materialize(same.unionByName(near).unionByName(best).distinct(), "near-stars")
+    near = materialize(near, "near-roots")  # its buckets are done with before the tokens meet
+    stars = materialize(same.unionByName(near).unionByName(best).distinct(), "near-stars")
+    discard(first, near)
+    return stars
 
 
 def similar(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
@@ -313,7 +316,9 @@ def similar(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     side = lambda name: sets.select(F.col("row").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     close = both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near-links")
+    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near-links")
+    discard(pairs, sets)
+    return links
 
 
 def mixed_tokens(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
@@ -350,7 +355,9 @@ def head_pairs(mixed: DataFrame, share: float, seed: int) -> DataFrame:
     fits = _fits("n", "pos", "h.n", "h.pos", share)
     found = f"array_distinct(transform(filter(heads, h -> h.grp <> grp and {fits}), h -> h.row))"
     pairs = chosen.join(heads, "token").select("row", F.explode(F.expr(found)).alias("head"))
-    return pairs.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct(), "near-heads")
+    discard(chosen, mixed)
+    return pairs
 
 
 def remaining_pairs(mixed: DataFrame, share: float) -> DataFrame:
@@ -367,7 +374,9 @@ def remaining_pairs(mixed: DataFrame, share: float) -> DataFrame:
     )
     both = asks.unionByName(gives.select(*asks.columns))
     dealt = both.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "asks")
-    return materialize(dealt.mapInPandas(_pair_scan(share), "a long, b long").distinct(), "near-candidates")
+    pairs = materialize(dealt.mapInPandas(_pair_scan(share), "a long, b long").distinct(), "near-candidates")
+    discard(mixed)
+    return pairs
 
 
 def _pair_scan(share: float):
@@ -413,7 +422,10 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
     tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
     often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
     met = materialize(tokens.join(often, "token"), "near-met")
-    links = similar(star_pairs(posted, met, radius, share), texts, share)
+    discard(often)
+    stars = star_pairs(posted, met, radius, share)
+    discard(posted)
+    links = similar(stars, texts, share)
     groups = connected_components(links, "a", "b")
     mixed, many = mixed_tokens(met, groups)
     for seed in range(HEAD_ROUNDS):
@@ -423,6 +435,7 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
         groups = connected_components(links, "a", "b")
         mixed, many = mixed_tokens(met, groups)
     more = similar(remaining_pairs(mixed, share), texts, share)
+    discard(met)
     if more.isEmpty():
         return groups
     return connected_components(links.unionByName(more), "a", "b")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.session import materialize
-
 #: The characters of [\x20\x09-\x0D], which count as white space in every contract here.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -36,9 +34,8 @@ def as_before(df: DataFrame, source: DataFrame, name: str = "doc_id", source_nam
     return df.withColumn(name, F.col(name).cast(source.schema[source_name or name].dataType))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a number for every row, and the name of that column, which docs doesn't have."""
-    name = "row"
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns of docs."""
     while name.lower() in map(str.lower, docs.columns):
         name += "_"
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+    return name

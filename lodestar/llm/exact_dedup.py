@@ -19,10 +19,10 @@ empty result; extra columns are ignored by `exact_dedup` and kept by `drop_copie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACES, numbered, table, text_of
+from lodestar.llm.common import SPACES, fresh, table, text_of
 from lodestar.session import discard, materialize
 
 #: Tiers of runs that the first compaction merges apart.
@@ -86,16 +86,16 @@ def probe(rows: DataFrame, maps: DataFrame, bits: int) -> DataFrame:
 
 
 def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """row, doc_id, keep_id, keep_row, group_size, sha for every one of rows (row, doc_id, text); and the tables that it
-    was made of."""
+    """row, doc_id, keep_id, keep_row, group_size, sha, digest and mark (the text's hash; null for the only one of its
+    digest) for every one of rows (row, doc_id, text); and the tables that it was made of."""
     rows = rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.translate("text", SPACES, "").alias("norm"))
     rows = rows.withColumn("digest", digest_of(F.col("norm")))
     index = merge_index(rows)
     sums = index.agg(F.sum("group_size").alias("rows"), F.count_if(F.col("group_size") > 1).alias("several"), F.max("group_size").alias("most")).first()
-    out = ["row", "doc_id", "keep_id", "keep_row", "group_size", "sha"]
+    out = ["row", "doc_id", "keep_id", "keep_row", "group_size", "sha", "digest", "mark"]
     sha = F.lower(F.hex("digest")).alias("sha")
     kept = [F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"]
-    single = index.where("group_size = 1").select(F.col("best.row").alias("row"), F.col("best.id").alias("doc_id"), *kept, sha)
+    single = index.where("group_size = 1").select(F.col("best.row").alias("row"), F.col("best.id").alias("doc_id"), *kept, sha, "digest", F.lit(None).cast("long").alias("mark"))
     if not sums.several:
         return single, [index]
     hits = index.where("group_size > 1").select("digest", "best", "group_size")
@@ -116,7 +116,8 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         stays = stays.groupBy("digest").agg(F.max("keep_norm").alias("keep_norm"), F.max("all").alias("all"))
         stays = stays.select("digest", "keep_norm", F.explode("all").alias("salt"))
     same = F.coalesce(F.col("norm") == F.col("keep_norm"), F.lit(False)).alias("same")
-    checked = found.join(stays, keys, "left").select("row", "doc_id", *kept, sha, "digest", same)
+    mark = F.xxhash64("norm").alias("mark")
+    checked = found.join(stays, keys, "left").select("row", "doc_id", *kept, sha, "digest", mark, same)
     checked = materialize(checked, "dedup-hits")
     discard(moved)
     clash = checked.where("not same").select("digest").distinct()
@@ -125,7 +126,7 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     texts = rows.join(clash, "digest")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "row"))
     again = texts.groupBy("digest", "norm").agg(best.alias("best"), F.count("*").alias("group_size"))
-    apart = texts.join(again, ["digest", "norm"]).select("row", "doc_id", *kept, F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    apart = texts.join(again, ["digest", "norm"]).select("row", "doc_id", *kept, F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "digest", mark)
     return single.unionByName(checked.join(clash, "digest", "left_anti").select(*out)).unionByName(apart), [index, checked]
 
 
@@ -136,12 +137,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts; all columns stay. Rows are told apart by themselves, not by ids."""
-    rows, name = numbered(docs)
-    found, made = resolve(rows.select(F.col(name).alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
-    gone = materialize(found.where("row <> keep_row").select(F.col("row").alias(name)), "dedup-gone")
+    """docs with one row of each group of equal texts; all columns stay. A row is named by its id, digest and hash of
+    the text; of rows of one id and text the longest stays, whichever of several."""
+    norm = F.translate(text_of(text_col), SPACES, "")
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    found, made = resolve(rows)
+    size = F.count("*").alias("size")
+    several = found.where("group_size > 1").groupBy("doc_id", "keep_id", "digest", "mark").agg(size)
+    several = materialize(several.where("size > 1 or not doc_id <=> keep_id"), "dedup-gone")
     discard(*made)
-    return rows.join(gone, name, "left_anti").select(*docs.columns)
+    key = [fresh(docs, name) for name in ("gone_id", "gone_digest", "gone_mark")]
+    named = several.select("size", F.expr("doc_id <=> keep_id").alias("stays"), *(F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "mark"), key)))
+    same = F.col(id_col).eqNullSafe(F.col(key[0])) & (digest_of(norm) == F.col(key[1])) & (F.xxhash64(norm) == F.col(key[2]))
+    left = docs.join(named.drop("size", "stays"), same, "left_anti")
+    again = named.where("stays").drop("size", "stays")
+    if again.isEmpty():
+        return left
+    first = fresh(docs, "first")
+    order = Window.partitionBy(id_col, F.sha2(norm.cast("binary"), 256)).orderBy(F.desc(F.length(text_col)))
+    once = docs.join(again, same, "left_semi").withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
+    return left.unionByName(once)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ sample matters for speed only. Pairs within a group that is joined already aren'
 
 Cases: a null text is empty; a text without words has the fingerprint zero and links like any other; null ids
 get a component only through others' ids, and come last where the smallest id stays; repeated rows share a
-fingerprint, and of repeated rows `drop_near_copies` keeps one; rows of one id with different texts are judged apart;
+fingerprint, and for `drop_near_copies` rows of one id and text are one document, which stays or goes as a whole
+(exact dedup comes before); rows of one id with different texts are judged apart;
 very long texts are read whole, their shingles hashed one text at a time; of equally small ids the row read first
 stays; extra columns are ignored by `simhash_components` and kept by `drop_near_copies`, whatever their names; empty
 tables give empty results.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from lodestar.llm.common import numbered, table, text_of
+from lodestar.llm.common import fresh, table, text_of
 from lodestar.operators.components import connected_components
 from lodestar.session import discard, materialize
 
@@ -230,7 +231,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, id_col: str = "doc_id",
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that several texts of a sample have, and their numbers of texts there."""
     share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
-    drawn = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    drawn = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < int(share * (1 << 40)))
     counts = drawn.select(F.explode(shingle_set("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     found = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
     found = found.sort_values("token")
@@ -250,7 +251,8 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: f
 
 
 def postings(texts: DataFrame, share: float) -> DataFrame:
-    """row, fp (the word fingerprint), n (distinct shingles) and tokens, the prefix of the text in the common order."""
+    """A row number for every text, its id and digest, fp (the word fingerprint), n (distinct shingles) and tokens, the
+    prefix of the text in the common order. Texts have id, digest and text; they are read, not copied."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,9 +262,19 @@ def postings(texts: DataFrame, share: float) -> DataFrame:
                 own = np.unique(shingle_hashes(text, 5)).view("<i8")
                 sizes.append(len(own))
                 tokens.append(prefix(np.sort(own), shared.value, share))
-            yield pd.DataFrame({"row": part["row"].to_numpy(), "fp": simhash_words.func(part["text"]).to_numpy(), "n": np.array(sizes, "i4"), "tokens": tokens})
+            yield pd.DataFrame(
+                {
+                    "id": part["id"].to_numpy(),
+                    "digest": part["digest"].to_numpy(),
+                    "fp": simhash_words.func(part["text"]).to_numpy(),
+                    "n": np.array(sizes, "i4"),
+                    "tokens": tokens,
+                }
+            )
 
-    return materialize(texts.mapInPandas(post, "row long, fp long, n int, tokens array<long>"), "near-postings")
+    named = texts.select(F.col("id").cast("string").alias("id"), "digest", "text")
+    posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, tokens array<long>")
+    return materialize(posted.withColumn("row", F.monotonically_increasing_id()), "near-postings")
 
 
 def _fits(n: str, pos: str, m: str, at: str, share: float) -> str:
@@ -309,15 +321,19 @@ def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) ->
     return stars
 
 
-def similar(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have that Jaccard similarity; two texts without words have."""
+def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have that Jaccard similarity; two texts without words have. rows has the id
+    and digest of each row number; only the texts of the pairs are read on."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = materialize(texts.join(wanted, "row", "left_semi").select("row", shingle_set("text").alias("shingles")), "near-sets")
+    wanted = materialize(rows.join(wanted, "row").select("row", F.col("id").alias("own_id"), F.col("digest").alias("own_digest")), "near-wanted")
+    met = texts.join(wanted, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    # rows of one id and text meet each other's text, which is the same
+    sets = materialize(met.select("row", shingle_set("text").alias("shingles")).dropDuplicates(["row"]), "near-sets")
     side = lambda name: sets.select(F.col("row").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     close = both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9
     links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near-links")
-    discard(pairs, sets)
+    discard(pairs, sets, wanted)
     return links
 
 
@@ -416,55 +432,64 @@ def _pair_scan(share: float):
     return scan
 
 
-def linked_rows(texts: DataFrame, radius: int, share: float) -> DataFrame:
-    """(node, component) of the rows (columns row, text) that have a partner, directly or in steps."""
+def linked_rows(texts: DataFrame, radius: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the row numbers that have a partner, directly or in steps; and the id and digest of each
+    row. texts has id, digest and text."""
     posted = postings(texts, share)
+    rows = materialize(posted.select("row", "id", "digest"), "near-named")
     tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
     often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
     met = materialize(tokens.join(often, "token"), "near-met")
     discard(often)
     stars = star_pairs(posted, met, radius, share)
     discard(posted)
-    links = similar(stars, texts, share)
+    links = similar(stars, texts, rows, share)
     groups = connected_components(links, "a", "b")
     mixed, many = mixed_tokens(met, groups)
     for seed in range(HEAD_ROUNDS):
         if not many:
             break
-        links = links.unionByName(similar(head_pairs(mixed, share, seed), texts, share))
+        links = links.unionByName(similar(head_pairs(mixed, share, seed), texts, rows, share))
         groups = connected_components(links, "a", "b")
         mixed, many = mixed_tokens(met, groups)
-    more = similar(remaining_pairs(mixed, share), texts, share)
+    more = similar(remaining_pairs(mixed, share), texts, rows, share)
     discard(met)
     if more.isEmpty():
-        return groups
-    return connected_components(links.unionByName(more), "a", "b")
+        return groups, rows
+    return connected_components(links.unionByName(more), "a", "b"), rows
 
 
-def _groups(docs: DataFrame, radius: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
-    """The numbered rows, the name of the number, and node, component, id and least (both null ids last) of each row
-    that has a partner."""
-    rows, name = numbered(docs)
-    groups = linked_rows(rows.select(F.col(name).alias("row"), text_of(text_col).alias("text")), radius, share)
-    named = groups.join(rows.select(F.col(name).alias("node"), F.col(id_col).alias("id")), "node")
-    least = named.groupBy("component").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node")).alias("least"))
-    return rows, name, materialize(named.join(least, "component"), "near-groups")
+def _digest(text_col: str):
+    return F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))
+
+
+def _groups(docs: DataFrame, radius: int, share: float, id_col: str, text_col: str) -> DataFrame:
+    """node, component, id, digest and least (null ids last) of each row number that has a partner."""
+    texts = docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), text_of(text_col).alias("text"))
+    groups, rows = linked_rows(texts, radius, share)
+    rows = rows.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    named = groups.join(rows, groups.node == rows.row).drop("row")
+    least = named.groupBy("component").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "node", "digest")).alias("least"))
+    return materialize(named.join(least, "component"), "near-groups")
 
 
 def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): the ids of the rows that have a partner, with the least id of their group. Partners have a
     Jaccard similarity of 5-word shingles of at least share, followed over any number of steps. Every pair is found:
     the fingerprints and first meetings join most rows at a cost linear in their number, the prefix filter the rest."""
-    found = _groups(docs, radius, share, id_col, text_col)[2]
+    found = _groups(docs, radius, share, id_col, text_col)
     return found.select(F.col("id").alias("node"), F.col("least.id").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies, that with the smallest id (then the first read); all columns
-    stay. Rows are told apart by themselves, not by their ids."""
-    rows, name, found = _groups(docs, radius, share, id_col, text_col)
-    gone = found.where("node <> least.node").select(F.col("node").alias(name))
-    return rows.join(gone, name, "left_anti").select(*docs.columns)
+    """docs with one document of each group of near copies, that with the smallest id (then the first read); all columns
+    stay. A document is named by its id and the digest of its text, so rows of one id with other texts are judged apart."""
+    found = _groups(docs, radius, share, id_col, text_col)
+    key = [fresh(docs, name) for name in ("gone_id", "gone_digest")]
+    gone = found.where("not (id <=> least.id and digest = least.digest)")
+    gone = gone.select(F.col("id").alias(key[0]), F.col("digest").alias(key[1])).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(key[0])) & (_digest(text_col) == F.col(key[1]))
+    return docs.join(gone, same, "left_anti")
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -686,9 +686,9 @@ def test_near_copies_links_are_linear(spark, monkeypatch):
     made = []
     whole = simhash_dedup.similar
 
-    def counted(pairs, texts, share):
+    def counted(pairs, texts, rows, share):
         made.append(pairs.count())
-        return whole(pairs, texts, share)
+        return whole(pairs, texts, rows, share)
 
     monkeypatch.setattr(simhash_dedup, "similar", counted)
     for size in (1000, 4000):

@@ -132,7 +132,7 @@ def _cell(digest: Column, j: int) -> Column:
     return F.lit(j) * F.col("m") + F.pmod(_hash(digest, j), F.col("m"))
 
 
-def peel(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def peel(cells: DataFrame, rounds: int) -> DataFrame:
     """After some rounds over the subtables: under cell -1 the number of recovered digests, and the cells left.
 
     Within one subtable a digest has one cell, so none is taken twice in a step; a step is an explode and an
@@ -160,7 +160,7 @@ def compare(sides: DataFrame, grow: float) -> DataFrame:
     # Neighbours have next to nothing in common, an edited text about half; peeling needs 1.23 cells a digest at least.
     cells = F.when(F.col("pair") == 0, grow).otherwise(1.4 * grow) * (F.size("own") + F.size("other"))
     m = (F.ceil(cells / 3) + 3).cast("long")
-    left = peel(sketch_difference(pairs.withColumn("m", m)))
+    left = peel(sketch_difference(pairs.withColumn("m", m)), ROUNDS)
     per = lambda k, of: F.coalesce(F.sum(F.when((F.col("pair") == k) & of, F.col("n"))), F.lit(0))
     rest = lambda k: F.sum(F.when((F.col("pair") == k) & (F.col("cell") >= 0), 1).otherwise(0))
     found = left.groupBy("bucket", "row").agg(*(F.when(rest(k) == 0, per(k, F.col("cell") < 0)).alias(f"d{k}") for k in (0, 1)))

@@ -142,8 +142,18 @@ def test_op2_odd(spark):
 
 def test_op2_retries(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROUNDS", 1)  # hardly any pair comes out at the first size
-    found = fingerprints.fingerprint_edits(docs.where("doc_id < 12")).collect()
-    check_fingerprints(found, sorted((i, t) for i, t in texts.items() if i < 12))
+    sizes = []
+    whole = fingerprints.compare
+
+    def counted(sides, grow):
+        sizes.append(grow)
+        return whole(sides, grow)
+
+    monkeypatch.setattr(fingerprints, "compare", counted)
+    some = sorted((i, f"One {i}. Two {i}. Three. Four {i % 2}. Five {i}. Six. Seven {i}. " + " ".join(f"More {k}." for k in range(20))) for i in range(4))
+    found = fingerprints.fingerprint_edits(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    check_fingerprints(found, some)
+    assert len(sizes) > 1 and sizes == [2.0**k for k in range(len(sizes))]
 
 
 def check_scores(found, rows):

@@ -287,8 +287,12 @@ def _fits(n: str, pos: str, m: str, at: str, share: float) -> str:
 
 def fingerprint_roots(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): for each distinct fingerprint that shares a bucket with a lesser one within the radius, the least
-    of the buckets' least ones. A bucket's rows meet its least one only, so the work is linear in them."""
+    of the buckets' least ones. A bucket's rows meet its least one only, so the work is linear in them.
+
+    The table of fingerprints is small, but gives a row for each mask, nearly all with buckets of their own: it is dealt
+    to all tasks first, so that no task aggregates more than its share of them."""
     masks = F.array(*map(F.lit, covering_masks(radius)))
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keyed = prints.select("fp", F.posexplode(masks).alias("mask", "kept"))
     keyed = keyed.select(F.xxhash64("mask", F.col("kept").bitwiseAND(F.col("fp"))).alias("bucket"), "fp")
     shared = keyed.groupBy("bucket").agg(F.min("fp").alias("root"), F.count("*").alias("n")).where("n > 1")

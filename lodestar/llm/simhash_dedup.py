@@ -333,11 +333,12 @@ def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, share: float) -
     met = texts.join(wanted, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
     # rows of one id and text meet each other's text, which is the same
     sets = materialize(met.select("row", shingle_set("text").alias("shingles")).dropDuplicates(["row"]), "near-sets")
+    discard(wanted)  # with it go the shuffled texts, before the shingles are shuffled
     side = lambda name: sets.select(F.col("row").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     close = both >= share * (F.size("of_a") + F.size("of_b") - both) - 1e-9
     links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near-links")
-    discard(pairs, sets, wanted)
+    discard(pairs, sets)
     return links
 
 

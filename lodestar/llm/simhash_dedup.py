@@ -12,7 +12,8 @@ rows, by the exact Jaccard similarity of word shingles. That is linear in the ro
 join. A prefix filter then adds every candidate that is left: all texts
 order their shingles alike, rare ones first, and of n shingles the first n - ceil(share * n) + 1 are posted. Two texts
 whose similarity is at least share have a posted shingle in common, whatever the order; that the order comes from a
-sample matters for speed only. Pairs within a group that is joined already aren't looked at again.
+sample matters for speed only. Pairs within a group that is joined already aren't looked at again. Of all these pairs only those are compared whose parity sketches, of a bit or two
+a shingle, don't rule the similarity out.
 
 Cases: a null text is empty; a text without words has the fingerprint zero and links like any other; null ids
 get a component only through others' ids, and come last where the smallest id stays; repeated rows share a
@@ -50,6 +51,8 @@ HEAD_ROUNDS = 2
 #: Documents that the order of shingles is learned from, and how many shingles at most count as common.
 ORDER_DOCS = 20_000
 ORDER_SHINGLES = 200_000
+#: Bits of the largest sketch; beyond, the filter by sketches lets more pairs through to the exact check.
+SKETCH_BITS = 1 << 15
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -250,30 +253,44 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: f
     return shingles[np.lexsort((shingles, rank))[:keep]] if n else shingles
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Words of 64 bits: a bit tells whether an odd number of the (unsigned) hashes falls on it. There are at least as
+    many bits as hashes, a power of two, up to SKETCH_BITS. Two sketches differ in at most as many bits as their sets in
+    members, and xor of its halves makes a sketch into that of half the size."""
+    size = 64
+    while size < len(shingles) and size < SKETCH_BITS:
+        size *= 2
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype("i8"), minlength=size) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
 def postings(texts: DataFrame, share: float) -> DataFrame:
-    """A row number for every text, its id and digest, fp (the word fingerprint), n (distinct shingles) and tokens, the
-    prefix of the text in the common order. Texts have id, digest and text; they are read, not copied."""
+    """A row number for every text, its id and digest, fp (the word fingerprint), n (distinct shingles), sketch (see
+    parity_sketch) and tokens, the prefix of the text in the common order. Texts have id, digest and text; they are
+    read, not copied."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (pdf.iloc[at : at + 1000] for pdf in batches for at in range(0, len(pdf), 1000)):
-            sizes, tokens = [], []
+            sizes, sketches, tokens = [], [], []
             for text in part["text"].tolist():
-                own = np.unique(shingle_hashes(text, 5)).view("<i8")
+                own = np.unique(shingle_hashes(text, 5))
                 sizes.append(len(own))
-                tokens.append(prefix(np.sort(own), shared.value, share))
+                sketches.append(parity_sketch(own))
+                tokens.append(prefix(np.sort(own.view("<i8")), shared.value, share))
             yield pd.DataFrame(
                 {
                     "id": part["id"].to_numpy(),
                     "digest": part["digest"].to_numpy(),
                     "fp": simhash_words.func(part["text"]).to_numpy(),
                     "n": np.array(sizes, "i4"),
+                    "sketch": sketches,
                     "tokens": tokens,
                 }
             )
 
     named = texts.select(F.col("id").cast("string").alias("id"), "digest", "text")
-    posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, tokens array<long>")
+    posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, sketch array<long>, tokens array<long>")
     return materialize(posted.withColumn("row", F.monotonically_increasing_id()), "near-postings")
 
 
@@ -325,9 +342,28 @@ def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) ->
     return stars
 
 
+def may_be_similar(pairs: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) without those that their sketches rule out: sets of n_a and n_b members with that similarity
+    differ in at most (1 - share) / (1 + share) of n_a + n_b members, and their sketches in no more bits. No similar pair
+    is lost, and a sketch is a fraction of its shingles, so few shingles move for the exact check."""
+    side = lambda x: rows.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    sized = f"least(n_a, n_b) >= {share} * greatest(n_a, n_b) - 1e-6"  # sketches then differ in size by one halving at most
+    half = "int(size({0}) / 2)"
+    halved = f"zip_with(slice({{0}}, 1, {half}), slice({{0}}, {half} + 1, {half}), (x, y) -> x ^ y)"
+    fit = f"if(size({{0}}) > size({{1}}), {halved}, {{0}})"
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sized)
+    met = met.select("a", "b", "n_a", "n_b", F.expr(fit.format("s_a", "s_b")).alias("p"), F.expr(fit.format("s_b", "s_a")).alias("q"))
+    bits = "aggregate(zip_with(p, q, (x, y) -> bit_count(x ^ y)), 0, (total, x) -> total + x)"
+    kept = met.where(f"size(p) <> size(q) or {bits} <= {(1 - share) / (1 + share)} * (n_a + n_b) + 1e-6")
+    return materialize(kept.select("a", "b"), "near-likely")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, share: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have that Jaccard similarity; two texts without words have. rows has the id
-    and digest of each row number; only the texts of the pairs are read on."""
+    """Those of the pairs (a, b) whose texts have that Jaccard similarity; two texts without words have. rows has the id,
+    digest, n and sketch of each row number; only the texts of pairs that the sketches leave are read on."""
+    likely = may_be_similar(pairs, rows, share)
+    discard(pairs)
+    pairs = likely
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     wanted = materialize(rows.join(wanted, "row").select("row", F.col("id").alias("own_id"), F.col("digest").alias("own_digest")), "near-wanted")
     met = texts.join(wanted, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
@@ -441,7 +477,7 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> tuple[DataFrame,
     """(node, component) of the row numbers that have a partner, directly or in steps; and the id and digest of each
     row. texts has id, digest and text."""
     posted = postings(texts, share)
-    rows = materialize(posted.select("row", "id", "digest"), "near-named")
+    rows = materialize(posted.select("row", "id", "digest", "n", "sketch"), "near-named")
     tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
     often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
     met = materialize(tokens.join(often, "token"), "near-met")

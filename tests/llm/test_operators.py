@@ -733,3 +733,29 @@ def test_near_copies_that_are_joined_in_steps(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     group = {r.node: r.component for r in simhash_dedup.near_groups(frame).collect()}
     assert set(group) == {x for p in close for x in p} and all(group[a] == group[b] for a, b in close)
+
+
+def test_near_copies_sketches_lose_no_similar_pair(spark, monkeypatch):
+    """Pairs of sets of all sizes, about the sizes where sketches double above all, at and beside the similarity of 0.8."""
+    monkeypatch.setattr(simhash_dedup, "SKETCH_BITS", 512)
+    draw = np.random.default_rng(5)
+    sets, pairs, expected = [], [], set()
+    for n in [0, 1, 2, 5, 9, 60, 64, 65, 72, 120, 128, 130, 256, 270, 500, 600, 2000]:
+        base = draw.integers(0, 1 << 63, n, "u8")
+        for change in (0.0, 0.08, 0.111, 0.2, 0.23, 0.5, 1.0):
+            gone = round(change * n)
+            for added in {0, gone}:
+                other = np.concatenate((base[gone:], draw.integers(0, 1 << 63, added, "u8")))
+                at = len(sets)
+                sets += [base, other]
+                pairs.append((at, at + 1))
+                a, b = set(base.tolist()), set(other.tolist())
+                if len(a & b) >= 0.8 * len(a | b):
+                    expected.add((at, at + 1))
+    rows = [(i, len(x), simhash_dedup.parity_sketch(x).tolist()) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "row long, n int, sketch array<long>")
+    left = simhash_dedup.may_be_similar(spark.createDataFrame(pairs, "a long, b long"), frame, 0.8)
+    left = {tuple(r) for r in left.collect()}
+    assert expected <= left
+    assert 0 < len(expected) < len(left) + 1 and len(left) < len(pairs)  # and some pairs are ruled out
+    assert len(left - expected) <= 0.25 * len(pairs)

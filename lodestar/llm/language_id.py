@@ -17,7 +17,7 @@ language in alphabetical order; repeated rows are alike; empty tables give empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,17 +75,14 @@ class CrossParser:
         for i, c in enumerate(letters):
             self.symbol_of[ord(c)] = i + 2
         self.width = len(letters) + 2
-        tables, self.roots, at = [], [], 0
+        self.tables = []  # of each language: the next state by state and symbol, -1 where there is none; state 0 is the root
         for _, text in samples:
             states = suffix_automaton(self.symbols(text).tolist())
             dense = np.full((len(states), self.width), -1, "i4")
             for state, row in enumerate(states):
                 for c, to in row.items():
-                    dense[state, c] = to + at
-            tables.append(dense)
-            self.roots.append(at)
-            at += len(states)
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, "i4")
+                    dense[state, c] = to
+            self.tables.append(dense.ravel())
 
     def symbols(self, text: str) -> np.ndarray:
         found = self.symbol_of[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
@@ -106,18 +103,18 @@ class CrossParser:
                 steps[: sizes[lane], lane] = texts[i][x : x + BLOCK]
             active = np.searchsorted(-sizes, -np.arange(sizes[0]))  # lanes that have a symbol at this step
             owner = np.array([i for i, _ in part])
-            for k, root in enumerate(self.roots):
-                start = self.table[root * self.width : (root + 1) * self.width]
-                state = np.full(len(part), root, "i4")
+            for k, table in enumerate(self.tables):
+                start = table[: self.width]
+                state = np.zeros(len(part), "i8")
                 count = np.ones(len(part), "i8")
                 for step in range(sizes[0]):
                     n = active[step]
                     c = steps[step, :n]
-                    to = self.table[state[:n] * self.width + c]
+                    to = table[state[:n] * self.width + c]
                     miss = np.flatnonzero(to < 0)
                     count[miss] += 1
                     again = start[c[miss]]
-                    to[miss] = np.where(again < 0, root, again)
+                    to[miss] = np.where(again < 0, 0, again)
                     state[:n] = to
                 np.add.at(out[:, k], owner, count)
         return out
@@ -135,9 +132,9 @@ class CrossParser:
         return lang, score
 
 
-@cache
+@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    """One per worker process and set of samples."""
+    """One per worker process: workers outlive queries, so the automata of earlier samples are let go."""
     return CrossParser(samples)
 
 

@@ -6,7 +6,7 @@ Each adapter has the same rule as a SQL common table expression, for the oracle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Evaluation time of every time rule: 2024-02-01 UTC, in epoch seconds.
@@ -86,6 +86,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Dimensions of the vectors that are made of words.
+DIMENSIONS = 64
+
+
+def text_vectors(rows: DataFrame, words: Column) -> DataFrame:
+    """rows with embedding: each distinct word adds 1 or -1 to one of DIMENSIONS places, both by its MD5."""
+    named = rows.withColumn("_words", words).select("id", F.explode_outer(F.array_distinct("_words")).alias("word"))
+    digest = F.md5(F.col("word").cast("binary"))
+    place = F.pmod(F.conv(F.substring(digest, 1, 2), 16, 10).cast("int"), F.lit(DIMENSIONS))
+    sign = F.when(F.substring(digest, 3, 1) < "8", 1.0).otherwise(-1.0)
+    put = named.select("id", place.alias("place"), sign.alias("sign")).groupBy("id")
+    sums = put.agg(*(F.coalesce(F.sum(F.when(F.col("place") == d, F.col("sign"))), F.lit(0.0)).alias(f"d{d}") for d in range(DIMENSIONS)))
+    return rows.join(sums.select("id", F.array(*(f"d{d}" for d in range(DIMENSIONS))).alias("embedding")), "id")
+
+
+_PLACE = f"('0x' || substr(md5(word), 1, 2))::INTEGER % {DIMENSIONS}"
+_SIGN = "CASE WHEN substr(md5(word), 3, 1) < '8' THEN 1.0::DOUBLE ELSE -1 END"
+#: For a relation w(id, words) the vectors tv(id, v).
+TEXT_VECTORS = f"""tw AS (SELECT id, {_PLACE} AS place, {_SIGN} AS sign FROM (SELECT id, unnest(list_distinct(words)) AS word FROM w)),
+tv AS (SELECT w.id, [{", ".join(f"coalesce(sum(sign) FILTER (place = {d}), 0)" for d in range(DIMENSIONS))}] AS v FROM w LEFT JOIN tw USING (id) GROUP BY w.id)"""
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, epoch, user_id, event_type, value, props, k."""
     return read(spark, sf_dir, "events").withColumns(

@@ -329,10 +329,10 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}\-]+"), lambda w: F.octet_length(w) >= 2)
 
 
-def topic_overlap(a: Column, b: Column) -> Column:
-    """Share of the first text's words, repeats included, that the second has; 0 for no words."""
-    own = word_list(a)
-    found = F.size(F.filter(own, lambda w: F.array_contains(word_set(b), w)))
+def topic_overlap(own: Column, others: Column) -> Column:
+    """Share of the words, repeats included, that the set of others has; 0 for no words. Both should be columns of their
+    own (word_list, word_set): an expression would be worked out again for every word."""
+    found = F.size(F.filter(own, lambda w: F.array_contains(others, w)))
     return F.when(F.size(own) > 0, found / F.size(own)).otherwise(0.0)
 
 

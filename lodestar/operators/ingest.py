@@ -56,9 +56,8 @@ def _judged(pairs: DataFrame, new: DataFrame, others: DataFrame, history: bool)
     own = F.array_distinct("words_a")
     alike = F.when((F.size(own) == 0) | (F.size("set_b") == 0), 0.0).otherwise(T.jaccard(own, F.col("set_b")))
     threshold = F.lit(0.55) if history else F.when(F.col("size_a") < 30, 0.80).otherwise(0.55)
-    # repeats of words count, so words are counted against the set, which is a column of its own
-    share = F.size(F.filter("words_a", lambda w: F.array_contains("set_b", w))) / F.size("words_a")
-    corrects = F.lit(False) if history else F.col("denies") & (F.size("words_a") > 0) & (share > 0.4)
+    share = T.topic_overlap(F.col("words_a"), F.col("set_b"))
+    corrects = F.lit(False) if history else F.col("denies") & (share > 0.4)
     return met.select(
         "a",
         "b",

@@ -13,9 +13,10 @@ from lodestar.operators.retrieval import top_per_key
 DECIMALS = 9
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bool = False, block: int = 1024) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bool = False, apart: bool = False, block: int = 1024) -> DataFrame:
     """(a, b, similarity): for every row of left the k rows of right with the highest cosine above least, by similarity
-    and then the lower id; never the row itself; with earlier only rows of a lower id.
+    and then the lower id; never the row itself, unless the sides are tables of different
+    things (apart); with earlier only rows of a lower id.
 
     Both sides have id and embedding. Each pair of blocks is one task's matrix product and returns k rows at most for a
     row of left, so neither a task nor the result grows with a dense group. Rows without a vector have no neighbours."""
@@ -40,7 +41,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bo
         if not len(a) or not len(b):
             return pd.DataFrame({"a": a[:0], "b": b[:0], "similarity": np.zeros(0)})
         close = np.minimum(np.round(x[asks] @ x[~asks].T, DECIMALS), 1.0)
-        close[(b[None, :] >= a[:, None]) if earlier else (b[None, :] == a[:, None])] = -2.0
+        if not apart:
+            close[(b[None, :] >= a[:, None]) if earlier else (b[None, :] == a[:, None])] = -2.0
         best = np.argsort(-close, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(close, best, 1)
         row, place = np.nonzero(found > least)

@@ -25,11 +25,11 @@ def top_per_key(df: DataFrame, key: str, k: int, *order: Column, salts: int = 32
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, body: Column) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, body: Column, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of documents that share a term with a query.
 
     queries: query_id, terms (with repeats, which count each time). Only postings of query terms are shuffled; their
-    document frequencies and the mean length come from all documents."""
+    document frequencies and the mean length come from all documents. pairs: the (query_id, id) to score, if not all."""
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = materialize(asked, "asked")
     wanted = asked.select("term").distinct()
@@ -48,9 +48,10 @@ def bm25(docs: DataFrame, queries: DataFrame, body: Column) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("weight", F.col("times") * idf)
+    weighed = weighed.select("query_id", "term", "weight", "avg_dl")
+    met = postings.join(weighed, "term") if pairs is None else postings.join(pairs, "id").join(weighed, ["query_id", "term"])
     return (
-        postings.join(weighed.select("query_id", "term", "weight", "avg_dl"), "term")
-        .groupBy("query_id", "id")
+        met.groupBy("query_id", "id")
         .agg(F.sum(F.col("weight") * part).alias("score"))
     )
 

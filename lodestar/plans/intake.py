@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
+from lodestar.operators.overlaps import set_overlaps
+from lodestar.operators.retrieval import top_per_key
 from lodestar.plans.graphs import relations
 from lodestar.plans.rules import _CLASS, _TAGS, _any, _lit
 from lodestar.plans.search import PAIRS
@@ -25,9 +27,10 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the turn before it: share of its words that come back, whether the texts match but for details,
     and whether it corrects the earlier one (words of denial and more than 0.4 of its words)."""
-    overlap = T.topic_overlap(F.col("text"), F.col("before"))
+    overlap = T.topic_overlap(F.col("own"), F.col("others"))
     denies = T.any_contained(F.lower("text"), T.INTAKE_DENIALS)
-    return _turns(spark, sf_dir).select(
+    turns = _turns(spark, sf_dir).withColumns({"own": T.word_list(F.col("text")), "others": T.word_set(F.col("before"))})
+    return turns.select(
         "conv_id",
         "turn",
         F.round(overlap, 6).alias("overlap"),
@@ -45,28 +48,23 @@ abs(strlen(text) - strlen(before)) <= strlen(text) // 3 AND len(list_distinct(li
 {_any("lower(text)", T.INTAKE_DENIALS)} AND overlap > 0.4 AS conflict FROM o"""
 
 
-def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories that contradict the memory before them from the same source: word overlap of 0.08 or more, exactly one
-    side with a word of denial, both of 30 bytes or more, neither enforced. Each is compared with one other only."""
-    order = Window.partitionBy("source").orderBy("id")
-    rows = memories(spark, sf_dir).select(
-        "id",
-        F.element_at("labels", 2).alias("source"),
-        T.word_set(F.col("content")).alias("words"),
-        T.any_contained(F.lower("content"), T.DENIALS).alias("denies"),
-        ((F.octet_length("content") >= 30) & ~F.col("enforced")).alias("usable"),
-    )
-    pair = rows.withColumns({f"{c}_before": F.lag(c).over(order) for c in ("id", "words", "denies", "usable")})
-    overlap = T.jaccard(F.col("words"), F.col("words_before"))
-    found = pair.where("usable and usable_before and denies <> denies_before").withColumn("overlap", F.round(overlap, 6))
-    return found.where(overlap >= 0.08).select(F.col("id_before").alias("a"), F.col("id").alias("b"), "overlap")
+FIRST_OF_GROUP = 80
 
 
-CONTRADICTIONS = f"""WITH {MEMORIES}, r AS (SELECT id, labels[2] AS source, {_SET.format("content")} AS w, {_any("lower(content)", T.DENIALS)} AS denies,
-strlen(content) >= 30 AND NOT enforced AS usable FROM memories),
-p AS (SELECT id AS b, w, denies, usable, lag(id) OVER o AS a, lag(w) OVER o AS w0, lag(denies) OVER o AS denies0, lag(usable) OVER o AS usable0
-FROM r WINDOW o AS (PARTITION BY source ORDER BY id)),
-s AS (SELECT a, b, len(list_intersect(w, w0)) / len(list_distinct(list_concat(w, w0))) AS overlap FROM p WHERE usable AND usable0 AND denies <> denies0)
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories of one source that contradict each other, among its first 80: word overlap of 0.08 or more, exactly one
+    side with a word of denial, both of 30 bytes or more, neither enforced."""
+    rows = memories(spark, sf_dir).select("id", F.element_at("labels", 2).alias("group"), "content", "enforced")
+    first = top_per_key(rows, "group", FIRST_OF_GROUP, F.col("id")).where((F.octet_length("content") >= 30) & ~F.col("enforced"))
+    denies = T.any_contained(F.lower("content"), T.DENIALS)
+    pairs = set_overlaps(first.select("group", "id", T.word_set(F.col("content")).alias("words"), denies.alias("side")), 0.08)
+    return pairs.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+CONTRADICTIONS = f"""WITH {MEMORIES}, f AS (SELECT *, labels[2] AS source FROM memories QUALIFY row_number() OVER (PARTITION BY labels[2] ORDER BY id) <= {FIRST_OF_GROUP}),
+r AS (SELECT id, source, {_SET.format("content")} AS w, {_any("lower(content)", T.DENIALS)} AS denies FROM f WHERE strlen(content) >= 30 AND NOT enforced),
+s AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS overlap
+FROM r x JOIN r y ON x.source = y.source AND x.id < y.id AND x.denies <> y.denies)
 SELECT a, b, round(overlap, 6) AS overlap FROM s WHERE overlap >= 0.08"""
 
 

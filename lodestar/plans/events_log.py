@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.guard import guard_changes
 from lodestar.sources.tables import AS_OF, EVENT_LOG, event_log, read
 
 #: Points of an event by its type, as the log's types stand for the kinds of the guard.
@@ -39,6 +40,32 @@ d AS (SELECT *, CASE WHEN score < 10 THEN 0 WHEN logins >= 5 THEN 7 WHEN attacks
 SELECT *, last_seen + ban_days * 86400 > {AS_OF} AS banned FROM d"""
 
 
+#: The log has a few events a day of each key, so points fade more slowly than in a guard's log.
+FADE_S = 6 * 3600
+
+
+def ban_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bans, their ends, and keys that are forgotten, with fading points."""
+    return guard_changes(event_log(spark, sf_dir).withColumn("points", points()), AS_OF, FADE_S)
+
+
+_ENDS = f"CASE WHEN until > 0 THEN until ELSE last + {FADE_S} * ((score + 1) // 2) END + 1"
+_FADED = f"CASE WHEN gone THEN 0 WHEN until > 0 THEN score ELSE greatest(score - 2 * greatest((epoch - last - 1) // {FADE_S}, 0), 0) END"
+BAN_STATES = f"""WITH RECURSIVE {EVENT_LOG}, ev AS (SELECT user_id, epoch, event_type, {_POINTS} AS points, row_number() OVER (PARTITION BY user_id ORDER BY epoch, event_id) AS n
+ FROM event_log WHERE {_POINTS} > 0 AND epoch <= {AS_OF}),
+walk AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS score, 0::BIGINT AS logins, 0::BIGINT AS attacks, 0::BIGINT AS last, 0::BIGINT AS until, true AS gone, false AS banned
+ FROM (SELECT DISTINCT user_id FROM ev) UNION ALL
+ SELECT user_id, n, score, logins, attacks, epoch, CASE WHEN was > 0 THEN was WHEN score < 10 THEN 0 ELSE epoch + 86400 * CASE WHEN logins >= 5 THEN 7 WHEN attacks > 0 THEN 2 ELSE 1 END END,
+  false, was = 0 AND score >= 10
+ FROM (SELECT user_id, n, epoch, points + {_FADED} AS score, CASE WHEN gone THEN 0 ELSE logins END + (event_type = 'login')::BIGINT AS logins,
+  CASE WHEN gone THEN 0 ELSE attacks END + (event_type = 'error')::BIGINT AS attacks, CASE WHEN gone THEN 0 ELSE until END AS was
+  FROM (SELECT w.user_id, e.n, e.epoch, e.event_type, e.points, score, logins, attacks, last, until, gone OR {_ENDS} <= e.epoch AS gone
+   FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.n = w.n + 1))),
+s AS (SELECT *, {_ENDS} AS ends, coalesce(lead(last) OVER (PARTITION BY user_id ORDER BY n), {AS_OF}) AS next FROM walk WHERE n > 0)
+SELECT user_id, last AS at, 'ban' AS kind, score, until FROM s WHERE banned UNION ALL
+SELECT user_id, ends, CASE WHEN until > 0 THEN 'release' ELSE 'forget' END, score, until FROM s WHERE ends <= next"""
+
+
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each key by minute, and those over the limit of two."""
     minute = F.floor(F.col("epoch") / 60) * 60
@@ -233,7 +260,7 @@ def ring_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "threat_score rate_limit heartbeat_health audit_by_user health_trend event_tumbling event_sliding event_sessions props_by_key "
+    "threat_score ban_states rate_limit heartbeat_health audit_by_user health_trend event_tumbling event_sliding event_sessions props_by_key "
     "state_changes feedback_apply outcome_average value_percentiles latest_before"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES} | {"energy_balance": energy_balance, "ring_routing": ring_routing}

@@ -43,14 +43,20 @@ from lodestar.session import discard, materialize
 
 #: Fingerprints of one bucket, or rows of one token, that a task compares at a time.
 BUCKET_ROWS = 1024
+#: Pairs that a task gathers before it passes them on.
+PAIRS_AT_ONCE = 200_000
 #: Where the pairs that the first meetings leave take more than WORK comparisons a posting, rows are first compared with
 #: HEADS drawn rows, in at most HEAD_ROUNDS rounds. It changes the order of the work, not the result.
 WORK = 4
 HEADS = 8
 HEAD_ROUNDS = 2
-#: Documents that the order of shingles is learned from, and how many shingles at most count as common.
-ORDER_DOCS = 20_000
-ORDER_SHINGLES = 200_000
+#: Share of the documents that the order of shingles is learned from, and how many shingles at most count as common.
+ORDER_SHARE = 0.15
+ORDER_SHINGLES = 1_000_000
+#: Rows that are wanted of the texts are broadcast up to this number (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Bits of the small sketch that every row takes along where candidates are sought.
+FOLD_BITS = 256
 #: Bits of the largest sketch; beyond, the filter by sketches lets more pairs through to the exact check.
 SKETCH_BITS = 1 << 15
 
@@ -233,10 +239,9 @@ def simhash_components(docs: DataFrame, radius: int = 2, id_col: str = "doc_id",
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that several texts of a sample have, and their numbers of texts there."""
-    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
-    drawn = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    drawn = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < int(ORDER_SHARE * (1 << 40)))
     counts = drawn.select(F.explode(shingle_set("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    found = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
+    found = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
     found = found.sort_values("token")
     return found["token"].to_numpy("i8"), found["n"].to_numpy("i8")
 
@@ -253,30 +258,32 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: f
     return shingles[np.lexsort((shingles, rank))[:keep]] if n else shingles
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Words of 64 bits: a bit tells whether an odd number of the (unsigned) hashes falls on it. There are at least as
-    many bits as hashes, a power of two, up to SKETCH_BITS. Two sketches differ in at most as many bits as their sets in
-    members, and xor of its halves makes a sketch into that of half the size."""
-    size = 64
-    while size < len(shingles) and size < SKETCH_BITS:
-        size *= 2
+def parity_sketch(shingles: np.ndarray, size: int = 0) -> np.ndarray:
+    """Words of 64 bits: a bit tells whether an odd number of the (unsigned) hashes falls on it. If no size is given, there
+    are at least as many bits as hashes, a power of two, up to SKETCH_BITS. Two sketches differ in at most as many bits as
+    their sets in members, and xor of its halves makes a sketch into that of half the size."""
+    if not size:
+        size = 64
+        while size < len(shingles) and size < SKETCH_BITS:
+            size *= 2
     odd = np.bincount((shingles & np.uint64(size - 1)).astype("i8"), minlength=size) & 1
     return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
 def postings(texts: DataFrame, share: float) -> DataFrame:
     """A row number for every text, its id and digest, fp (the word fingerprint), n (distinct shingles), sketch (see
-    parity_sketch) and tokens, the prefix of the text in the common order. Texts have id, digest and text; they are
+    parity_sketch), fold (one of FOLD_BITS) and tokens, the prefix of the text in the common order. Texts have id, digest and text; they are
     read, not copied."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (pdf.iloc[at : at + 1000] for pdf in batches for at in range(0, len(pdf), 1000)):
-            sizes, sketches, tokens = [], [], []
+            sizes, sketches, folds, tokens = [], [], [], []
             for text in part["text"].tolist():
                 own = np.unique(shingle_hashes(text, 5))
                 sizes.append(len(own))
                 sketches.append(parity_sketch(own))
+                folds.append(parity_sketch(own, FOLD_BITS).tobytes())
                 tokens.append(prefix(np.sort(own.view("<i8")), shared.value, share))
             yield pd.DataFrame(
                 {
@@ -285,12 +292,13 @@ def postings(texts: DataFrame, share: float) -> DataFrame:
                     "fp": simhash_words.func(part["text"]).to_numpy(),
                     "n": np.array(sizes, "i4"),
                     "sketch": sketches,
+                    "fold": folds,
                     "tokens": tokens,
                 }
             )
 
     named = texts.select(F.col("id").cast("string").alias("id"), "digest", "text")
-    posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, sketch array<long>, tokens array<long>")
+    posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, sketch array<long>, fold binary, tokens array<long>")
     return materialize(posted.withColumn("row", F.monotonically_increasing_id()), "near-postings")
 
 
@@ -366,7 +374,8 @@ def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, share: float) -
     pairs = likely
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     wanted = materialize(rows.join(wanted, "row").select("row", F.col("id").alias("own_id"), F.col("digest").alias("own_digest")), "near-wanted")
-    met = texts.join(wanted, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    met = texts.join(few, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
     # rows of one id and text meet each other's text, which is the same
     sets = materialize(met.select("row", shingle_set("text").alias("shingles")).dropDuplicates(["row"]), "near-sets")
     discard(wanted)  # with it go the shuffled texts, before the shingles are shuffled
@@ -417,17 +426,18 @@ def head_pairs(mixed: DataFrame, share: float, seed: int) -> DataFrame:
     return pairs
 
 
-def remaining_pairs(mixed: DataFrame, share: float) -> DataFrame:
-    """(a, b): all pairs of rows of different groups that meet at a token and can be similar.
+def remaining_pairs(mixed: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """(a, b): all pairs of rows of different groups that meet at a token and can be similar, also by their small sketches.
 
     Rows of a token's largest group aren't compared with each other, so a group that is joined costs nothing; the
     blocks of the odd rows meet all blocks of the token."""
     slot = lambda blocks: F.pmod(F.xxhash64("row"), F.col(blocks))
+    folded = mixed.join(rows.select("row", "fold"), "row")
     # as one to be paired, at its own block of the odd rows, with every block of the others; as one of all, at its block
     sides = F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asks = mixed.where("odd").select("token", "row", "grp", "n", "pos", slot("odd_blocks").alias("i"), F.explode(sides).alias("j"), F.lit(True).alias("asks"))
-    gives = mixed.select(
-        "token", "row", "grp", "n", "pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd_blocks") - 1)).alias("i"), slot("blocks").alias("j"), F.lit(False).alias("asks")
+    asks = folded.where("odd").select("token", "row", "grp", "n", "pos", "fold", slot("odd_blocks").alias("i"), F.explode(sides).alias("j"), F.lit(True).alias("asks"))
+    gives = folded.select(
+        "token", "row", "grp", "n", "pos", "fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd_blocks") - 1)).alias("i"), slot("blocks").alias("j"), F.lit(False).alias("asks")
     )
     both = asks.unionByName(gives.select(*asks.columns))
     dealt = both.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "asks")
@@ -449,13 +459,14 @@ def _pair_scan(share: float):
             starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1))
             held = pdf.iloc[starts[-1] :]
             if len(starts) > 1:
-                yield found(pdf.iloc[: starts[-1]], starts)
+                yield from found(pdf.iloc[: starts[-1]], starts)
         if held is not None:
-            yield found(held, np.array([0, len(held)]))
+            yield from found(held, np.array([0, len(held)]))
 
-    def found(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+    def found(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids, group, n, at, asks = (pdf[c].to_numpy() for c in ("row", "grp", "n", "pos", "asks"))
-        out = [np.empty((2, 0), "i8")]
+        fold = np.frombuffer(b"".join(pdf["fold"]), "<u8").reshape(len(pdf), -1)
+        out, held = [], 0
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             middle = start + int(np.searchsorted(asks[start:end], True))  # those that give come first
             give = slice(start, middle)
@@ -465,8 +476,18 @@ def _pair_scan(share: float):
                 fits &= np.minimum(n[ask, None] - at[ask, None], n[None, give] - at[None, give]) >= share / (1 + share) * (n[ask, None] + n[None, give]) - 1e-6
                 fits &= np.minimum(n[ask, None], n[None, give]) >= share * np.maximum(n[ask, None], n[None, give]) - 1e-6
                 x, y = np.nonzero(fits)
-                x, y = ids[x + i], ids[y + start]
+                x, y = x + i, y + start
+                near = np.bitwise_count(fold[x] ^ fold[y]).sum(1) <= (1 - share) / (1 + share) * (n[x].astype("i8") + n[y]) + 1e-6
+                x, y = ids[x[near]], ids[y[near]]
                 out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                held += len(x)
+                if held > PAIRS_AT_ONCE:
+                    yield distinct(out)
+                    out, held = [], 0
+        if held:
+            yield distinct(out)
+
+    def distinct(out: list[np.ndarray]) -> pd.DataFrame:
         pairs = np.unique(np.concatenate(out, 1), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
@@ -477,7 +498,7 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> tuple[DataFrame,
     """(node, component) of the row numbers that have a partner, directly or in steps; and the id and digest of each
     row. texts has id, digest and text."""
     posted = postings(texts, share)
-    rows = materialize(posted.select("row", "id", "digest", "n", "sketch"), "near-named")
+    rows = materialize(posted.select("row", "id", "digest", "n", "sketch", "fold"), "near-named")
     tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
     often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
     met = materialize(tokens.join(often, "token"), "near-met")
@@ -493,7 +514,7 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> tuple[DataFrame,
         links = links.unionByName(similar(head_pairs(mixed, share, seed), texts, rows, share))
         groups = connected_components(links, "a", "b")
         mixed, many = mixed_tokens(met, groups)
-    more = similar(remaining_pairs(mixed, share), texts, rows, share)
+    more = similar(remaining_pairs(mixed, rows, share), texts, rows, share)
     discard(met)
     if more.isEmpty():
         return groups, rows
@@ -514,7 +535,7 @@ def _groups(docs: DataFrame, radius: int, share: float, id_col: str, text_col: s
     return materialize(named.join(least, "component"), "near-groups")
 
 
-def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = 3, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): the ids of the rows that have a partner, with the least id of their group. Partners have a
     Jaccard similarity of 5-word shingles of at least share, followed over any number of steps. Every pair is found:
     the fingerprints and first meetings join most rows at a cost linear in their number, the prefix filter the rest."""
@@ -522,7 +543,7 @@ def near_groups(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: st
     return found.select(F.col("id").alias("node"), F.col("least.id").alias("component"))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 6, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 3, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, that with the smallest id (then the first read); all columns
     stay. A document is named by its id and the digest of its text, so rows of one id with other texts are judged apart."""
     found = _groups(docs, radius, share, id_col, text_col)

@@ -4,8 +4,8 @@ For every language a suffix automaton of a bounded sample of labelled text (SAMP
 texts with the least hashes, so that every language with a letter has one) is built in each worker. No text gives more
 than a DOC_SHARE-th of the sample, unless the language has too few texts to fill it so. A text is parsed greedily: a phrase is the
 longest match of what follows with anything in the language's sample; the number of phrases, normalised by the
-text's length, estimates the cross-entropy. Whole texts are parsed, in blocks of BLOCK symbols at whose ends a
-phrase always ends; all blocks and languages of a batch advance together, a symbol at a time.
+text's length, estimates the cross-entropy. Whole texts are parsed. All blocks of BLOCK symbols of a batch advance
+together, a symbol at a time, and are then joined at their ends as one parse of the whole text would go.
 
 Only the samples are broadcast (languages * SAMPLE_CHARS characters). Letters are lower-cased; a run of anything
 else is one symbol.
@@ -91,34 +91,82 @@ class CrossParser:
         return found[keep]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """texts x languages."""
+        """texts x languages.
+
+        All blocks of a batch are parsed side by side, each from the root. Then each block is parsed anew from the state in
+        which the block before it ends, until it meets the states of the parse from the root; from there on both are the
+        same. A block that doesn't meet them ends in another state, and the block after it is done again."""
         out = np.zeros((len(texts), len(self.langs)), "i8")
         blocks = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), BLOCK)]
-        blocks.sort(key=lambda b: -min(BLOCK, len(texts[b[0]]) - b[1]))
+        blocks.sort(key=lambda b: -min(BLOCK, len(texts[b[0]]) - b[1]))  # stable: a block comes after the one before it
+        place = {b: at for at, b in enumerate(blocks)}
+        before = np.array([place.get((i, at - BLOCK), -1) for i, at in blocks], "i8")
+        ends = np.zeros((len(blocks), len(self.tables)), "i8")
         for at in range(0, len(blocks), LANES):
             part = blocks[at : at + LANES]
             sizes = np.array([min(BLOCK, len(texts[i]) - x) for i, x in part])
             steps = np.zeros((sizes[0], len(part)), "i4")
             for lane, (i, x) in enumerate(part):
                 steps[: sizes[lane], lane] = texts[i][x : x + BLOCK]
-            active = np.searchsorted(-sizes, -np.arange(sizes[0]))  # lanes that have a symbol at this step
             owner = np.array([i for i, _ in part])
+            follows = before[at : at + LANES]
             for k, table in enumerate(self.tables):
-                start = table[: self.width]
-                state = np.zeros(len(part), "i8")
-                count = np.ones(len(part), "i8")
-                for step in range(sizes[0]):
-                    n = active[step]
-                    c = steps[step, :n]
-                    to = table[state[:n] * self.width + c]
-                    miss = np.flatnonzero(to < 0)
-                    count[miss] += 1
-                    again = start[c[miss]]
-                    to[miss] = np.where(again < 0, 0, again)
-                    state[:n] = to
+                count, end = self._count(table, steps, sizes, follows, at, ends[:, k])
+                ends[at : at + LANES, k] = end
                 np.add.at(out[:, k], owner, count)
         return out
 
+    def _advance(self, table: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and the places where a phrase begins with it."""
+        to = table[state * self.width + c]
+        miss = np.flatnonzero(to < 0)
+        again = table[c[miss]]
+        to[miss] = np.where(again < 0, 0, again)
+        return to, miss
+
+    def _count(self, table: np.ndarray, steps: np.ndarray, sizes: np.ndarray, follows: np.ndarray, at: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, and the state at its end. follows: the number of the block before, or -1;
+        at: the number of the first block here; ends: the end states of the blocks before these."""
+        lanes = np.arange(len(sizes))
+        active = np.searchsorted(-sizes, -np.arange(sizes[0]))  # lanes that have a symbol at this step
+        states, counts = np.zeros(steps.shape, "i4"), np.zeros(steps.shape, "i2")
+        state, count = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i2")
+        for step, n in enumerate(active.tolist()):
+            state[:n], miss = self._advance(table, state[:n], steps[step, :n])
+            count[miss] += 1
+            states[step, :n], counts[step, :n] = state[:n], count[:n]
+        root_end, root_total = states[sizes - 1, lanes].astype("i8"), counts[sizes - 1, lanes].astype("i8")
+        end, total = root_end.copy(), root_total + (follows < 0)
+        todo = lanes[follows >= 0]
+        after = np.full(len(sizes), -1)
+        inside = todo[follows[todo] >= at]
+        after[follows[inside] - at] = inside
+        while len(todo):
+            ahead = follows[todo] < at
+            state = np.where(ahead, ends[follows[todo]], end[np.where(ahead, 0, follows[todo] - at)])
+            here, count = todo, np.zeros(len(todo), "i8")
+            new_end, new_total = root_end[todo], np.zeros(len(todo), "i8")
+            slot = np.arange(len(todo))
+            for step in range(sizes[0]):
+                over = sizes[here] <= step
+                if over.any():  # the parses haven't met within the block
+                    new_end[slot[over]], new_total[slot[over]] = state[over], count[over]
+                    here, state, count, slot = here[~over], state[~over], count[~over], slot[~over]
+                if not len(here):
+                    break
+                state, miss = self._advance(table, state, steps[step, here])
+                count[miss] += 1
+                met = state == states[step, here]
+                if met.any():
+                    new_total[slot[met]] = count[met] + root_total[here[met]] - counts[step, here[met]]
+                    here, state, count, slot = here[~met], state[~met], count[~met], slot[~met]
+            new_end[slot], new_total[slot] = state, count
+            changed = todo[new_end != end[todo]]
+            end[todo], total[todo] = new_end, new_total
+            todo = after[changed]
+            todo = todo[todo >= 0]
+        return total, end
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [self.symbols(t or "") for t in texts]
         lettered = [i for i, s in enumerate(found) if s.any()]

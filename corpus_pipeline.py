@@ -1,4 +1,10 @@
-"""Corpus preparation: toxicity, language, exact copies, near copies, packing; each stage over all that was kept."""
+"""Corpus preparation: toxicity, language, exact copies, near copies, packing; each stage over all that was kept.
+
+Cases, in every stage but the last: all columns of documents stay, extra ones too, whatever their names; an empty table
+stays empty. A null text counts as empty: it isn't toxic, has no language and so goes with the second stage, as does an
+empty one. Null ids are judged by their texts like others, and come last where the smallest id stays. Rows that repeat an
+id and a text are copies, of which one stays. Very long texts are read whole. Packing gives no piece of what was dropped.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from lodestar.llm.language_id import keep_identified
 from lodestar.llm.packing import pack
 from lodestar.llm.simhash_dedup import drop_near_copies
 from lodestar.llm.toxicity import drop_toxic
-from lodestar.session import materialize
+from lodestar.session import discard, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another over documents, each written and read again; a stage's table goes once the next is there."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

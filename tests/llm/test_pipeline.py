@@ -32,3 +32,48 @@ def test_queries_are_registered():
     assert "pipeline" in names
     for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
+
+
+def odd_folder(spark, sf_dir, folder, rows):
+    """A folder of tables whose documents are the given ones and those of folder, with columns of clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], schema)
+    docs = own.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(own.columns)) if rows else own
+    names = "row component node text_sha256 keep_id score level draw fold".split()
+    docs.withColumns({n: own_value for n, own_value in zip(names, [docs.doc_id] * len(names), strict=True)}).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_odd_rows(spark, sf_dir, tmp_path):
+    """Null, empty, very long, repeated and copied texts, null ids, extra columns of clashing names."""
+    import corpus_pipeline
+
+    plain = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) between 400 and 4000").orderBy("doc_id").limit(3).collect()]
+    long = " ".join(f"{plain[0][: 300 + i % 7]}" for i in range(900))
+    rows = [
+        (9000, None, "en"), (9001, "", "en"), (9002, " \n ", None), (9003, "12 34 !!", "en"), (9004, long, None),
+        (9005, plain[1] + " and here ends another text", "en"), (9005, plain[1] + " and here ends another text", "en"), (9006, plain[1] + " and here  ends another\ntext", "fr"),
+        (None, plain[2] + " of a row without an id", "en"), (None, None, None),
+    ]
+    folder = odd_folder(spark, sf_dir, str(tmp_path / "odd"), rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, folder), name)
+        assert docs.columns == columns
+        kept = collections.Counter(r.doc_id for r in docs.select("doc_id").where("doc_id is null or doc_id >= 9000").collect())
+        if name == "toxicity":
+            assert kept == collections.Counter(i for i, _, _ in rows)
+        elif name == "language":
+            assert kept == {9004: 1, 9005: 2, 9006: 1, None: 1}
+    assert kept[9004] == 1 and kept[9006] == 0 and kept[9005] <= 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    folder = odd_folder(spark, sf_dir, str(tmp_path / "empty"), [])
+    assert corpus_pipeline.run(spark, folder).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
+from lodestar.operators.capped import add_relations
 from lodestar.operators.retrieval import top_per_key
 from lodestar.plans.graphs import relations
 from lodestar.plans.rules import _MOODS, mood_by_role
@@ -213,16 +214,23 @@ AUTO_LINKS = f"""WITH {PAIRS}, s AS (SELECT a, b, round(similarity, 6) AS streng
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS rank FROM s) SELECT * FROM r WHERE rank <= 20"""
 
 
-def capped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations as they are added, from the strongest on, up to five for either end."""
-    rows = relations(spark, sf_dir).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("strength", 6).alias("strength")).distinct()
-    rows = top_per_key(rows, "a", 5, F.desc("strength"), F.col("b")).drop("rank")
-    return top_per_key(rows, "b", 5, F.desc("strength"), F.col("a")).drop("rank")
+CAP = 3
 
 
-CAPPED_RELATIONS = f"""WITH {PAIRS}, s AS (SELECT a, b, round(similarity, 6) AS strength FROM pairs),
-x AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS r FROM s), y AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY strength DESC, a) AS q FROM x WHERE r <= 5)
-SELECT a, b, strength FROM y WHERE q <= 5"""
+def capped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations as they are added, from the strongest on, where either end takes three at most."""
+    rows = relations(spark, sf_dir).select("a", "b", F.round("strength", 6).alias("strength"))
+    # the order in which they are added, as one number: strength from above, then the ends
+    seq = F.concat_ws(":", F.lpad((1e6 - F.col("strength") * 1e6).cast("decimal(8,0)").cast("string"), 8, "0"), F.lpad("a", 12, "0"), F.lpad("b", 12, "0"))
+    return add_relations(rows.withColumns({"kind": F.lit("similar"), "seq": seq}), CAP).select("a", "b", "strength")
+
+
+CAPPED_RELATIONS = f"""WITH RECURSIVE {PAIRS}, s AS MATERIALIZED (SELECT a, b, round(similarity, 6) AS strength, row_number() OVER (ORDER BY round(similarity, 6) DESC, a, b) AS n FROM pairs),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ends UNION ALL
+ SELECT s.n, CASE WHEN len(list_filter(ends, lambda x: x = a)) < {CAP} AND len(list_filter(ends, lambda x: x = b)) < {CAP} THEN list_concat(ends, [a, b]) ELSE ends END
+ FROM walk JOIN s ON s.n = walk.n + 1),
+grown AS (SELECT n, len(ends) AS size, lag(len(ends)) OVER (ORDER BY n) AS before FROM walk)
+SELECT a, b, strength FROM s JOIN grown USING (n) WHERE size > before"""
 
 
 def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,12 @@ def fresh(docs: DataFrame, name: str) -> str:
     while name.lower() in map(str.lower, docs.columns):
         name += "_"
     return name
+
+
+def give_back() -> None:
+    """Hand the freed memory of this Python worker back to the system. Workers outlive their tasks, and would keep what
+    their largest batch took while stages without Python need the executor's memory."""
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only there with glibc
+    if trim:
+        trim(0)

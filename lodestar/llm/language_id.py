@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lodestar.llm.common import as_before, as_text, fold, table, text_of
+from lodestar.llm.common import as_before, as_text, fold, give_back, table, text_of
 
 SAMPLE_CHARS = 30_000
 DOC_SHARE = 20
@@ -183,7 +183,9 @@ class CrossParser:
 @lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     """One per worker process: workers outlive queries, so the automata of earlier samples are let go."""
-    return CrossParser(samples)
+    made = CrossParser(samples)
+    give_back()
+    return made
 
 
 def learn(docs: DataFrame, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
@@ -238,6 +240,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
         for pdf in batches:
             lang, score = cross.predict(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
+        give_back()
 
     rows = docs.select(as_text().alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return as_before(rows.mapInPandas(work, "doc_id string, held_out boolean, lang_pred string, score double"), docs)
@@ -250,6 +253,7 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     @F.pandas_udf(BooleanType())
     def known(texts: pd.Series) -> pd.Series:
         lang, score = parser(shared.value).predict(texts.tolist())
+        give_back()
         return pd.Series([name != "und" and x >= least for name, x in zip(lang, score)], dtype=bool)
 
     return docs.where(known(F.col("text")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import WORD, blocks, encoder
-from lodestar.llm.common import as_before, as_text, table
+from lodestar.llm.common import as_before, as_text, give_back, table
 from lodestar.session import materialize
 
 LENGTH = 1024
@@ -163,6 +163,7 @@ def pack(
             yield packer.frame()
         packer.pass_on(task // FAN)
         yield packer.frame()
+        give_back()
 
     def again(level: int, last: bool):
         def work(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from lodestar.llm.common import fresh, table, text_of
+from lodestar.llm.common import fresh, give_back, table, text_of
 from lodestar.operators.components import connected_components
 from lodestar.session import discard, materialize
 
@@ -47,13 +47,13 @@ BUCKET_ROWS = 1024
 PAIRS_AT_ONCE = 200_000
 #: Where the pairs that the first meetings leave take more than WORK comparisons a posting, rows are first compared with
 #: HEADS drawn rows, in at most HEAD_ROUNDS rounds. It changes the order of the work, not the result.
-WORK = 4
+WORK = 8
 HEADS = 8
 HEAD_ROUNDS = 2
 #: Share of the documents that the order of shingles is learned from, and how many shingles at most count as common.
 ORDER_SHARE = 0.15
 ORDER_SHINGLES = 1_000_000
-#: Rows that are wanted of the texts are broadcast up to this number (some 100 bytes each); more are joined by a shuffle.
+#: Names of rows that are wanted, or go, are broadcast up to this number (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Bits of the small sketch that every row takes along where candidates are sought.
 FOLD_BITS = 256
@@ -106,7 +106,9 @@ def simhash_words(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(LongType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
     """Distinct 5-word shingles of each text, as signed hashes."""
-    return pd.Series([np.unique(shingle_hashes(t, 5)).view("<i8") for t in texts])
+    found = pd.Series([np.unique(shingle_hashes(t, 5)).view("<i8") for t in texts])
+    give_back()
+    return found
 
 
 @cache
@@ -296,6 +298,7 @@ def postings(texts: DataFrame, share: float) -> DataFrame:
                     "tokens": tokens,
                 }
             )
+        give_back()
 
     named = texts.select(F.col("id").cast("string").alias("id"), "digest", "text")
     posted = named.mapInPandas(post, "id string, digest binary, fp long, n int, sketch array<long>, fold binary, tokens array<long>")
@@ -462,6 +465,7 @@ def _pair_scan(share: float):
                 yield from found(pdf.iloc[: starts[-1]], starts)
         if held is not None:
             yield from found(held, np.array([0, len(held)]))
+        give_back()
 
     def found(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids, group, n, at, asks = (pdf[c].to_numpy() for c in ("row", "grp", "n", "pos", "asks"))
@@ -550,8 +554,10 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, share: float = 0.8, id_co
     key = [fresh(docs, name) for name in ("gone_id", "gone_digest")]
     gone = found.where("not (id <=> least.id and digest = least.digest)")
     gone = gone.select(F.col("id").alias(key[0]), F.col("digest").alias(key[1])).distinct()
+    gone = materialize(gone, "near-gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     same = F.col(id_col).eqNullSafe(F.col(key[0])) & (_digest(text_col) == F.col(key[1]))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(few, same, "left_anti")
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

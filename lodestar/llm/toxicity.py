@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lodestar.llm.common import as_text, fold, table, text_of
+from lodestar.llm.common import as_text, fold, give_back, table, text_of
 from lodestar.session import materialize
 
 SAMPLE_ROWS = 20_000
@@ -311,6 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             counts = np.array([voters.counts(t) for t in pdf["text"]]).reshape(-1, size)
             bits = ["".join("1" if c else "0" for c in row) for row in counts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": bits, "counts": list(counts), "draw": pdf["draw"]})
+        give_back()
 
     rows = docs.select(as_text().alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)).alias("draw"))
     voted = rows.mapInPandas(vote, "doc_id string, votes string, counts array<float>, draw long").withColumn(
@@ -344,7 +345,9 @@ def _scorer(docs: DataFrame, model: ToxicityModel):
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()), dtype="float64")
+        found = pd.Series(shared.value.score(texts.tolist()), dtype="float64")
+        give_back()
+        return found
 
     return score
 

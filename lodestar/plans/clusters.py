@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.operators.components import connected_components
 from lodestar.operators.retrieval import top_per_key
+from lodestar.operators.splits import two_seed_split as split_in_two
 from lodestar.plans.graphs import _CC, relations
 from lodestar.session import materialize
 from lodestar.sources.tables import vectors
@@ -98,6 +99,19 @@ MERGE_CANDIDATES = f"""WITH RECURSIVE {_MEMBERS}, m AS (SELECT a, b, 1 + (a % 7)
 SELECT CASE WHEN ma > mb OR ma = mb AND a < b THEN a ELSE b END AS stays, CASE WHEN ma > mb OR ma = mb AND a < b THEN b ELSE a END AS goes,
 greatest(ma, mb) + 0.5 AS mass, round(strength, 6) AS strength FROM m"""
 
-NAMES = "cluster_top_labels cluster_dispersion fission_groups cluster_distances merge_candidates".split()
+def two_seed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every cluster by the one of its two least similar members whose labels are more like theirs."""
+    rows = _members(spark, sf_dir).select(F.col("component").alias("group"), "id", "labels")
+    return split_in_two(rows).select(F.col("group").alias("component"), "id", "side")
+
+
+_ALIKE = "len(list_intersect({0}.labels, {1}.labels)) / len(list_distinct(list_concat({0}.labels, {1}.labels)))"
+TWO_SEED_SPLIT = f"""WITH RECURSIVE {_MEMBERS},
+far AS (SELECT x.component, x.id AS a, y.id AS b, x.labels AS la, y.labels AS lb FROM mem x JOIN mem y ON x.component = y.component AND x.id < y.id
+ QUALIFY row_number() OVER (PARTITION BY x.component ORDER BY {_ALIKE.format("x", "y")}, x.id, y.id) = 1),
+s AS (SELECT m.component, m.id, m.labels, a, b, struct_pack(labels := la) AS p, struct_pack(labels := lb) AS q FROM mem m LEFT JOIN far USING (component))
+SELECT component, id, CASE WHEN a IS NULL OR id = a OR id <> b AND {_ALIKE.format("s", "p")} >= {_ALIKE.format("s", "q")} THEN 'a' ELSE 'b' END AS side FROM s"""
+
+NAMES = "two_seed_split cluster_top_labels cluster_dispersion fission_groups cluster_distances merge_candidates".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 SQL = {name: globals()[name.upper()] for name in NAMES}

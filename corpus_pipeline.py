@@ -16,16 +16,18 @@ from lodestar.llm.language_id import keep_identified
 from lodestar.llm.packing import pack
 from lodestar.llm.simhash_dedup import drop_near_copies
 from lodestar.llm.toxicity import drop_toxic
-from lodestar.session import discard, materialize
+from lodestar.session import discard, materialize, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
@@ -36,11 +38,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of 1024 ids."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

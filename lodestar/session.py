@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most so many rows at once from here on: whole texts are long, and both sides of the pipe
+    hold a batch several times over. A lower setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a read of it: cuts lineage, survives lost executors."""
     spark = df.sparkSession

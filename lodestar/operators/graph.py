@@ -21,7 +21,7 @@ def decay(relations: DataFrame, ticks: int, rate: float = 0.9995, least: float =
 
 def hops(relations: DataFrame, origins: DataFrame, most: int) -> DataFrame:
     """(node, hop): fewest steps from any origin (column node), up to most. One join a step against what is new."""
-    edges = both_ways(relations).select("a", "b").distinct()
+    edges = both_ways(relations).select("a", "b")
     seen = origins.select("node", F.lit(0).alias("hop")).distinct()
     front = seen
     for hop in range(1, most + 1):

@@ -1,13 +1,12 @@
-"""Ranked retrieval: BM25, hybrid scores, exact nearest neighbours, similarity pairs."""
+"""Ranked retrieval: BM25, hybrid scores, the first rows of each key."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators.blocks import similar_pairs  # noqa: F401
 from lodestar.session import materialize
 from lodestar.sources.tables import spread
 
@@ -96,32 +95,3 @@ def passes(
     if project is not None:
         out &= F.exists("labels", lambda x: (x == project) | x.startswith("project:" + project))
     return out
-
-
-def similar_pairs(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """(a, b, similarity) with a < b of all pairs with a cosine above least, exactly.
-
-    Rows go to blocks by a hash of their id; each pair of blocks is one task's matrix product, so a task holds two
-    blocks whatever the size of the table. Rows without a vector or with a zero one have no pairs."""
-    blocks = max(1, -(-rows.count() // block))
-    placed = rows.select("id", "embedding").where("id is not null and size(embedding) > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"])
-        size = np.linalg.norm(x, axis=1)
-        x, ids, own = x[size > 1e-10] / size[size > 1e-10, None], pdf["id"].to_numpy()[size > 1e-10], pdf["own"].to_numpy()[size > 1e-10]
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = own == i, own == j
-        close = x[left] @ x[right].T
-        a, b = np.nonzero(close > least)
-        out = pd.DataFrame({"a": ids[left][a], "b": ids[right][b], "similarity": np.minimum(close[a, b], 1.0)})
-        if i == j:
-            return out[out["a"] < out["b"]]
-        swap = out["a"] > out["b"]
-        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        return out
-
-    return dealt.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double")

@@ -11,7 +11,7 @@ from lodestar.operators.intent_search import search as find
 from lodestar.operators.intent_search import search_intent as _search
 from lodestar.operators.intent_search import understood
 from lodestar.operators.recall import expand, in_sections, recall
-from lodestar.plans.graphs import _CC, relations
+from lodestar.plans.graphs import _CC, components, relations
 from lodestar.plans.intake import _SET, _boost_sql
 from lodestar.plans.intents import _EXCLUDED, _FAVOURED, _WIDENED
 from lodestar.plans.rules import _CLASS, _any, _lit
@@ -48,7 +48,7 @@ def asked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, cluster: components of the relations."""
-    return connected_components(relations(spark, sf_dir), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return components(spark, sf_dir).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 def search_intent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators.graph import both_ways
+from lodestar.operators.blocks import neighbours
 from lodestar.plans.graphs import _BOTH, relations
-from lodestar.sources.tables import read
+from lodestar.plans.search import DISTANT
+from lodestar.session import materialize
+from lodestar.sources.tables import read, vectors
 
 STEPS = 3
 ASKED = ["the", "ation", "un", "de"]
@@ -16,7 +18,8 @@ ASKED = ["the", "ation", "un", "de"]
 
 def pulse_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every vector: three steps, each to the strongest neighbour that wasn't visited; where the walk ends."""
-    edges = both_ways(relations(spark, sf_dir))
+    # two neighbours of a node at most were visited before it, so a step is among its three strongest
+    edges = materialize(neighbours(vectors(spark, sf_dir), STEPS, DISTANT).withColumnRenamed("similarity", "strength"), "walk-edges")
     walk = edges.select(F.col("a").alias("origin")).distinct().select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"), F.lit(1.0).alias("score"))
     for _ in range(STEPS):
         steps = walk.join(edges, walk.node == edges.a).where(~F.array_contains("path", F.col("b")))

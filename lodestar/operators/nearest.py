@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.blocks import PIECE, first_ones
+from lodestar.operators.blocks import sides as sides_of
 from lodestar.operators.retrieval import top_per_key
 
 #: Decimals of a similarity: products of the same two vectors may differ behind them from block to block.
@@ -18,11 +20,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bo
     and then the lower id; never the row itself, unless the sides are tables of different
     things (apart); with earlier only rows of a lower id.
 
-    Both sides have id and embedding. Each pair of blocks is one task's matrix product and returns k rows at most for a
-    row of left, so neither a task nor the result grows with a dense group. Rows without a vector have no neighbours."""
+    Both sides have id and embedding. Each pair of blocks is one task's matrix product, piece by piece, and returns k rows
+    at most for a row of left, so neither a task nor the result grows with a dense group; there are blocks.GRID blocks on
+    a side at most, so that no row is sent more often. Rows without a vector have no neighbours."""
     usable = "id is not null and size(embedding) > 0"
     sides = []
-    counts = [max(1, -(-side.where(usable).count() // block)) for side in (left, right)]
+    counts = [sides_of(side.where(usable).count(), block) for side in (left, right)]
     for side, own, other in ((left, *counts), (right, *counts[::-1])):
         placed = side.where(usable).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(own)).alias("own"))
         sides.append(placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
@@ -37,16 +40,28 @@ def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bo
         size = np.linalg.norm(x, axis=1)
         x = x / np.where(size > 1e-10, size, 1)[:, None]
         ids, asks = pdf["id"].to_numpy(), pdf["asks"].to_numpy()
-        a, b = ids[asks], ids[~asks]
+        a, b, xa, xb = ids[asks], ids[~asks], x[asks], x[~asks]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": a[:0], "b": b[:0], "similarity": np.zeros(0)})
-        close = np.minimum(np.round(x[asks] @ x[~asks].T, DECIMALS), 1.0)
-        if not apart:
-            close[(b[None, :] >= a[:, None]) if earlier else (b[None, :] == a[:, None])] = -2.0
-        best = np.argsort(-close, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(close, best, 1)
-        row, place = np.nonzero(found > least)
-        return pd.DataFrame({"a": a[row], "b": b[best[row, place]], "similarity": found[row, place]})
+        held = []
+        for p in range(0, len(a), PIECE):
+            one, best = a[p : p + PIECE], None
+            for q in range(0, len(b), PIECE):
+                other = b[q : q + PIECE]
+                close = np.minimum(np.round(xa[p : p + PIECE] @ xb[q : q + PIECE].T, DECIMALS), 1.0)
+                if not apart:
+                    close[(other[None, :] >= one[:, None]) if earlier else (other[None, :] == one[:, None])] = -2.0
+                if k < len(other):  # below the k-th of its row none counts
+                    close[close < -np.partition(-close, k - 1, axis=1)[:, k - 1, None]] = -9.0
+                row, place = np.nonzero(close > max(least, -3.0))
+                found = (one[row], other[place], close[row, place])
+                if len(row):
+                    best = first_ones([found] if best is None else [best, found], k)
+            if best is not None:
+                held.append(best)
+        if not held:
+            return pd.DataFrame({"a": a[:0], "b": b[:0], "similarity": np.zeros(0)})
+        return pd.DataFrame({name: np.concatenate(v) for name, v in zip(("a", "b", "similarity"), zip(*held), strict=True)})
 
     found = dealt.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double")
     return top_per_key(found, "a", k, F.desc("similarity"), F.col("b")).drop("rank")

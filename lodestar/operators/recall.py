@@ -56,6 +56,22 @@ def expand(seeds: DataFrame, relations: DataFrame, depth: int, clusters: DataFra
     return reached.groupBy("query_id", "id").agg(F.max("score").alias("assoc"))
 
 
+def reached_count(seeds: DataFrame, relations: DataFrame, depth: int, most: int) -> DataFrame:
+    """(query_id, n): how many rows a query has with its seeds and all that depth steps over relations lead to, `most` at
+    most. A query that has so many isn't followed any further, so a step starts from fewer than `most` rows a query."""
+    edges = both_ways(relations).select("a", "b")
+    front = seen = materialize(seeds.select("query_id", "id").distinct(), "recall-front")
+    for _ in range(depth):
+        counts = seen.groupBy("query_id").agg(F.count("*").alias("n"))
+        front = front.join(counts.where(F.col("n") < most), "query_id", "left_semi")
+        step = F.broadcast(front).join(edges, front.id == edges.a).select("query_id", F.col("b").alias("id")).distinct()
+        front = materialize(step.join(seen, ["query_id", "id"], "left_anti"), "recall-front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.groupBy("query_id").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+
+
 def recall(seeds: DataFrame, relations: DataFrame, clusters: DataFrame, depth: int) -> DataFrame:
     """(query_id, id, direct, assoc, rank): seeds, and of what they lead to the MOST strongest; the KEPT best of all."""
     reached = expand(seeds, relations, depth, clusters)

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators.blocks import links, similar_pairs
 from lodestar.operators.components import connected_components
 from lodestar.operators.intent_search import search as find
 from lodestar.operators.intent_search import search_intent as _search
 from lodestar.operators.intent_search import understood
-from lodestar.operators.recall import expand, in_sections, recall
-from lodestar.plans.graphs import _CC, components, relations
+from lodestar.operators.recall import in_sections, reached_count, recall
+from lodestar.plans.graphs import _CC, components
 from lodestar.plans.intake import _SET, _boost_sql
 from lodestar.plans.intents import _EXCLUDED, _FAVOURED, _WIDENED
 from lodestar.plans.rules import _CLASS, _any, _lit
-from lodestar.plans.search import TOKENS
+from lodestar.plans.search import DISTANT, TOKENS
 from lodestar.session import materialize
-from lodestar.sources.tables import AS_OF, MEMORIES, PHRASES, TEXT_VECTORS, memories, read, text_vectors
+from lodestar.sources.tables import AS_OF, MEMORIES, PHRASES, TEXT_VECTORS, memories, read, text_vectors, vectors
 
 OPENINGS = [
     "how to fix the deploy error", "why redis not docker", "recent 部署 without nginx", "安全 convention for the python api",
@@ -144,16 +145,19 @@ def _seeds(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 def _known_relations(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Relations between memories that are there."""
-    ends = rows.select("id")
-    known = relations(spark, sf_dir).join(ends.withColumnRenamed("id", "a"), "a", "left_semi").join(ends.withColumnRenamed("id", "b"), "b", "left_semi")
+    known = similar_pairs(_known_vectors(spark, sf_dir, rows), DISTANT).withColumnRenamed("similarity", "strength")
     return materialize(known.withColumn("strength", F.round("strength", 9)), "known-relations")
 
 
+def _known_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return vectors(spark, sf_dir).join(rows.select("id"), "id", "left_semi")
+
+
 def recall_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every query the 40 best of its 20 seeds and the 30 strongest that three steps lead to, in sections."""
     rows = asked_rows(spark, sf_dir)
     rel = _known_relations(spark, sf_dir, rows)
-    peers = connected_components(rel, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    peers = connected_components(links(_known_vectors(spark, sf_dir, rows), DISTANT), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     found = recall(_seeds(spark, sf_dir, rows), rel, peers, DEPTH)
     named = in_sections(found, rows.select("id", F.element_at("labels", 1).alias("section")))
     return named.select("query_id", "rank", "id", "section", "section_rank", F.round("direct", 6).alias("direct"), F.round("assoc", 6).alias("assoc"))
@@ -163,8 +167,7 @@ def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every query its answer, a line for each seed that is relevant, and the number of memories that it rests on."""
     rows = asked_rows(spark, sf_dir)
     seeds = _seeds(spark, sf_dir, rows)
-    all_ = expand(seeds, _known_relations(spark, sf_dir, rows), DEPTH).select("query_id", "id").unionByName(seeds.select("query_id", "id"))
-    count = all_.distinct().groupBy("query_id").agg(F.least(F.count("*"), F.lit(ASKED_ROWS)).alias("memory_count"))
+    count = reached_count(seeds, _known_relations(spark, sf_dir, rows), DEPTH, ASKED_ROWS).withColumnRenamed("n", "memory_count")
     labels = F.array_join(F.slice("labels", 1, 2), ",")
     line = F.concat(F.lit("[#"), F.col("id").cast("string"), F.lit("] ["), labels, F.lit("] "), F.substring("content", 1, LINE))
     lines = seeds.where("score > 0.1").join(rows.select("id", "labels", "content"), "id").select("query_id", F.struct("rank", line.alias("line")).alias("l"))

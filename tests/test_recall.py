@@ -68,3 +68,24 @@ def test_sections(spark):
     sections = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "id long, section string")
     got = sorted((r.id, r.section, r.section_rank) for r in R.in_sections(found, sections.where("id < 3")).collect())
     assert got == [(1, "b", 2), (2, "a", 1), (3, "general", 3)]
+
+
+def test_reached_count_stops_at_most(spark):
+    from lodestar.operators.recall import reached_count
+
+    rel = spark.createDataFrame([(i, i + 1, 0.5) for i in range(30)] + [(100, b, 0.4) for b in range(101, 200)], "a long, b long, strength double")
+    seeds = spark.createDataFrame([(1, 0, 0.9), (2, 100, 0.9), (2, 5, 0.1), (3, 999, 0.2), (4, 10, 0.3), (4, 12, 0.3)], "query_id long, id long, score double")
+    assert {r.query_id: r.n for r in reached_count(seeds, rel, 3, 30).collect()} == {1: 4, 2: 30, 3: 1, 4: 9}
+    edges = spark.createDataFrame([(7, b, 0.4) for b in range(101, 200)], "a long, b long, strength double")
+    assert reached_count(seeds.where("query_id = 2"), rel.union(edges), 3, 30).first().n == 30
+
+
+def test_words_are_looked_for_once_a_row(spark):
+    from lodestar.operators import intent_search as S
+
+    rows = spark.createDataFrame([(1, "Ada naps", ["entity:Ada", "xnaps"]), (2, "", []), (3, None, ["b"])], "id long, content string, labels array<string>")
+    queries = spark.createDataFrame([(9, ["ada", "nap", "ada", "x"]), (8, []), (7, ["b"])], "query_id long, terms array<string>")
+    pairs = spark.createDataFrame([(q, i) for q in (9, 8, 7) for i in (1, 2, 3)], "query_id long, id long")
+    found = {(r.query_id, r.id): tuple(round(x, 4) for x in r[2:]) for r in S.parts(rows, queries, pairs).collect()}
+    assert len(found) == 9 and found[9, 1][1:] == (0.75, 1.0, 1.0, 0.5) and found[8, 1] == (0, 0, 0, 0, 0) and found[7, 3][1:] == (0, 1, 1, 0)
+    assert found[9, 1][0] > 0 == found[9, 2][0] and found[7, 3][0] > 0

@@ -223,18 +223,49 @@ def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1].split(".")[0]
 
 
+def around(path: str, tokens: dict[str, int]) -> str:
+    """The nearest of tokens that holds a path or is it; the whole page if none does."""
+    while path and path not in tokens:
+        path = path.rsplit("/", 1)[0]
+    return path
+
+
+def nested_classes(classes: dict[int, list[str]], skeleton: dict[str, int]) -> dict[int, str]:
+    """The slot that each valid class nests in: the innermost of the skeleton's tokens around all its tokens. A class that
+    repeats is valid if its tokens lie in one slot of the classes around it."""
+    slots, single = {}, set(skeleton.values())
+    for vector, paths in classes.items():
+        others = {path: v for path, v in skeleton.items() if v != vector}
+        lying = {around(path.rsplit("/", 1)[0], others) for path in paths if path}
+        slot = min(lying, key=len, default="")
+        while slot and not all(within(x, slot) for x in lying):
+            slot = around(slot.rsplit("/", 1)[0], others)
+        if vector in single or len(lying) == 1:
+            slots[vector] = slot
+    return slots
+
+
 def choose_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a host: its classes, nested by path, and the article with most of the text that the template leaves open, if
-    there is one."""
+    """Of a host: its equivalence classes, which are the tokens of one occurrence vector, nested into the slots of the
+    skeleton; and the article around the slots that hold most of the text that the template leaves open, if there is one.
+    The skeleton are the valid classes of tokens that occur once; its slots are what lies between its tokens."""
     pages = int(pdf["pages"].iloc[0])
-    skeleton = pdf["path"][(pdf["kind"] == 0) & (pdf["once"] * 2 > pages) & (pdf["path"] != "")].tolist()
-    mass = pdf[pdf["kind"] == 1].set_index("path")["chars"].to_dict()
-    total = sum(mass.values())
-    articles = [p for p in skeleton if _name(p) in _ARTICLES]
-    held = {path: sum(n for p, n in mass.items() if within(p, path)) for path in articles}
-    slot = min((p for p in articles if total > 0 and held[p] >= 0.8 * total), key=len, default=None)
     valid = pdf[(pdf["kind"] == 0) & (pdf["df"] * 2 > pages)]
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": [slot], "skeleton": [len(skeleton)], "classes": [valid["vector"].nunique()]})
+    classes = valid.groupby("vector")["path"].agg(list).to_dict()
+    single = set(valid["vector"][valid["once"] * 2 > pages])
+    skeleton = {path: vector for vector in single for path in classes[vector] if path}
+    nested = nested_classes(classes, skeleton)
+    slots: Counter = Counter()
+    for path, chars in pdf.loc[pdf["kind"] == 1, ["path", "chars"]].itertuples(index=False):
+        slots[around(path, skeleton)] += chars
+    held: Counter = Counter()
+    for slot, chars in slots.items():
+        while slot:  # the slots around it hold it as well
+            held[slot] += chars
+            slot = around(slot.rsplit("/", 1)[0], skeleton)
+    total = sum(slots.values())
+    slot = min((p for p in skeleton if _name(p) in _ARTICLES and total > 0 and held[p] >= 0.8 * total), key=len, default=None)
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": [slot], "skeleton": [len(skeleton)], "classes": [len(nested)]})
 
 
 def templates(pages: DataFrame) -> DataFrame:

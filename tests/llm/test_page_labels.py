@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 import pytest
 
 from lodestar.llm import html_extraction as H
@@ -68,3 +70,15 @@ def test_very_long_page(spark):
     frame = spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")
     found = H.extract_pages(frame).first()
     assert found.text == text and found.n_chars == len(text)
+
+
+def test_classes_nest_into_slots():
+    row = lambda path, vector, once, df=4: ("h", path, 0, df, once, vector, 0.0, 4)
+    body, box, text = "/html/body", "/html/body/div", "/html/body/div/article"
+    tokens = [row("", 7, 4), row("/html", 7, 4), row(body, 7, 4), row(box, 8, 3, 3), row(text, 8, 3, 3), row(text + "/p", 9, 0), row(body + "/ul/li", 5, 0), row(box + "/li", 5, 0)]
+    texts = [("h", text + "/p", 1, 0, 0, 0, 90.0, 4), ("h", body + "/ul/li", 1, 0, 0, 0, 9.0, 4)]
+    pdf = pd.DataFrame(tokens + texts, columns=["host", "path", "kind", "df", "once", "vector", "chars", "pages"])
+    skeleton = {"/html": 7, body: 7, box: 8, text: 8}
+    classes = {7: ["", "/html", body], 8: [box, text], 9: [text + "/p"], 5: [body + "/ul/li", box + "/li"]}
+    assert H.nested_classes(classes, skeleton) == {7: "", 8: body, 9: text}  # 5 repeats in two slots
+    assert H.choose_slot(pdf).iloc[0].to_dict() == {"host": "h", "slot": text, "skeleton": 4, "classes": 3}

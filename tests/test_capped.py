@@ -48,3 +48,20 @@ def test_remove(spark):
     rows = [(1, 2, "s", 1, 0.1), (2, 3, "s", 2, 0.1), (3, 4, "s", 3, 0.1)]
     left = remove_nodes(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(2,), (9,)], "id long"))
     assert left.columns == ["a", "b", "kind", "seq", "strength"] and seqs(left) == [3]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_nearest_without_a_table_of_pairs(spark, most):
+    import numpy as np
+
+    from lodestar.operators.capped import add_nearest
+
+    x = np.random.default_rng(most).normal(size=(120, 5)).round(2)
+    x[30:45] = x[3]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = unit @ unit.T
+    order = sorted((-round(min(cosine[a, b], 1.0), 3), a, b) for a in range(120) for b in range(a + 1, 120) if cosine[a, b] > 0.3)
+    want = one_by_one([(a, b, "s", n, -s) for n, (s, a, b) in enumerate(order)], most)
+    frame = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(120)], "id long, embedding array<double>")
+    found = add_nearest(frame, 0.3, most, 3).collect()
+    assert sorted((r.a, r.b) for r in found) == sorted(order[n][1:] for n in want)

@@ -4,6 +4,9 @@ A step over a relation passes on the larger of what came in and the relation's s
 a cluster passes on half of what came in, and isn't the last step. Levels are joins: a query's reached rows of one level
 meet the relations, and clusters meet the two highest of their reached members only, so a large cluster isn't paired with
 itself. What an earlier level reached with as much is not followed again.
+
+Where the clusters are the components of the relations, three steps reach all of a component, so `recall_connected` takes
+what is the same for all queries from the relations once, and follows only scores that can change a query's result.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from lodestar.session import materialize
 
 MOST, KEPT = 30, 40
 PEERS = 0.5
+#: Rows of a query with one score from which on the last step starts from the rows that they could lead to. It changes the
+#: order of the work, not the result.
+FEW = 2000
 
 
 def _over_relations(front: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,7 +80,10 @@ def reached_count(seeds: DataFrame, relations: DataFrame, depth: int, most: int)
 
 def recall(seeds: DataFrame, relations: DataFrame, clusters: DataFrame, depth: int) -> DataFrame:
     """(query_id, id, direct, assoc, rank): seeds, and of what they lead to the MOST strongest; the KEPT best of all."""
-    reached = expand(seeds, relations, depth, clusters)
+    return _best(seeds, expand(seeds, relations, depth, clusters))
+
+
+def _best(seeds: DataFrame, reached: DataFrame) -> DataFrame:
     direct = seeds.select("query_id", "id", F.col("score").alias("direct"))
     own = direct.join(reached, ["query_id", "id"], "left").withColumn("assoc", F.coalesce("assoc", F.lit(0.0)))
     others = top_per_key(reached.join(direct, ["query_id", "id"], "left_anti"), "query_id", MOST, F.desc("assoc"), F.col("id")).drop("rank")
@@ -82,6 +91,65 @@ def recall(seeds: DataFrame, relations: DataFrame, clusters: DataFrame, depth: i
     return top_per_key(both, "query_id", KEPT, F.desc(F.greatest("direct", "assoc")), F.col("id"))
 
 
+def _highest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def recall_connected(seeds: DataFrame, relations: DataFrame, clusters: DataFrame) -> DataFrame:
+    """recall with three steps where the clusters are the components of the relations; scores and strengths aren't negative.
+
+    Then all of a component is reached, and what comes in at a row is the largest of: the strengths of its neighbours'
+    relations (`near`; by a cluster and two relations, for every query), half of the best that one relation gives anywhere
+    in the component (`half`; by a relation and a cluster), and what one, two or three relations lead in from a seed.
+    Every other path gives no more than one of these. Of two relations only scores above all strengths at their end are
+    followed, as others are in `near` one step on; a third one is followed to seeds, and to rows that it takes into the MOST
+    strongest."""
+    edges = both_ways(relations)
+    own = seeds.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(clusters, "id")
+    own = materialize(own, "recall-seeds")
+    most = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.max("strength").alias("most")), "recall-most")
+    near = edges.join(most, edges.b == most.id).groupBy("a").agg(F.max("most").alias("near"))
+    rows = near.withColumnRenamed("a", "id").join(most, "id").join(clusters, "id").select("id", "cluster", "near", "most")
+    rows = materialize(rows, "recall-rows")
+    one = materialize(_highest(_over_relations(own.select("query_id", "id", "score"), edges)).join(rows, "id"), "recall-one")
+    half = one.groupBy("query_id", "cluster").agg((PEERS * F.max("score")).alias("half"))
+    floor = rows.groupBy("cluster").agg(F.min("near").alias("floor"))
+    half = materialize(half.join(floor, "cluster"), "recall-half")
+
+    live = one.join(half, ["query_id", "cluster"]).where("score > half and score > floor").select("query_id", "id", "score")
+    live = materialize(live, "recall-live")
+    step = live.join(edges, live.id == edges.a).select("query_id", F.col("b").alias("id"), "score")
+    ends = rows.select("id", "most")
+    two = materialize(_highest(step.join(ends, "id").where("score > most")), "recall-two")
+
+    # the rows of a component that rank first by near and by id, as many as there can be seeds among them and MOST others
+    room = MOST + (own.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    first = [top_per_key(rows, "cluster", room, *order).select("id", "cluster") for order in ((F.desc("near"), F.col("id")), (F.col("id"),))]
+    first = first[0].unionByName(first[1]).distinct().join(half.select("query_id", "cluster"), "cluster").select("query_id", "id", F.lit(0.0).alias("score"))
+    met = first.unionByName(one.select("query_id", "id", "score")).unionByName(two).unionByName(own.select("query_id", "id", F.lit(0.0).alias("score")))
+    met = _highest(met).join(rows, "id").join(half, ["query_id", "cluster"])
+    met = materialize(met.select("query_id", "id", F.greatest("score", "near", "half").alias("score")), "recall-met")
+
+    other = met.join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    last = top_per_key(other, "query_id", MOST, F.desc("score"), F.col("id")).where(F.col("rank") == MOST)
+    last = last.select("query_id", F.col("score").alias("least"), F.col("id").alias("before"))
+    ties = two.join(last, "query_id").where("score = least").groupBy("query_id").agg(F.count("*").alias("ties"))
+    bound = half.select("query_id").distinct().join(last, "query_id", "left").join(ties, "query_id", "left")
+    bound = materialize(bound.select("query_id", F.coalesce("least", F.lit(-1.0)).alias("least"), "before", F.coalesce("ties", F.lit(0)).alias("ties")), "recall-bound")
+    many = F.col("ties") > FEW
+
+    front = two.join(F.broadcast(bound), "query_id").where((F.col("score") > F.col("least")) | ((F.col("score") == F.col("least")) & ~many))
+    front = materialize(front.select("query_id", "id", "score", "least", "before"), "recall-front")
+    led = front.join(edges, front.id == edges.a).where("score > least or b < before").select("query_id", F.col("b").alias("id"), "score")
+    low = rows.select("id", "cluster").join(F.broadcast(half.select("query_id", "cluster").join(bound.where(many), "query_id")), "cluster")
+    asked = own.select("query_id", "id").unionByName(low.where("id < before").select("query_id", "id")).distinct()
+    asked = materialize(asked, "recall-asked")
+    back = asked.join(edges, asked.id == edges.a).select("query_id", "id", F.col("b").alias("by"))
+    back = back.join(two.withColumnRenamed("id", "by"), ["query_id", "by"]).select("query_id", "id", "score")
+    reached = _highest(met.unionByName(led).unionByName(back))
+    return _best(seeds, reached.withColumnRenamed("score", "assoc"))
+
+
 def in_sections(found: DataFrame, sections: DataFrame) -> DataFrame:
     """found with section and section_rank: sections (id, section) by the best row in them, then by name."""
     named = found.join(sections, "id", "left").withColumn("section", F.coalesce("section", F.lit("general")))

@@ -11,7 +11,7 @@ from lodestar.operators.components import connected_components
 from lodestar.operators.intent_search import search as find
 from lodestar.operators.intent_search import search_intent as _search
 from lodestar.operators.intent_search import understood
-from lodestar.operators.recall import in_sections, reached_count, recall
+from lodestar.operators.recall import in_sections, reached_count, recall_connected
 from lodestar.plans.graphs import _CC, components
 from lodestar.plans.intake import _SET, _boost_sql
 from lodestar.plans.intents import _EXCLUDED, _FAVOURED, _WIDENED
@@ -158,7 +158,7 @@ def recall_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asked_rows(spark, sf_dir)
     rel = _known_relations(spark, sf_dir, rows)
     peers = connected_components(links(_known_vectors(spark, sf_dir, rows), DISTANT), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    found = recall(_seeds(spark, sf_dir, rows), rel, peers, DEPTH)
+    found = recall_connected(_seeds(spark, sf_dir, rows), rel, peers)
     named = in_sections(found, rows.select("id", F.element_at("labels", 1).alias("section")))
     return named.select("query_id", "rank", "id", "section", "section_rank", F.round("direct", 6).alias("direct"), F.round("assoc", 6).alias("assoc"))
 

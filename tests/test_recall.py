@@ -1,6 +1,9 @@
 """Recall by expansion against paths that are followed one by one."""
 
 import random
+from collections import Counter
+
+import pytest
 
 from lodestar.operators import recall as R
 
@@ -89,3 +92,44 @@ def test_words_are_looked_for_once_a_row(spark):
     found = {(r.query_id, r.id): tuple(round(x, 4) for x in r[2:]) for r in S.parts(rows, queries, pairs).collect()}
     assert len(found) == 9 and found[9, 1][1:] == (0.75, 1.0, 1.0, 0.5) and found[8, 1] == (0, 0, 0, 0, 0) and found[7, 3][1:] == (0, 1, 1, 0)
     assert found[9, 1][0] > 0 == found[9, 2][0] and found[7, 3][0] > 0
+
+
+def _components(relations):
+    least = {i: i for a, b, _ in relations for i in (a, b)}
+    for _ in least:
+        for a, b, _ in relations:
+            least[a] = least[b] = min(least[a], least[b])
+    return sorted(least.items())
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_connected_as_step_by_step(spark, monkeypatch, case):
+    """Few rows or all of a component fit the result; scores tie; strengths are all above, below or among the seeds' scores."""
+    monkeypatch.setattr(R, "FEW", case)
+    draw = random.Random(case)
+    size, low, high = [(40, 0, 9), (150, 0, 3), (150, 5, 9), (300, 0, 6)][case]
+    relations = [(a, b, draw.randint(low, high) / 10) for a, b in sorted({tuple(sorted(draw.sample(range(size), 2))) for _ in range(size * (1 + case % 3))})]
+    relations += [(900, 901, 0.7), (910, 911, 0.2), (911, 912, 0.1)]
+    seeds = [(q, i, draw.randint(1, 6) / 10) for q in range(8) for i in draw.sample([*range(size), 900, 910, 912, 950], draw.choice([1, 2, 6]))]
+    seeds += [(20, 900, 0.3), (21, 910, 0.3), (22, 950, 0.5), (23, 900, 0.2), (23, 901, 0.4)]
+    asked, edges, members = frames(spark, seeds, relations, _components(relations))
+    got = sorted(tuple(r) for r in R.recall_connected(asked, edges, members).select("query_id", "rank", "id", "direct", "assoc").collect())
+    assert got == sorted(tuple(r) for r in R.recall(asked, edges, members, 3).select("query_id", "rank", "id", "direct", "assoc").collect())
+    assert max(Counter(q for q, *_ in got).values()) > 30
+
+
+def test_connected_follows_few_rows(spark, monkeypatch):
+    """A component of 3,000 rows with a hub: what is met, for 40 queries, are a few rows each and not the component."""
+    sizes, keep = {}, R.materialize
+
+    def count(df, name):
+        table = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(R, "materialize", count)
+    relations = [(0, i, 0.4 + i % 7 / 100) for i in range(1, 3000)] + [(i, i + 1, 0.5) for i in range(1, 2999)]
+    seeds = [(q, 10 * q + 5, 0.3) for q in range(40)]
+    asked, edges, members = frames(spark, seeds, relations, [(i, 0) for i in range(3000)])
+    assert R.recall_connected(asked, edges, members).count() == 40 * 31
+    assert max(n for name, n in sizes.items() if name not in ("recall-most", "recall-rows")) <= 40 * 100

@@ -13,6 +13,8 @@ from lodestar.operators.retrieval import top_per_key
 
 #: Decimals of a similarity: products of the same two vectors may differ behind them from block to block.
 DECIMALS = 9
+#: Pairs whose exact similarity is worked out at a time.
+PAIRS = 1 << 16
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bool = False, apart: bool = False, block: int = 1024) -> DataFrame:
@@ -22,7 +24,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bo
 
     Both sides have id and embedding. Each pair of blocks is one task's matrix product, piece by piece, and returns k rows
     at most for a row of left, so neither a task nor the result grows with a dense group; there are blocks.GRID blocks on
-    a side at most, so that no row is sent more often. Rows without a vector have no neighbours."""
+    a side at most, so that no row is sent more often. Products in single precision rule out pairs that can't be above the
+    least or a row's k-th so far; the others are worked out exactly. Rows without a vector have no neighbours."""
     usable = "id is not null and size(embedding) > 0"
     sides = []
     counts = [sides_of(side.where(usable).count(), block) for side in (left, right)]
@@ -43,20 +46,33 @@ def nearest(left: DataFrame, right: DataFrame, k: int, least: float, earlier: bo
         a, b, xa, xb = ids[asks], ids[~asks], x[asks], x[~asks]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": a[:0], "b": b[:0], "similarity": np.zeros(0)})
-        held = []
+        held, rough = [], x.astype("f4")
+        ra, rb = rough[asks], rough[~asks]
+        slack = (x.shape[1] + 4) * 2.0**-22 + 10.0**-DECIMALS  # more than single precision and rounding can be off by
         for p in range(0, len(a), PIECE):
             one, best = a[p : p + PIECE], None
+            bar = np.full(len(one), max(least, -3.0))  # what a row's k-th has so far; an equal one of a lower id counts
             for q in range(0, len(b), PIECE):
                 other = b[q : q + PIECE]
-                close = np.minimum(np.round(xa[p : p + PIECE] @ xb[q : q + PIECE].T, DECIMALS), 1.0)
+                if earlier and other[0] >= one[-1]:
+                    break
+                close = ra[p : p + PIECE] @ rb[q : q + PIECE].T
+                over = close > (bar - slack)[:, None].astype("f4")
+                if k < len(other) and np.count_nonzero(over) > 2 * k * len(one):  # below the k-th of its row none counts
+                    if not apart:
+                        close[(other[None, :] >= one[:, None]) if earlier else (other[None, :] == one[:, None])] = -2.0
+                    over &= close >= -np.partition(-close, k - 1, axis=1)[:, k - 1, None] - np.float32(2 * slack)
+                row, place = np.nonzero(over)
+                exact = np.concatenate([np.einsum("ij,ij->i", xa[p + row[t : t + PAIRS]], xb[q + place[t : t + PAIRS]]) for t in range(0, len(row) or 1, PAIRS)])
+                exact = np.minimum(np.round(exact, DECIMALS), 1.0)
+                counts = exact > max(least, -3.0)
                 if not apart:
-                    close[(other[None, :] >= one[:, None]) if earlier else (other[None, :] == one[:, None])] = -2.0
-                if k < len(other):  # below the k-th of its row none counts
-                    close[close < -np.partition(-close, k - 1, axis=1)[:, k - 1, None]] = -9.0
-                row, place = np.nonzero(close > max(least, -3.0))
-                found = (one[row], other[place], close[row, place])
-                if len(row):
+                    counts &= (other[place] < one[row]) if earlier else (other[place] != one[row])
+                found = (one[row[counts]], other[place[counts]], exact[counts])
+                if len(found[0]):
                     best = first_ones([found] if best is None else [best, found], k)
+                    full = best[0][k - 1 :] == best[0][: max(len(best[0]) - k + 1, 0)]  # rows that have k by now, at their k-th
+                    bar[np.searchsorted(one, best[0][k - 1 :][full])] = best[2][k - 1 :][full]
             if best is not None:
                 held.append(best)
         if not held:

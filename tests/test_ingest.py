@@ -130,6 +130,46 @@ def test_nearest(spark):
             assert got.get(i, set()) == {(j, min(-s, 1.0)) for s, j in want}
 
 
+@pytest.mark.parametrize("least", [0.75, -2.0])
+def test_nearest_in_pieces(spark, monkeypatch, least):
+    """Equal vectors in all pieces, close ones that single precision can't tell apart, and many more rows than k."""
+    from lodestar.operators import nearest as N
+
+    monkeypatch.setattr(N, "PIECE", 16)
+    monkeypatch.setattr(N, "PAIRS", 5)
+    gen = np.random.default_rng(6)
+    vectors = gen.normal(size=(200, 5))
+    vectors[::7] = vectors[0] + 1e-8 * gen.normal(size=(29, 5))
+    vectors[3::10] = vectors[3]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    for earlier in (False, True):
+        got = {}
+        for r in nearest(frame.where("id % 3 > 0"), frame, 3, least, earlier, block=90).collect():
+            got.setdefault(r.a, []).append((-r.similarity, r.b))
+        for i in range(200):
+            there = [j for j in range(200) if i % 3 and (j < i if earlier else j != i)]
+            want = sorted((-min(cosine(vectors[i], vectors[j]), 1.0), j) for j in there if cosine(vectors[i], vectors[j]) > least)[:3]
+            assert sorted(got.get(i, [])) == want
+
+
+def test_word_vectors_move_no_row(spark):
+    """The vectors of words as by hand, for words that repeat, null words, lists and texts; without a shuffle."""
+    import hashlib
+
+    from lodestar.sources import tables
+
+    lists = [["a", "b", "a", "決策"], [], None, [None, "zz"], [f"w{i}" for i in range(300)], ["", "b"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id long, words array<string>")
+    made = tables.text_vectors(rows, rows.words)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in made.collect():
+        want = [0.0] * tables.DIMENSIONS
+        for word in {w for w in lists[r.id] or [] if w is not None}:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want[int(digest[:2], 16) % tables.DIMENSIONS] += 1.0 if digest[2] < "8" else -1.0
+        assert r.embedding == want
+
+
 def test_stream(spark, tmp_path):
     """Batch after batch is as row after row; a batch that comes again changes nothing."""
     rows = draw_rows(5, range(120), True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.blocks import touched
 from lodestar.session import materialize
 
 
@@ -33,6 +34,20 @@ def hops(relations: DataFrame, origins: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def hops_between(rows: DataFrame, origins: DataFrame, most: int, least: float) -> DataFrame:
+    """hops over the relations of all rows (id, embedding) with a cosine above least, which are never written: a step
+    multiplies the rows that are new with those that aren't reached yet."""
+    seen = front = materialize(origins.select("node", F.lit(0).alias("hop")).distinct(), "hops")
+    for hop in range(1, most + 1):
+        new = rows.join(front, rows.id == front.node, "left_semi")
+        rest = rows.join(seen, rows.id == seen.node, "left_anti")
+        front = materialize(touched(new, rest, least).select(F.col("id").alias("node"), F.lit(hop).alias("hop")), "hops")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def multi_hop(relations: DataFrame, origins: DataFrame, most: int, least: float = 0.1) -> DataFrame:
     """(node, hop, score): best product of strengths at the first hop that reaches a node, not below least."""
     edges = both_ways(relations)

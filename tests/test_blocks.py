@@ -67,3 +67,18 @@ def test_components_write_no_relations(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(graphs, "relations", None)
     for name in ("components", "component_sizes", "concepts", "inter_label_edges", "neighbour_top"):
         assert graphs.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_hops_write_no_relations(spark, sf_dir, given, sizes, monkeypatch):
+    rows, pairs = given
+    monkeypatch.setattr(graphs, "relations", None)
+    assert graphs.QUERIES["bfs_hops"](spark, sf_dir).count() > 1
+    monkeypatch.setattr(graphs, "LOT", 1)
+    monkeypatch.setattr(graphs, "DISTANT", 0.8)
+    monkeypatch.setattr(graphs, "vectors", lambda *_: rows)
+    near = {p for p, c in pairs.items() if c > 0.8}
+    want, front = {min(min(p) for p in near): 0}, {min(min(p) for p in near)}
+    for hop in range(1, 5):
+        front = {x for p in near if front & set(p) for x in p} - set(want)
+        want |= dict.fromkeys(front, hop)
+    assert {r.node: r.hop for r in graphs.QUERIES["bfs_hops"](spark, sf_dir).collect()} == want

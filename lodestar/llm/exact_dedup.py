@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACES, fresh, table, text_of
+from lodestar.llm.common import SPACES, fresh, split_by_ids, table, text_of
 from lodestar.session import discard, materialize
 
 #: Tiers of runs that the first compaction merges apart.
@@ -98,7 +98,7 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     single = index.where("group_size = 1").select(F.col("best.row").alias("row"), F.col("best.id").alias("doc_id"), *kept, sha, "digest", F.lit(None).cast("long").alias("mark"))
     if not sums.several:
         return single, [index]
-    hits = index.where("group_size > 1").select("digest", "best", "group_size")
+    entries = hits = index.where("group_size > 1").select("digest", "best", "group_size")
     moved = probe(rows, *hit_filter(hits, sums.several))
     hot_rows, keys = max(HOT_ROWS, sums.rows // HOT_DIGESTS), ["digest"]
     if sums.most > hot_rows:
@@ -106,15 +106,18 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         salts = F.coalesce("salts", F.lit(1).cast("long"))
         moved = moved.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "n_chars"), salts)).drop("salts")
         each = F.sequence(F.lit(0).cast("long"), salts - 1)
-        hits = hits.join(hot, "digest", "left").withColumn("all", each).withColumn("salt", F.explode("all"))
+        hits = hits.join(hot, "digest", "left").withColumn("salt", F.explode(each)).drop("salts")
         keys.append("salt")
     moved = materialize(moved, "dedup-moved")  # hashed once for both sides of the comparison
     found = moved.join(hits, keys)
     is_kept = F.expr("row = best.row and doc_id <=> best.id and n_chars = -best.n")
-    stays = found.where(is_kept).groupBy(*keys).agg(F.max("norm").alias("keep_norm"), *[F.max("all").alias("all") for _ in keys[1:]])
+    # only the rows that stay move, once to their digest's entry and once with it to the rows of the digest
+    names = entries.select(F.xxhash64("digest", "best.row", "best.id", -F.col("best.n")).alias("name"))
+    firsts = moved.select("row", "doc_id", "n_chars", "digest", "norm", F.xxhash64("digest", "row", "doc_id", "n_chars").alias("name"))
+    firsts = split_by_ids(firsts, "name", names, "name")[0].join(entries, "digest").where(is_kept)
+    stays = firsts.groupBy("digest").agg(F.max("norm").alias("keep_norm"))
     if len(keys) > 1:  # the text that stays goes to every task of its digest
-        stays = stays.groupBy("digest").agg(F.max("keep_norm").alias("keep_norm"), F.max("all").alias("all"))
-        stays = stays.select("digest", "keep_norm", F.explode("all").alias("salt"))
+        stays = stays.join(hot, "digest", "left").select("digest", "keep_norm", F.explode(each).alias("salt"))
     same = F.coalesce(F.col("norm") == F.col("keep_norm"), F.lit(False)).alias("same")
     mark = F.xxhash64("norm").alias("mark")
     checked = found.join(stays, keys, "left").select("row", "doc_id", *kept, sha, "digest", mark, same)
@@ -149,13 +152,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = [fresh(docs, name) for name in ("gone_id", "gone_digest", "gone_mark")]
     named = several.select("size", F.expr("doc_id <=> keep_id").alias("stays"), *(F.col(c).alias(k) for c, k in zip(("doc_id", "digest", "mark"), key)))
     same = F.col(id_col).eqNullSafe(F.col(key[0])) & (digest_of(norm) == F.col(key[1])) & (F.xxhash64(norm) == F.col(key[2]))
-    left = docs.join(named.drop("size", "stays"), same, "left_anti")
+    gone = named.drop("size", "stays")
+    doubtful, clear = split_by_ids(docs, id_col, gone, key[0])  # only the texts of doubtful rows move
+    left = clear.unionByName(doubtful.join(gone, same, "left_anti"))
     again = named.where("stays").drop("size", "stays")
     if again.isEmpty():
         return left
     first = fresh(docs, "first")
     order = Window.partitionBy(id_col, F.sha2(norm.cast("binary"), 256)).orderBy(F.desc(F.length(text_col)))
-    once = docs.join(again, same, "left_semi").withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
+    once = doubtful.join(again, same, "left_semi").withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
     return left.unionByName(once)
 
 

@@ -33,13 +33,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from lodestar.llm.common import fresh, give_back, table, text_of
+from lodestar.llm.common import fresh, give_back, split_by_ids, table, text_of
 from lodestar.operators.components import connected_components
-from lodestar.session import discard, materialize
+from lodestar.session import discard, free_shuffles, materialize
 
 #: Fingerprints of one bucket, or rows of one token, that a task compares at a time.
 BUCKET_ROWS = 1024
@@ -53,8 +53,6 @@ HEAD_ROUNDS = 2
 #: Share of the documents that the order of shingles is learned from, and how many shingles at most count as common.
 ORDER_SHARE = 0.15
 ORDER_SHINGLES = 1_000_000
-#: Names of rows that are wanted, or go, are broadcast up to this number (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 #: Bits of the small sketch that every row takes along where candidates are sought.
 FOLD_BITS = 256
 #: Bits of the largest sketch; beyond, the filter by sketches lets more pairs through to the exact check.
@@ -277,6 +275,7 @@ def postings(texts: DataFrame, share: float) -> DataFrame:
     parity_sketch), fold (one of FOLD_BITS) and tokens, the prefix of the text in the common order. Texts have id, digest and text; they are
     read, not copied."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    free_shuffles(texts.sparkSession)  # the shingles of the sample
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (pdf.iloc[at : at + 1000] for pdf in batches for at in range(0, len(pdf), 1000)):
@@ -330,6 +329,16 @@ def fingerprint_roots(prints: DataFrame, radius: int) -> DataFrame:
     return met.groupBy("fp").agg(F.min("root").alias("root"))
 
 
+def shared_tokens(posted: DataFrame) -> DataFrame:
+    """Postings (token, row, n, pos) of the tokens that several rows have, with the place of the token's first row
+    (head_row, head_n, head_pos). All postings move once, most of them to find that theirs is the only one."""
+    tokens = posted.select(F.posexplode("tokens").alias("pos", "token"), "row", "n").select("token", "pos", "row", "n")
+    own = Window.partitionBy("token")
+    heads = [F.min("row").over(own).alias("head_row"), *(F.min_by(c, "row").over(own).alias(f"head_{c}") for c in ("n", "pos"))]
+    seen = tokens.select("token", "pos", "row", "n", F.count("*").over(own).alias("df"), *heads)
+    return materialize(seen.where("df > 1").drop("df"), "near-met")
+
+
 def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) -> DataFrame:
     """(a, b): for each row b at most three rows before it that it is likely to be similar to: the first one with its
     fingerprint, the first one with the least fingerprint near by, and of the first rows of its tokens the one that it
@@ -343,9 +352,8 @@ def star_pairs(posted: DataFrame, met: DataFrame, radius: int, share: float) ->
         .join(first.select(F.col("fp").alias("root"), F.col("first").alias("a")), "root")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    heads = met.groupBy("token").agg(F.min(F.struct("row", "n", "pos")).alias("head"))
-    meets = met.join(heads, "token").where("head.row < row").where(_fits("n", "pos", "head.n", "head.pos", share))
-    often = meets.groupBy("row", F.col("head.row").alias("a")).agg(F.count("*").alias("times"))
+    meets = met.where("head_row < row").where(_fits("n", "pos", "head_n", "head_pos", share))
+    often = meets.groupBy("row", F.col("head_row").alias("a")).agg(F.count("*").alias("times"))
     best = often.groupBy("row").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", F.col("row").alias("b"))
     near = materialize(near, "near-roots")  # its buckets are done with before the tokens meet
     stars = materialize(same.unionByName(near).unionByName(best).distinct(), "near-stars")
@@ -377,8 +385,8 @@ def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, share: float) -
     pairs = likely
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     wanted = materialize(rows.join(wanted, "row").select("row", F.col("id").alias("own_id"), F.col("digest").alias("own_digest")), "near-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    met = texts.join(few, F.col("id").cast("string").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    asked = split_by_ids(texts.withColumn("id", F.col("id").cast("string")), "id", wanted, "own_id")[0]
+    met = asked.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
     # rows of one id and text meet each other's text, which is the same
     sets = materialize(met.select("row", shingle_set("text").alias("shingles")).dropDuplicates(["row"]), "near-sets")
     discard(wanted)  # with it go the shuffled texts, before the shingles are shuffled
@@ -502,13 +510,11 @@ def linked_rows(texts: DataFrame, radius: int, share: float) -> tuple[DataFrame,
     """(node, component) of the row numbers that have a partner, directly or in steps; and the id and digest of each
     row. texts has id, digest and text."""
     posted = postings(texts, share)
-    rows = materialize(posted.select("row", "id", "digest", "n", "sketch", "fold"), "near-named")
-    tokens = posted.select("row", "n", F.posexplode("tokens").alias("pos", "token"))
-    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "near-tokens")
-    met = materialize(tokens.join(often, "token"), "near-met")
-    discard(often)
-    stars = star_pairs(posted, met, radius, share)
+    rows = materialize(posted.drop("tokens"), "near-named")
+    met = shared_tokens(posted)
     discard(posted)
+    stars = star_pairs(rows, met, radius, share)
+    met = met.select("token", "row", "n", "pos")
     links = similar(stars, texts, rows, share)
     groups = connected_components(links, "a", "b")
     mixed, many = mixed_tokens(met, groups)
@@ -555,9 +561,9 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, share: float = 0.8, id_co
     gone = found.where("not (id <=> least.id and digest = least.digest)")
     gone = gone.select(F.col("id").alias(key[0]), F.col("digest").alias(key[1])).distinct()
     gone = materialize(gone, "near-gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    doubtful, clear = split_by_ids(docs, id_col, gone, key[0])  # only the texts of doubtful rows move
     same = F.col(id_col).eqNullSafe(F.col(key[0])) & (_digest(text_col) == F.col(key[1]))
-    return docs.join(few, same, "left_anti")
+    return clear.unionByName(doubtful.join(gone, same, "left_anti"))
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

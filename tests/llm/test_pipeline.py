@@ -1,8 +1,14 @@
 """The pipeline's stages take effect, keep the columns, and leave clean documents alone."""
 
 import collections
+import random
 import re
+import time
 
+import pytest
+
+import corpus_pipeline
+from lodestar.llm import common
 from lodestar.session import materialize
 
 
@@ -77,3 +83,62 @@ def test_empty_table(spark, sf_dir, tmp_path):
 
     folder = odd_folder(spark, sf_dir, str(tmp_path / "empty"), [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def moved_bytes(spark, make) -> int:
+    """What a function shuffles, with joins as over large tables: none is broadcast for the size of its sides."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        time.sleep(0.5)
+        return sum(x.totalShuffleWrite() for x in spark.sparkContext._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().executorList(False)))
+
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        make()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return written() - before
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """2,000 texts of 300 drawn words, no two of them alike, and a copy of each hundredth; with the characters of all."""
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"{draw.getrandbits(40):010x}" for _ in range(300))) for i in range(2000)]
+    rows += [(5000 + i, text) for i, text in rows[::100]]
+    path = str(tmp_path_factory.mktemp("many") / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    return spark.read.parquet(path), sum(len(t) for _, t in rows)
+
+
+def test_exact_copies_move_few_texts(spark, many):
+    docs, size = many
+    left = []
+    moved = moved_bytes(spark, lambda: left.extend(r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, "").select("doc_id", "text").collect()))
+    assert sorted(left) == list(range(2000))
+    assert moved < 0.2 * size
+
+
+def test_near_copies_move_postings_once(spark, many):
+    docs, size = many
+    left = []
+    moved = moved_bytes(spark, lambda: left.extend(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").select("doc_id", "text").collect()))
+    assert sorted(left) == list(range(2000))
+    assert moved < 45 * 2020 * 61  # bytes for each of a text's 61 postings
+
+
+def test_rows_whose_id_may_be_among_ids(spark):
+    ids = [i * 7 for i in range(500)] + [None]
+    rows = [(i, f"t{i}", i, i) for i in range(20_000)] + [(None, "none", 0, 0), (7, "again", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket long, Bitmap long")
+    among, rest = common.split_by_ids(docs, "doc_id", spark.createDataFrame([(i,) for i in ids], "gone long"), "gone")
+    assert among.columns == rest.columns == docs.columns
+    among, rest = [tuple(r) for r in among.collect()], [tuple(r) for r in rest.collect()]
+    assert sorted(map(str, among + rest)) == sorted(map(str, rows))
+    assert not [r for r in rest if r[0] in set(ids)]
+    assert len(among) < 502 + 0.05 * 20_000
+    none, all_rows = common.split_by_ids(docs, "doc_id", spark.createDataFrame([], "gone long"), "gone")
+    assert none.count() == 0 and all_rows.count() == len(rows)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+import re
+import sys
+from collections.abc import Callable
+from functools import cache, partial, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The character ranges that count as CJK (without the ideographic space, which is white space).
@@ -28,6 +31,50 @@ def tokenize(text: Column) -> Column:
     return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, split))).otherwise(plain)
 
 
+@cache
+def letters() -> str:
+    """The characters of words as Spark's regular expressions know them, as ranges of a class for Python's."""
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF)
+    pattern = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(r"[^\p{IsAlphabetic}\p{N}]+")
+    codes = [ord(c) for c in pattern.matcher(every).replaceAll("")]
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+def _runs(ranges: str, extra: str) -> Callable[[str], list[str]]:
+    """What finds the runs of characters of a class in a text. Few texts have characters behind U+FFFF, and the ranges there
+    are tried one by one, so other texts go by a class without them."""
+    low = "".join(x for x in re.findall(r"\\U.{8}-\\U.{8}", ranges) if x < r"\U00010000")
+    few, every = re.compile(f"[{low}{extra}]+").findall, re.compile(f"[{ranges}{extra}]+").findall
+    return lambda text: (few if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else every)(text)
+
+
+def tokenizer(ranges: str) -> Callable[[str], list[str]]:
+    """tokenize for lower-cased texts within a Python task; ranges: letters()."""
+    plain, cjk = _runs(ranges, r"\-_./:"), re.compile(f"[{CJK}]")
+    mixed = re.compile(f"[{CJK}]+|(?:(?![{CJK}])[{ranges}\\-_./:])+")
+
+    def tokens(text: str) -> list[str]:
+        if text.isascii() or not cjk.search(text):
+            return plain(text)
+        out = []
+        for run in mixed.findall(text):
+            if cjk.match(run) and len(run) > 1:
+                out += [run[i : i + 2] for i in range(len(run) - 1)] + ([run] if len(run) <= 3 else [])
+            else:
+                out.append(run)
+        return out
+
+    return tokens
+
+
+def word_finder(ranges: str) -> Callable[[str], set[str]]:
+    """word_set for lower-cased texts within a Python task; ranges: letters()."""
+    found = _runs(ranges, r"\-")
+    return lambda text: {w for w in set(found(text)) if len(w) > 1 or not w.isascii()}
+
+
 def share_contained(words: Column, text: Column) -> Column:
     """Share of the words that the text contains; 0 for no words."""
     hits = F.size(F.filter(words, lambda w: F.contains(text, w)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +56,32 @@ def bm25(docs: DataFrame, queries: DataFrame, body: Column, pairs: DataFrame | N
     )
 
 
+def row_factors(age_days: Column) -> dict[str, Column]:
+    """What a row itself gives to its score: recency, importance, access, two malus and mass."""
+    return {
+        "recency": F.exp(-0.08 * age_days),
+        "weight": F.greatest("importance", F.lit(0.1)),
+        "access": 1 + F.col("access_count") / (F.col("access_count") + 5) * 0.3,
+        "meta": F.when(F.exists("labels", lambda x: x.startswith("meta-")), 0.5).otherwise(1.0),
+        "noise": F.when(noise_label(F.col("labels")) | (F.octet_length(F.trim("content")) < 10), 0.3).otherwise(1.0),
+        "heavy": 1 + 0.1 * F.greatest(F.col("mass") - 1, F.lit(0.0)),
+    }
+
+
 def hybrid_score(vec: Column, bm: Column, exact: Column, label: Column, entity: Column, age_days: Column) -> Column:
     """The row score of a memory: vector and text similarity, boosts, recency, importance, access and mass."""
+    own = row_factors(age_days)
     text = bm / (bm + 1) * F.when(exact, 0.35).otherwise(0.20)
-    access = 1 + F.col("access_count") / (F.col("access_count") + 5) * 0.3
-    raw = (0.5 * vec + text + 0.15 * label + 0.20 * entity) * F.exp(-0.08 * age_days) * F.greatest("importance", F.lit(0.1)) * access
-    meta = F.when(F.exists("labels", lambda x: x.startswith("meta-")), 0.5).otherwise(1.0)
-    noise = F.when(noise_label(F.col("labels")) | (F.octet_length(F.trim("content")) < 10), 0.3).otherwise(1.0)
-    mass = F.when(raw > 0.3, 1 + 0.1 * F.greatest(F.col("mass") - 1, F.lit(0.0))).otherwise(1.0)
-    return F.least(raw * meta * noise * mass, F.lit(1.0))
+    raw = (0.5 * vec + text + 0.15 * label + 0.20 * entity) * own["recency"] * own["weight"] * own["access"]
+    mass = F.when(raw > 0.3, own["heavy"]).otherwise(1.0)
+    return F.least(raw * own["meta"] * own["noise"] * mass, F.lit(1.0))
+
+
+def hybrid_scores(vec: np.ndarray, bm: np.ndarray, exact: np.ndarray, label: np.ndarray, entity: np.ndarray, own: dict[str, np.ndarray]) -> np.ndarray:
+    """hybrid_score for arrays (row, query); own: the rows' row_factors, nan where they are null."""
+    own = {name: x[:, None] for name, x in own.items()}
+    raw = (0.5 * vec + bm / (bm + 1) * np.where(exact, 0.35, 0.20) + 0.15 * label + 0.20 * entity) * own["recency"] * own["weight"] * own["access"]
+    return np.fmin(raw * own["meta"] * own["noise"] * np.where(raw > 0.3, own["heavy"], 1.0), 1.0)
 
 
 def noise_label(labels: Column) -> Column:

@@ -98,12 +98,11 @@ tok AS MATERIALIZED (SELECT m.id, list_concat(toks, list_concat({TOKENS.replace(
  FROM memories m JOIN documents d ON d.doc_id = m.id JOIN ptok ON p = m.id % {len(PHRASES)}),
 st AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1.0) AS avg_dl FROM tok),
 near AS (SELECT q.query_id, m.id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM q JOIN tv a ON a.id = -1 - q.query_id CROSS JOIN memories m JOIN tv b ON b.id = m.id
- WHERE q.query_id % {BLIND} <> {BLIND - 1}
- QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, m.id) <= {max(3 * k, 20)}),
+ WHERE q.query_id % {BLIND} <> {BLIND - 1}),
 touched AS (SELECT q.query_id, m.id FROM q, memories m WHERE q.query_id % {BLIND} = {BLIND - 1} AND len(list_filter(labels, lambda l:
  len(list_filter(q.terms, lambda t: contains(lower(l), t))) > 0)) > 0),
 cand AS (SELECT * FROM near UNION ALL SELECT query_id, id, NULL FROM touched UNION ALL
- SELECT query_id, id, NULL FROM q, (SELECT id FROM memories ORDER BY id LIMIT 2000) WHERE query_id % {BLIND} = {BLIND - 1} AND query_id NOT IN (SELECT query_id FROM touched)),
+ SELECT query_id, id, NULL FROM q, (SELECT id FROM memories) WHERE query_id % {BLIND} = {BLIND - 1} AND query_id NOT IN (SELECT query_id FROM touched)),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(terms) AS term FROM q) GROUP BY ALL),
 post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM tok) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),

@@ -1,5 +1,7 @@
 """Functions against hand-made facts and plain Python."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -107,3 +109,15 @@ def test_log_lines(spark):
     line = "sshd: Failed password for invalid user admin from {} port 51823 ssh2"
     assert one(spark, files.login_failure(F.col("t")), t=line.format("203.0.113.9")) == "203.0.113.9"
     assert one(spark, files.login_failure(F.col("t")), t=line.format("10.0.0.5")) is None
+
+
+def test_words_in_tasks_as_in_expressions(spark):
+    """Words found by Python are those of Spark's expressions, for odd characters too."""
+    draw = random.Random(3)
+    odd = "aZ09 -_./:\u00e9\u00b2\u00bd\u0345\u0301\u093e\u2160\u3007\u4e2d\u6587\u3042\u30fc\u3002\uac00\u0130\u00df\u03a3\u200b\u00a0\n\U00010400\U0001d7ce\U0001f600\U00020000\U0001f130|'"
+    texts = ["".join(draw.choices(odd, k=draw.randrange(30))) for _ in range(500)] + ["\u4e2d", "\u4e2d\u6587", "\u4e2d\u6587\u4e2d", "a\u4e2d\u6587\u4e2d\u6587b", ""]
+    ranges = T.letters()
+    tokens, words = T.tokenizer(ranges), T.word_finder(ranges)
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in rows.select(F.lower("text").alias("low"), T.tokenize(F.col("text")).alias("tokens"), T.word_set(F.col("text")).alias("words")).collect():
+        assert tokens(r.low) == r.tokens and words(r.low) == set(r.words)

@@ -42,7 +42,7 @@ def letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
-def _runs(ranges: str, extra: str) -> Callable[[str], list[str]]:
+def runs(ranges: str, extra: str) -> Callable[[str], list[str]]:
     """What finds the runs of characters of a class in a text. Few texts have characters behind U+FFFF, and the ranges there
     are tried one by one, so other texts go by a class without them."""
     low = "".join(x for x in re.findall(r"\\U.{8}-\\U.{8}", ranges) if x < r"\U00010000")
@@ -52,7 +52,7 @@ def _runs(ranges: str, extra: str) -> Callable[[str], list[str]]:
 
 def tokenizer(ranges: str) -> Callable[[str], list[str]]:
     """tokenize for lower-cased texts within a Python task; ranges: letters()."""
-    plain, cjk = _runs(ranges, r"\-_./:"), re.compile(f"[{CJK}]")
+    plain, cjk = runs(ranges, r"\-_./:"), re.compile(f"[{CJK}]")
     mixed = re.compile(f"[{CJK}]+|(?:(?![{CJK}])[{ranges}\\-_./:])+")
 
     def tokens(text: str) -> list[str]:
@@ -69,12 +69,6 @@ def tokenizer(ranges: str) -> Callable[[str], list[str]]:
     return tokens
 
 
-def word_finder(ranges: str) -> Callable[[str], set[str]]:
-    """word_set for lower-cased texts within a Python task; ranges: letters()."""
-    found = _runs(ranges, r"\-")
-    return lambda text: {w for w in set(found(text)) if len(w) > 1 or not w.isascii()}
-
-
 def share_contained(words: Column, text: Column) -> Column:
     """Share of the words that the text contains; 0 for no words."""
     hits = F.size(F.filter(words, lambda w: F.contains(text, w)))

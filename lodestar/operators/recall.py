@@ -20,9 +20,9 @@ from lodestar.session import materialize
 
 MOST, KEPT = 30, 40
 PEERS = 0.5
-#: Rows of a query with one score from which on the last step starts from the rows that they could lead to. It changes the
-#: order of the work, not the result.
-FEW = 2000
+#: Rows of a query with just the score of its MOST-th up to which steps start from these, and not from the rows that they
+#: could lead to. It changes the order of the work, not the result.
+FEW = 100
 
 
 def _over_relations(front: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,15 +95,53 @@ def _highest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
+def _met_by(pairs: DataFrame, edges: DataFrame, scored: DataFrame) -> DataFrame:
+    """(query_id, id, score): for each of pairs (query_id, id) the highest of scored among the neighbours of the row."""
+    asked = pairs.join(edges, pairs.id == edges.a).select("query_id", "id", F.col("b").alias("by"))
+    return _highest(asked.join(scored.select("query_id", F.col("id").alias("by"), "score"), ["query_id", "by"]))
+
+
+def _bound(met: DataFrame, own: DataFrame, half: DataFrame) -> DataFrame:
+    """(query_id, least, before): score and id of the MOST-th row of met that isn't a seed; -1 and null where there are fewer."""
+    other = met.join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    last = top_per_key(other.select("query_id", "id", "score"), "query_id", MOST, F.desc("score"), F.col("id")).where(F.col("rank") == MOST)
+    found = half.select("query_id").distinct().join(last.select("query_id", F.col("score").alias("least"), F.col("id").alias("before")), "query_id", "left")
+    return found.withColumn("least", F.coalesce("least", F.lit(-1.0)))
+
+
+def _tied(bound: DataFrame, scored: DataFrame, name: str) -> DataFrame:
+    """bound with many: whether more than FEW of a query's scored rows have just the score of its MOST-th row."""
+    ties = scored.join(F.broadcast(bound), "query_id").where("score = least").groupBy("query_id").agg(F.count("*").alias("ties"))
+    counted = bound.join(ties, "query_id", "left").select("query_id", "least", "before", (F.coalesce("ties", F.lit(0)) > FEW).alias("many"))
+    return materialize(counted, name)
+
+
+def _followed(scored: DataFrame, bound: DataFrame) -> DataFrame:
+    """The rows of scored from which a step can change the MOST first rows of a query; of many ties none, as these are
+    looked for from the other end."""
+    return scored.join(F.broadcast(bound), "query_id").where((F.col("score") > F.col("least")) | ((F.col("score") == F.col("least")) & ~F.col("many")))
+
+
+def _low(rows: DataFrame, met: DataFrame, own: DataFrame, half: DataFrame, bound: DataFrame) -> DataFrame:
+    """(query_id, id): the rows that would be among the MOST first of a query with the score of its MOST-th, but have less."""
+    asks = half.join(bound, "query_id").where("least <= top and half < least")
+    low = rows.join(F.broadcast(asks), "cluster").where("id < before and near < least").select("query_id", "id", "least")
+    known = met.select("query_id", "id", "score").unionByName(own.select("query_id", "id", F.lit(2.0).alias("score")))
+    there = _highest(known).join(F.broadcast(bound.select("query_id", F.col("least").alias("bar"))), "query_id").where("score >= bar")
+    return low.join(there, ["query_id", "id"], "left_anti").select("query_id", "id")
+
+
 def recall_connected(seeds: DataFrame, relations: DataFrame, clusters: DataFrame) -> DataFrame:
     """recall with three steps where the clusters are the components of the relations; scores and strengths aren't negative.
 
     Then all of a component is reached, and what comes in at a row is the largest of: the strengths of its neighbours'
     relations (`near`; by a cluster and two relations, for every query), half of the best that one relation gives anywhere
     in the component (`half`; by a relation and a cluster), and what one, two or three relations lead in from a seed.
-    Every other path gives no more than one of these. Of two relations only scores above all strengths at their end are
-    followed, as others are in `near` one step on; a third one is followed to seeds, and to rows that it takes into the MOST
-    strongest."""
+    Every other path gives no more than one of these. One relation is followed from all seeds. After that a score counts
+    only at a seed and at a row that it takes into the MOST strongest others, and none is above `top`, the best that one
+    relation gives. So from few rows, those above the MOST-th score so far and at it, steps go forward; the neighbours of a
+    neighbour are asked for seeds that are below top, and for rows of low ids where very many scores tie with the MOST-th.
+    The rows of the lowest ids and of the highest near of a component are asked first, as they make that score high."""
     edges = both_ways(relations)
     own = seeds.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(clusters, "id")
     own = materialize(own, "recall-seeds")
@@ -112,41 +150,45 @@ def recall_connected(seeds: DataFrame, relations: DataFrame, clusters: DataFrame
     rows = near.withColumnRenamed("a", "id").join(most, "id").join(clusters, "id").select("id", "cluster", "near", "most")
     rows = materialize(rows, "recall-rows")
     one = materialize(_highest(_over_relations(own.select("query_id", "id", "score"), edges)).join(rows, "id"), "recall-one")
-    half = one.groupBy("query_id", "cluster").agg((PEERS * F.max("score")).alias("half"))
+    half = one.groupBy("query_id", "cluster").agg((PEERS * F.max("score")).alias("half"), F.max("score").alias("top"))
     floor = rows.groupBy("cluster").agg(F.min("near").alias("floor"))
     half = materialize(half.join(floor, "cluster"), "recall-half")
-
     live = one.join(half, ["query_id", "cluster"]).where("score > half and score > floor").select("query_id", "id", "score")
-    live = materialize(live, "recall-live")
-    step = live.join(edges, live.id == edges.a).select("query_id", F.col("b").alias("id"), "score")
-    ends = rows.select("id", "most")
-    two = materialize(_highest(step.join(ends, "id").where("score > most")), "recall-two")
 
     # the rows of a component that rank first by near and by id, as many as there can be seeds among them and MOST others
     room = MOST + (own.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     first = [top_per_key(rows, "cluster", room, *order).select("id", "cluster") for order in ((F.desc("near"), F.col("id")), (F.col("id"),))]
     first = first[0].unionByName(first[1]).distinct().join(half.select("query_id", "cluster"), "cluster").select("query_id", "id", F.lit(0.0).alias("score"))
-    met = first.unionByName(one.select("query_id", "id", "score")).unionByName(two).unionByName(own.select("query_id", "id", F.lit(0.0).alias("score")))
-    met = _highest(met).join(rows, "id").join(half, ["query_id", "cluster"])
-    met = materialize(met.select("query_id", "id", F.greatest("score", "near", "half").alias("score")), "recall-met")
-
-    other = met.join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    last = top_per_key(other, "query_id", MOST, F.desc("score"), F.col("id")).where(F.col("rank") == MOST)
-    last = last.select("query_id", F.col("score").alias("least"), F.col("id").alias("before"))
-    ties = two.join(last, "query_id").where("score = least").groupBy("query_id").agg(F.count("*").alias("ties"))
-    bound = half.select("query_id").distinct().join(last, "query_id", "left").join(ties, "query_id", "left")
-    bound = materialize(bound.select("query_id", F.coalesce("least", F.lit(-1.0)).alias("least"), "before", F.coalesce("ties", F.lit(0)).alias("ties")), "recall-bound")
-    many = F.col("ties") > FEW
-
-    front = two.join(F.broadcast(bound), "query_id").where((F.col("score") > F.col("least")) | ((F.col("score") == F.col("least")) & ~many))
-    front = materialize(front.select("query_id", "id", "score", "least", "before"), "recall-front")
+    first = first.unionByName(own.select("query_id", "id", F.lit(0.0).alias("score")))
+
+    def placed(scored: DataFrame) -> DataFrame:
+        met = _highest(scored).join(rows, "id").join(half, ["query_id", "cluster"])
+        return met.select("query_id", "id", "top", F.greatest("score", "near", "half").alias("score"))
+
+    asked = placed(first.unionByName(one.select("query_id", "id", "score"))).join(first.select("query_id", "id").distinct(), ["query_id", "id"])
+    asked = materialize(asked.where("score < top").select("query_id", "id"), "recall-asked")
+    met = placed(first.unionByName(one.select("query_id", "id", "score")).unionByName(_met_by(asked, edges, live)))
+    met = materialize(met, "recall-met")
+    bound = _tied(_bound(met, own, half), one, "recall-bound")
+
+    front = _followed(live, bound)
+    step = front.join(edges, front.id == edges.a).select("query_id", F.col("b").alias("id"), "score")
+    two = materialize(_highest(step.join(rows.select("id", "most"), "id").where("score > most")), "recall-two")
+    turned = _met_by(_low(rows, met, own, half, bound.where("many")), edges, live)
+    met = materialize(placed(met.select("query_id", "id", "score").unionByName(two).unionByName(turned)), "recall-met")
+    early, bound = bound, _tied(_bound(met, own, half), two, "recall-bound")
+
+    front = materialize(_followed(two, bound).select("query_id", "id", "score", "least", "before"), "recall-front")
     led = front.join(edges, front.id == edges.a).where("score > least or b < before").select("query_id", F.col("b").alias("id"), "score")
-    low = rows.select("id", "cluster").join(F.broadcast(half.select("query_id", "cluster").join(bound.where(many), "query_id")), "cluster")
-    asked = own.select("query_id", "id").unionByName(low.where("id < before").select("query_id", "id")).distinct()
-    asked = materialize(asked, "recall-asked")
-    back = asked.join(edges, asked.id == edges.a).select("query_id", "id", F.col("b").alias("by"))
-    back = back.join(two.withColumnRenamed("id", "by"), ["query_id", "by"]).select("query_id", "id", "score")
-    reached = _highest(met.unionByName(led).unionByName(back))
+    # scores of just the MOST-th that two doesn't hold: they weren't followed
+    unheld = bound.join(early.where("many").select("query_id", F.col("least").alias("was")), "query_id").where("least = was").drop("was")
+    held = bound.where("many").join(unheld.select("query_id"), "query_id", "left_anti")
+    back = _met_by(_low(rows, met, own, half, held), edges, two)
+    open_ = met.where("score < top").join(own.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id")
+    asked = materialize(open_.unionByName(_low(rows, met, own, half, unheld)), "recall-asked")
+    by = asked.join(edges, asked.id == edges.a).select("query_id", F.col("b").alias("id")).distinct()
+    far = _met_by(asked, edges, _met_by(by, edges, live))
+    reached = _highest(met.select("query_id", "id", "score").unionByName(led).unionByName(back).unionByName(far))
     return _best(seeds, reached.withColumnRenamed("score", "assoc"))
 
 

@@ -43,8 +43,9 @@ def asked(spark: SparkSession, sf_dir: str, widened: bool = True) -> DataFrame:
 
 
 def asked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The memories that are searched, with vectors of their words."""
-    return materialize(text_vectors(memories(spark, sf_dir).drop("enforced"), T.word_set(F.col("content"))), "asked-rows")
+    """The memories that are searched; their vectors are made of their words where the search reads them."""
+    rows, tasks = memories(spark, sf_dir).drop("enforced").where("id is not null"), spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if read(spark, sf_dir, "documents").rdd.getNumPartitions() < tasks else rows
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
 from lodestar.operators import graph as G
+from lodestar.operators import intent_search as I
 from lodestar.operators.chunks import chunk
 from lodestar.operators.components import connected_components
 from lodestar.operators.retrieval import similar_pairs
 from lodestar.sources import files
+from lodestar.sources.tables import text_vectors
 
 
 def one(spark, column, **values):
@@ -112,12 +114,20 @@ def test_log_lines(spark):
 
 
 def test_words_in_tasks_as_in_expressions(spark):
-    """Words found by Python are those of Spark's expressions, for odd characters too."""
+    """Tokens and vectors that a task makes are those of Spark's expressions, for odd characters too."""
     draw = random.Random(3)
     odd = "aZ09 -_./:\u00e9\u00b2\u00bd\u0345\u0301\u093e\u2160\u3007\u4e2d\u6587\u3042\u30fc\u3002\uac00\u0130\u00df\u03a3\u200b\u00a0\n\U00010400\U0001d7ce\U0001f600\U00020000\U0001f130|'"
     texts = ["".join(draw.choices(odd, k=draw.randrange(30))) for _ in range(500)] + ["\u4e2d", "\u4e2d\u6587", "\u4e2d\u6587\u4e2d", "a\u4e2d\u6587\u4e2d\u6587b", ""]
-    ranges = T.letters()
-    tokens, words = T.tokenizer(ranges), T.word_finder(ranges)
-    rows = spark.createDataFrame([(x,) for x in texts], "text string")
-    for r in rows.select(F.lower("text").alias("low"), T.tokenize(F.col("text")).alias("tokens"), T.word_set(F.col("text")).alias("words")).collect():
-        assert tokens(r.low) == r.tokens and words(r.low) == set(r.words)
+    tokens = T.tokenizer(T.letters())
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string").withColumn("labels", F.array(F.lit("ab"), F.lit("\u4e2d x")))
+    for r in rows.select(F.lower("content").alias("low"), T.tokenize(F.col("content")).alias("tokens")).collect():
+        assert tokens(r.low) == r.tokens
+    full = rows.withColumns({"ts": F.lit(0), "mass": F.lit(1.0), "access_count": F.lit(0), "importance": F.lit(1.0)})
+    asked = ["a", "ab", "z0", "\u4e2d", "\u6587\u4e2d", ".", "-", "\u00e9"]
+    for words in (asked, [*asked, "a b", " "]):
+        got = {r.id: r for r in I.read_texts(full, words, 0).collect()}
+        for r in text_vectors(rows, T.word_set(F.col("content"))).withColumns({"low": F.lower("content"), "tokens": T.tokenize(F.concat_ws(" ", "content", F.array_join("labels", " ")))}).collect():
+            x = got[r.id]
+            assert x.embedding == r.embedding and x.dl == len(r.tokens) and {words[w] for w in x.low} == {w for w in words if w in r.low}
+            assert {words[w]: n for w, n in zip(x.terms, x.tf, strict=True)} == {w: r.tokens.count(w) for w in words if w in r.tokens}
+            assert {words[w] for w in x.marks} == {w for w in words if w in "ab \u4e2d x"}

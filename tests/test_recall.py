@@ -133,3 +133,22 @@ def test_connected_follows_few_rows(spark, monkeypatch):
     asked, edges, members = frames(spark, seeds, relations, [(i, 0) for i in range(3000)])
     assert R.recall_connected(asked, edges, members).count() == 40 * 31
     assert max(n for name, n in sizes.items() if name not in ("recall-most", "recall-rows")) <= 40 * 100
+
+
+def test_second_step_starts_from_few(spark, monkeypatch):
+    """Seeds that tie, each with 120 neighbours: the second step doesn't lead from all of them to all of the component."""
+    sizes, keep = {}, R.materialize
+
+    def count(df, name):
+        table = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(R, "materialize", count)
+    relations = [(i, (i + d) % 600, 0.5) for i in range(600) for d in range(1, 61)]
+    seeds = [(q, (31 * q + 190 * n) % 600, 0.9) for q in range(10) for n in range(3)]
+    asked, edges, members = frames(spark, seeds, relations, [(i, 0) for i in range(600)])
+    got = sorted(tuple(r) for r in R.recall_connected(asked, edges, members).select("query_id", "rank", "id", "direct", "assoc").collect())
+    assert sizes["recall-two"] <= 500
+    monkeypatch.setattr(R, "materialize", keep)
+    assert got == sorted(tuple(r) for r in R.recall(asked, edges, members, 3).select("query_id", "rank", "id", "direct", "assoc").collect())
